@@ -3,10 +3,11 @@
 One 64-bit hash function stands for the runs.  A record keeps two bottom-k
 sketches of its set:
 
-* the *retained values* of the inverted lists: the bottom n - ceil(t n) + 1
+* the *retained values* of the inverted lists: the bottom n - ceil(t n) + h
   values in the order (frequency class, hash).  Two sets with Jaccard >= t share
-  at least one retained value, whatever the order is, so no pair is lost; the
-  order only decides how long the lists become.
+  at least h retained values (or all that they must share, if that is less),
+  whatever the order is, so no pair is lost; the order only decides how long
+  the lists become.
 * a bottom-32 sketch in plain hash order, for the union-sketch estimate.
 
 Candidates come from the inverted lists under exact size and position bounds,
@@ -39,6 +40,8 @@ SLOT_BITS = 22
 SLICES = 64
 #: Values in the sketch for the estimate.
 SKETCH = 32
+#: Retained values that a candidate pair shares at least (h above).
+OVERLAPS = 3
 #: Rows of one block of a long inverted list.
 BLOCK = 1024
 #: Classes that a task remembers in order not to emit the lists of copies again.
@@ -62,7 +65,7 @@ class Measure:
         return np.ceil(self.threshold / (1 + self.threshold) * (n_a + n_b) - 1e-9)
 
     def retained(self, n: np.ndarray) -> np.ndarray:
-        return n - np.ceil(self.threshold * n - 1e-9).astype(np.int64) + 1
+        return n - np.ceil(self.threshold * n - 1e-9).astype(np.int64) + OVERLAPS
 
     def least_sketch_hits(self) -> int:
         """Hits in a union sketch of SKETCH values that a similar pair misses with probability below 1e-8."""
@@ -204,7 +207,7 @@ def _postings(records: DataFrame, levels, measure: Measure) -> DataFrame:
 
 
 def _candidates(postings: DataFrame, measure: Measure) -> DataFrame:
-    """Distinct pairs of classes (a < b) that share a retained value and pass the size and position bounds."""
+    """Distinct pairs of classes (a < b) that share enough retained values and pass the size and position bounds."""
 
     def pairs(block: np.ndarray) -> pa.RecordBatch | None:
         key, cls, n, pos, tag = (block[c] for c in range(5))
@@ -220,21 +223,23 @@ def _candidates(postings: DataFrame, measure: Measure) -> DataFrame:
             x, y = index, index + step
             n_x, n_y = n[x], n[y]
             good = (cls[x] != cls[y]) & (np.minimum(n_x, n_y) >= measure.threshold * np.maximum(n_x, n_y) - 1e-9)
-            good &= 1 + np.minimum(n_x - pos[x], n_y - pos[y]) - 1 >= measure.needed(n_x, n_y)
+            # the first OVERLAPS shared values of a similar pair all pass this bound
+            needed = measure.needed(n_x, n_y)
+            good &= OVERLAPS + np.minimum(n_x - pos[x], n_y - pos[y]) - 1 >= needed
             good &= ~cross[x] | (list_block[x] != list_block[y])
             if measure.cross_only:
                 good &= (role[x] | role[y]) == 3
             if good.any():
                 x, y = x[good], y[good]
-                out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
+                out.append(np.stack([np.minimum(needed[good], OVERLAPS).astype(np.int64), np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
             step += 1
         if not out:
             return None
         found = np.concatenate(out, axis=1)
-        order = np.lexsort(found)
-        found = found[:, order]
-        new = np.r_[True, (found[:, 1:] != found[:, :-1]).any(axis=0)]
-        return pa.RecordBatch.from_arrays([pa.array(found[0][new]), pa.array(found[1][new])], names=["a", "b"])
+        found = found[:, np.lexsort(found)]
+        first = np.flatnonzero(np.r_[True, (found[1:, 1:] != found[1:, :-1]).any(axis=0)])
+        shared = np.diff(np.r_[first, found.shape[1]])
+        return pa.RecordBatch.from_arrays([pa.array(found[1][first]), pa.array(found[2][first]), pa.array(shared), pa.array(found[0][first])], names=["a", "b", "shared", "least"])
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((5, 0), np.int64)
@@ -247,7 +252,7 @@ def _candidates(postings: DataFrame, measure: Measure) -> DataFrame:
         if rest.shape[1] and (out := pairs(rest)) is not None:
             yield out
 
-    return postings.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "a long, b long").distinct()
+    return postings.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, measure: Measure) -> DataFrame:
@@ -327,8 +332,9 @@ def similar(records: DataFrame, measure: Measure) -> Matches:
     members = summaries.filter("tag = 0").select("part", "record", "owner", "role", "cls", "n").distinct()
     pairs = scratch.materialize(_candidates(_postings(records, levels, measure), measure), "similar-pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    firsts = summaries.filter("tag = 0").groupBy("cls").agg(F.min(F.struct("part", "record", "sketch")).alias("first"))
-    classes = scratch.materialize(firsts.join(named, "cls", "left_semi").select("cls", "first.*"), "similar-classes")
+    named = scratch.materialize(named, "similar-named")
+    candidates = joins.keep_matching(summaries.filter("tag = 0").select("cls", "part", "record", "sketch"), named, ["cls"])
+    classes = scratch.materialize(candidates.groupBy("cls").agg(F.min(F.struct("part", "record", "sketch")).alias("first")).select("cls", "first.*"), "similar-classes")
     sketches = classes.select("cls", "sketch")
     likely = scratch.materialize(_estimated(pairs, sketches, measure), "similar-likely")
     left = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
