@@ -22,7 +22,7 @@ SCRIPTS = (
     ("hi", "[ऀ-ॿ]"), ("de", "[ßäöüÄÖÜ]"), ("es", "[ñÑ¿¡]"), ("fr", "[œŒçàâêîïôûéèÇÀÂÊÎÏÔÛÉÈ]"),
 )
 FENCE = r"(?s)```.*?```"
-HEADING = r"(?m)^(#{1,6})[ \t]+(.+?)[ \t]*$"
+HEADING = r"(?md)^(#{1,6})[ \t]+(.+?)[ \t]*$"
 SEPARATOR_ROW = r"^\s*\|*\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|*\s*$"
 _MARK = "\u0001"
 
@@ -54,7 +54,7 @@ def count_fences(text: Column) -> Column:
 def headings(text: Column) -> Column:
     """array<struct<level, title>> of the ATX headings outside fences."""
     found = F.regexp_extract_all(mask_fences(text), F.lit(HEADING), F.lit(0))
-    return F.transform(found, lambda h: F.struct(F.length(F.regexp_extract(h, r"^#+", 0)).alias("level"), F.trim(F.regexp_extract(h, r"^#+[ \t]+(.*?)[ \t]*$", 1)).alias("title")))
+    return F.transform(found, lambda h: F.struct(F.length(F.regexp_extract(h, r"^#+", 0)).alias("level"), F.regexp_replace(F.regexp_replace(h, r"^#+[ \t]+", ""), r"(?U)^\s+|\s+$", "").alias("title")))
 
 
 def is_separator_row(line: Column) -> Column:

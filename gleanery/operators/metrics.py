@@ -4,13 +4,37 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Depths at which recall is told.
 RECALL_DEPTHS = (1, 3, 5, 10)
 
 
+def hit_ranks(retrieved: Column, gold: Column) -> Column:
+    """1-based ranks of the retrieved ids that are gold."""
+    return F.filter(F.transform(retrieved, lambda c, i: F.when(F.array_contains(gold, c), i + 1)), lambda x: x.isNotNull())
+
+
+def recall_at(ranks: Column, depth: int) -> Column:
+    """1.0 if any hit is among the first `depth`, else 0.0."""
+    return F.coalesce((F.array_min(ranks) <= depth).cast("double"), F.lit(0.0))
+
+
+def reciprocal_rank(ranks: Column) -> Column:
+    return F.coalesce(F.lit(1.0) / F.array_min(ranks), F.lit(0.0))
+
+
+def _gain(positions: Column) -> Column:
+    return F.aggregate(positions, F.lit(0.0), lambda s, p: s + F.lit(1.0) / F.log2(p + F.lit(1.0)))
+
+
+def ndcg_at(ranks: Column, n_gold: Column, depth: int) -> Column:
+    """Binary gain by log2(rank + 1), over that of the best possible order; null without gold."""
+    best = F.when(n_gold > 0, _gain(F.sequence(F.lit(1), F.least(n_gold, F.lit(depth)))))
+    return _gain(F.filter(ranks, lambda p: p <= depth)) / best
+
+
 def traces(queries: DataFrame, hits: DataFrame, gold: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """One row per query with its ranked ids, gold ids and metrics; a query without gold chunks is excluded and has no metric.
 
@@ -33,19 +57,15 @@ def traces(queries: DataFrame, hits: DataFrame, gold: DataFrame, chunks: DataFra
         F.coalesce(F.sort_array(F.array_distinct(F.flatten("span_gold"))), none).alias("gold_chunk_ids"),
     )
     excluded = F.size("gold_chunk_ids") == 0
-    ranks = F.filter(F.transform("retrieved_chunk_ids", lambda c, i: F.when(F.array_contains("gold_chunk_ids", c), i + 1)), lambda x: x.isNotNull())
-    rows = rows.withColumn("ranks", ranks)
-    first = F.array_min("ranks")
-    gain = lambda positions: F.aggregate(positions, F.lit(0.0), lambda s, p: s + F.lit(1.0) / F.log2(p + F.lit(1.0)))
-    depth = min(10, k)
-    ideal = gain(F.sequence(F.lit(1), F.least(F.size("gold_chunk_ids"), F.lit(depth))))
+    rows = rows.withColumn("ranks", hit_ranks(F.col("retrieved_chunk_ids"), F.col("gold_chunk_ids")))
+    ranks, first = F.col("ranks"), F.array_min("ranks")
     scored = lambda c: F.when(~excluded, c)
-    out = [scored((F.coalesce(first, F.lit(k + 1)) <= d).cast("double")).alias(f"recall_{d}") for d in RECALL_DEPTHS if d <= k]
+    out = [scored(recall_at(ranks, d)).alias(f"recall_{d}") for d in RECALL_DEPTHS if d <= k]
     top = F.slice("retrieved_chunk_ids", 1, k)
     return rows.select(
         "query_id", "query", "retrieved_chunk_ids", "retrieved_scores", F.when(~excluded, F.col("gold_chunk_ids")).otherwise(none).alias("gold_chunk_ids"), first.alias("first_hit_rank"), *out,
-        scored(F.coalesce(F.lit(1.0) / first, F.lit(0.0))).alias("mrr"),
-        scored(gain(F.filter("ranks", lambda p: p <= depth)) / ideal).alias("ndcg_10"),
+        scored(reciprocal_rank(ranks)).alias("mrr"),
+        scored(ndcg_at(ranks, F.size("gold_chunk_ids"), min(10, k))).alias("ndcg_10"),
         scored(F.when(first <= k, F.col("tokens").cast("double"))).alias("chunk_efficiency"),
         scored(F.when(F.col("n_spans") > 1, ((F.size("span_gold") == F.col("n_spans")) & F.forall("span_gold", lambda ids: F.arrays_overlap(top, ids))).cast("double"))).alias("all_spans_hit"),
         excluded.alias("excluded"), F.when(excluded, "gold resolved to zero chunks for this chunk set").alias("exclusion_reason"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +60,64 @@ def overlap_with_previous(chunks: DataFrame) -> DataFrame:
 
 
 def coverage(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, covered: signs of each document that lie in some chunk."""
+    """doc_id, n_chars, covered: signs of each document (with text or n_chars) that lie in some chunk."""
     w = Window.partitionBy("doc_id").orderBy("char_start", "char_end").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.col("char_end") - F.greatest("char_start", F.coalesce(F.max("char_end").over(w), F.lit(0))), F.lit(0))
     sums = chunks.select("doc_id", new.alias("new")).groupBy("doc_id").agg(F.sum("new").alias("covered"))
-    return docs.select("doc_id", F.length("text").alias("n_chars")).join(sums, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("covered", F.lit(0)).alias("covered"))
+    sizes = docs if "n_chars" in docs.columns else docs.select("doc_id", F.length("text").alias("n_chars"))
+    return sizes.join(sums, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("covered", F.lit(0)).alias("covered"))
+
+
+#: Characters of needles that go to the workers at once.
+NEEDLE_CHARS = 4_000_000
 
 
 def needle_evalset(docs: DataFrame, needles: DataFrame) -> DataFrame:
-    """Eval pairs anchored by needles (needle_id, corpus, query, needles array): the first document, by path, that holds all needles.
+    """Eval pairs anchored by needles (needle_id, corpus, query, needles array): the first document of the corpus, by path, that holds all needles.
 
-    Spans are first occurrences, 0-based and half open.  Documents are read once
-    for each distinct set of needles, which is a stated query set.
+    Spans are first occurrences, 0-based and half open; null and empty needles
+    are left out, and a pair without any has no host.  The needles are the
+    stated query set: they are matched by an automaton in one pass over
+    the documents for each block of needles of bounded size.
     """
-    has_all = F.forall("needles", lambda n: F.position(n, F.col("text")) > 0)
-    hits = docs.select(F.col("corpus").alias("doc_corpus"), "doc_id", "source_path", "text").join(F.broadcast(needles), (F.col("doc_corpus") == F.col("corpus")) & has_all)
-    spans = F.transform("needles", lambda n: F.array(F.position(n, F.col("text")) - 1, F.position(n, F.col("text")) - 1 + F.length(n)))
-    first = hits.groupBy("needle_id", "corpus", "query").agg(F.min_by(F.struct("doc_id", spans.alias("spans")), F.struct("source_path", "doc_id")).alias("host"))
-    return first.select("needle_id", "corpus", "query", F.col("host.doc_id").alias("gold_doc_id"), F.col("host.spans").alias("gold_char_spans"))
+    spark = docs.sparkSession
+    asked = needles.select("needle_id", "corpus", F.array_distinct(F.filter("needles", lambda n: n.isNotNull() & (n != ""))).alias("needles")).filter("size(needles) > 0")
+    schema = "needle string, doc_id string, corpus string, source_path string, at int"
+    found = spark.createDataFrame([], schema)
+
+    def scan(words: list[str]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(words)
+
+        def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for word in shared.value:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for frame in frames:
+                rows = []
+                for doc, corpus, path, text in frame.itertuples(index=False):
+                    first: dict[str, int] = {}
+                    for end, word in automaton.iter(text):
+                        first.setdefault(word, end + 1 - len(word))
+                    rows.extend((word, doc, corpus, path, at) for word, at in first.items())
+                yield pd.DataFrame(rows, columns=["needle", "doc_id", "corpus", "source_path", "at"])
+
+        return docs.select("doc_id", "corpus", "source_path", "text").filter("text is not null").mapInPandas(run, schema)
+
+    block: list[str] = []
+    size = 0
+    for row in asked.select(F.explode("needles").alias("needle")).distinct().toLocalIterator():
+        block.append(row["needle"])
+        size += len(row["needle"])
+        if size > NEEDLE_CHARS:
+            found, block, size = found.unionByName(scan(block)), [], 0
+    if block:
+        found = found.unionByName(scan(block))
+    one = asked.select("needle_id", "corpus", F.size("needles").alias("n"), F.posexplode("needles").alias("place", "needle"))
+    hits = one.join(found, ["needle", "corpus"]).groupBy("needle_id", "corpus", "n", "doc_id", "source_path").agg(
+        F.countDistinct("place").alias("have"), F.sort_array(F.collect_set(F.struct("place", F.array(F.col("at"), F.col("at") + F.length("needle")).alias("span")))).alias("spans"))
+    host = hits.filter("have = n").groupBy("needle_id", "corpus").agg(F.min_by(F.struct("doc_id", "spans"), F.struct("source_path", "doc_id")).alias("host"))
+    pairs = host.select("needle_id", "corpus", F.col("host.doc_id").alias("gold_doc_id"), F.transform("host.spans", lambda s: s["span"]).alias("gold_char_spans"))
+    return pairs.join(needles.select("needle_id", "corpus", "query").distinct(), ["needle_id", "corpus"])

@@ -16,10 +16,14 @@ def percentiles(column: str) -> list:
     return [F.percentile(column, F.lit(0.5)).alias("p50_tokens"), F.percentile(column, F.lit(0.95)).alias("p95_tokens")]
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """A row for each corpus: documents, tokens (sum, least, percentiles, most), headings, headings for 1000 tokens, fences, tables."""
+def corpus_stats(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """A row for each corpus: documents, tokens (sum, least, percentiles, most), headings, headings for 1000 tokens, fences, tables.
+
+    With a `key`, rows of one key and equal counts are one document.
+    """
     text = F.col("text")
-    rows = docs.select("corpus", textual.portable_token_count(text).alias("tokens"), F.size(textual.headings(text)).alias("h"), textual.count_fences(text).alias("c"), textual.count_tables(text).alias("t"))
+    rows = docs.select("corpus", *([key] if key else []), textual.portable_token_count(text).alias("tokens"), F.size(textual.headings(text)).alias("h"), textual.count_fences(text).alias("c"), textual.count_tables(text).alias("t"))
+    rows = rows.distinct() if key else rows
     sums = rows.groupBy("corpus").agg(
         F.count("*").alias("docs"), F.sum("tokens").alias("tokens"), F.min("tokens").alias("min_tokens"), *percentiles("tokens"), F.max("tokens").alias("max_tokens"),
         F.sum(F.greatest("h", F.lit(0))).alias("headings"), F.sum("c").alias("code_blocks"), F.sum(F.greatest("t", F.lit(0))).alias("tables"),
@@ -27,9 +31,10 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return sums.withColumn("headings_per_1k", F.round(F.when(F.col("tokens") > 0, F.col("headings") * F.lit(1000.0) / F.col("tokens")).otherwise(F.lit(0.0)), 6))
 
 
-def language_mix(docs: DataFrame) -> DataFrame:
-    """corpus, label, docs: how many documents have each script label."""
-    return docs.select("corpus", textual.script_label(F.col("text")).alias("label")).groupBy("corpus", "label").agg(F.count("*").alias("docs"))
+def language_mix(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """corpus, label, docs: how many documents (rows, or distinct values of `key`) have each script label."""
+    rows = docs.select("corpus", *([key] if key else []), textual.script_label(F.col("text")).alias("label"))
+    return (rows.distinct() if key else rows).groupBy("corpus", "label").agg(F.count("*").alias("docs"))
 
 
 def language_map(docs: DataFrame) -> DataFrame:
@@ -66,13 +71,16 @@ def chunk_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """A row for each chunk set: counts, token percentiles, split fences and tables, cut sentences, heading depth, orphans, build seconds."""
     from gleanery.operators.relations import split_regions
 
+    if "depth" not in chunks.columns:
+        chunks = chunks.withColumn("depth", F.size("heading_path"))
+    built = F.col("meta")["chunk_build_seconds"] if "meta" in chunks.columns else F.lit(None)
+    seconds = chunks.groupBy("chunk_set_id", "doc_id").agg(F.max(built.cast("double")).alias("s")).groupBy("chunk_set_id").agg(F.sum("s").alias("build_seconds"))
     inside = lambda p: F.exists("spans", lambda s: (s["start"] < p) & (p < s["end"]))
     spans = docs.select("doc_id", textual.sentence_spans(F.col("text")).alias("spans"))
     rows = chunks.join(spans, "doc_id", "left").withColumn("cut", F.coalesce(inside(F.col("char_start")) | inside(F.col("char_end")), F.lit(False)))
-    seconds = chunks.groupBy("chunk_set_id", "doc_id").agg(F.max(F.col("meta")["chunk_build_seconds"].cast("double")).alias("s")).groupBy("chunk_set_id").agg(F.sum("s").alias("build_seconds"))
     out = rows.groupBy("chunk_set_id").agg(
         F.count("*").alias("chunks"), F.min("token_count").alias("min_tokens"), *percentiles("token_count"), F.max("token_count").alias("max_tokens"),
-        F.round(F.avg(F.col("cut").cast("double")), 6).alias("split_sentence_rate"), F.round(F.avg(F.size("heading_path").cast("double")), 6).alias("mean_heading_depth"),
+        F.round(F.avg(F.col("cut").cast("double")), 6).alias("split_sentence_rate"), F.round(F.avg(F.col("depth").cast("double")), 6).alias("mean_heading_depth"),
         F.round(F.avg((F.col("token_count") < ORPHAN_TOKENS).cast("double")), 6).alias("orphan_rate"), F.countDistinct("doc_id").alias("docs"),
     )
     sets = chunks.select("chunk_set_id", "doc_id").distinct()
