@@ -88,7 +88,7 @@ def sentence_spans(text: Column) -> Column:
     A boundary is closing punctuation and white space before a capital, a
     digit, a quote or a Markdown sign; none after a one-letter word or an abbreviation.
     """
-    guard = "(?<![.!?])(?<!\\b\\w)" + "".join(f"(?<!\\b{a})" for a in ABBREVIATIONS)
+    guard = "(?=[.!?])(?<![.!?])(?<!\\b\\w)" + "".join(f"(?<!\\b{a})" for a in ABBREVIATIONS)
     boundary = f"(?iU){guard}([.!?]+[\"'’”)]*\\s+)(?=(?-i:[A-Z0-9\"'‘“(#`\\-*>|]))"
     text = F.translate(text, _MARK, "\u0002")  # a mark in the text itself; lengths stay
     pieces = F.split(F.regexp_replace(text, boundary, f"$1{_MARK}"), _MARK, -1)

@@ -10,10 +10,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery import joins
+from gleanery import joins, scratch
 from gleanery.functions import vectors
 from gleanery.functions.text import lexical_terms
 
@@ -40,34 +42,99 @@ def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.avg(F.size(lexical_terms(F.col("text"))).cast("double")).alias("avgdl"))
 
 
-def idf_of(terms: DataFrame, totals: DataFrame) -> DataFrame:
-    """term, idf: ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes a quarter of the mean over all terms."""
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("n")))
+def idf_of(frequencies: DataFrame, totals: DataFrame) -> DataFrame:
+    """term, idf of (term, df): ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes a quarter of the mean over all terms."""
+    df = frequencies.crossJoin(F.broadcast(totals.select("n")))  # one row
     raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((F.avg("raw") * 0.25).alias("floor"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, index: DataFrame | None = None, retriever: str = "bm25") -> DataFrame:
-    """Okapi BM25 of each query (query_id, query) over the chunks' texts.
+#: Queries in one block of a lexical search, and chunks scored at once: bounds of a worker's score matrix (32 MB).
+QUERY_BLOCK, CHUNK_BLOCK = 4096, 1024
 
-    Repeated query terms count repeatedly.  A query that fewer than k chunks
-    share a term with is filled up with chunks of score 0, by chunk_id.  Pass
-    `index` (a written `postings` table) to use it again.
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, retriever: str = "bm25") -> DataFrame:
+    """Okapi BM25 of each query (query_id, query) over the texts of chunks (chunk_id, text).
+
+    Repeated query terms count repeatedly; scores of 0 fill a list up to k; ties
+    go by chunk_id.  Document frequencies and lengths are counted over all
+    chunks first.  The queries are the stated side: they go to the workers in
+    blocks of bounded size with the weights of their terms, every partition of
+    chunks keeps its own k best of each query, and only these are shuffled.
+    """
+    spark = chunks.sparkSession
+    rows = chunks.select("chunk_id", lexical_terms(F.col("text")).alias("terms")).filter("chunk_id is not null")
+    measured = rows.select("chunk_id", F.size("terms").alias("dl"), F.explode_outer(F.array_distinct("terms")).alias("term"))
+    frequencies = scratch.materialize(measured.filter("term is not null").groupBy("term").agg(F.count("*").alias("df")), "bm25-df")
+    totals = rows.agg(F.count("*").alias("n"), F.avg(F.greatest(F.size("terms"), F.lit(0)).cast("double")).alias("avgdl")).first()
+    asked = queries.select("query_id", F.coalesce(lexical_terms(F.col("query")), F.array().cast("array<string>")).alias("terms"))
+    weights = idf_of(frequencies, spark.range(1, numPartitions=1).select(F.lit(totals["n"]).alias("n")))
+    wanted = joins.keep_matching(weights, asked.select(F.explode("terms").alias("term")).distinct(), ["term"])
+    kinds = rows.schema["chunk_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    found = spark.createDataFrame([], f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
+    idf = {r["term"]: r["idf"] for r in wanted.toLocalIterator()}  # terms of the stated queries only
+
+    def search(block: list) -> DataFrame:
+        words = sorted({t for _, terms in block for t in terms} & idf.keys())
+        number = {t: i for i, t in enumerate(words)}
+        askers: list[dict[int, int]] = [{} for _ in words]
+        for q, (_, terms) in enumerate(block):
+            for t in terms:
+                if t in number:
+                    askers[number[t]][q] = askers[number[t]].get(q, 0) + 1
+        lists = [(np.fromiter(a, np.int64, len(a)), np.fromiter(a.values(), float, len(a))) for a in askers]
+        shared = spark.sparkContext.broadcast(([q for q, _ in block], words, np.array([idf[t] for t in words]), lists))
+        mean = totals["avgdl"] or 1.0
+
+        def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, vocabulary, factor, by_term = shared.value
+            known = pa.array(vocabulary, pa.string())
+            best: list[pd.DataFrame] = []
+            for whole in stream:
+                for at in range(0, whole.num_rows, CHUNK_BLOCK):
+                    part = whole.slice(at, CHUNK_BLOCK)
+                    lists_ = part.column(1)
+                    sizes = np.nan_to_num(pc.list_value_length(lists_).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+                    term = pc.fill_null(pc.index_in(pc.list_flatten(lists_), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    owner = np.repeat(np.arange(part.num_rows), sizes)[term >= 0]
+                    pairs, tf = np.unique(term[term >= 0] * part.num_rows + owner, return_counts=True)
+                    term, owner = pairs // part.num_rows, pairs % part.num_rows
+                    weight = factor[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[owner] / mean))
+                    scores = np.zeros((len(names), part.num_rows))
+                    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else []
+                    for x, y in zip(first, [*first[1:], len(term)]):
+                        who, often = by_term[term[x]]
+                        scores[np.ix_(who, owner[x:y])] += np.outer(often, weight[x:y])
+                    best.append(_block_best(np.round(scores, 6), part.column(0).to_numpy(zero_copy_only=False), k))
+                    if len(best) > 8:
+                        best = [_best(best, k)]
+            if best:
+                out = _best(best, k)
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": [names[i] for i in out["q"]], "chunk_id": out["chunk_id"].to_numpy(), "score": out["score"].to_numpy()}), preserve_index=False)
+
+        return rows.mapInArrow(run, found.schema)
+
+    block: list = []
+    for row in asked.toLocalIterator():
+        block.append((row["query_id"], row["terms"]))
+        if len(block) == QUERY_BLOCK:
+            found, block = found.unionByName(search(block)), []
+    if block:
+        found = found.unionByName(search(block))
+    return ranked(found, k, retriever)
+
+
+def bm25_indexed(queries: DataFrame, index: DataFrame, totals: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, retriever: str = "bm25") -> DataFrame:
+    """BM25 by joining a written `postings` table on the queries' terms: for few queries over a large index.
+
+    `totals` is the result of `lengths`.  Only chunks that share a term are listed.
     """
-    terms = index if index is not None else postings(chunks)
-    totals = lengths(chunks)
     asked = queries.select("query_id", F.explode(lexical_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = terms.join(asked, "term").join(idf_of(terms, totals), "term").crossJoin(F.broadcast(totals.select("avgdl")))
+    weights = idf_of(index.groupBy("term").agg(F.count("*").alias("df")), totals)
+    hits = index.join(asked, "term").join(weights, "term").crossJoin(F.broadcast(totals.select("avgdl")))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
-    scores = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    best = ranked(scores, k, retriever)
-    # fill-up: the first k chunks by id serve every query that has fewer hits; k rows, whatever the data
-    first = chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(2 * k)
-    have = best.groupBy("query_id").agg(F.count("*").alias("have"))
-    short = queries.select("query_id").join(have, "query_id", "left").filter(F.coalesce("have", F.lit(0)) < k).select("query_id")
-    fill = short.crossJoin(F.broadcast(first)).join(best.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(best.select("query_id", "chunk_id", "score").unionByName(fill.select("query_id", "chunk_id", "score")), k, retriever)
+    return ranked(hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score")), k, retriever)
 
 
 # --- dense ---
@@ -102,10 +169,7 @@ def dense(queries: DataFrame, store: DataFrame, k: int, retriever: str = "dense"
                 size = np.linalg.norm(rows, axis=1, keepdims=True)
                 scores = np.round(matrix @ (rows / np.where(size == 0, 1, size)).T, digits) + 0.0
                 ids = frame["chunk_id"].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                scores, ids = scores[:, order], ids[order]
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                batch = pd.DataFrame({"q": np.repeat(np.arange(len(names)), top.shape[1]), "chunk_id": ids[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
+                batch = _block_best(scores, ids, k)
                 best.append(batch)
                 if len(best) > 8:
                     best = [_best(best, k)]
@@ -128,6 +192,18 @@ def dense(queries: DataFrame, store: DataFrame, k: int, retriever: str = "dense"
     return ranked(found, k, retriever)
 
 
+def _block_best(scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best columns of each row of a score matrix, ties by id."""
+    order = np.argsort(ids, kind="stable")
+    scores, ids = scores[:, order], ids[order]
+    if scores.shape[1] > 4 * k:  # all columns that reach the k-th best score are looked at, ties too
+        least = np.partition(scores, -k, axis=1)[:, -k]
+        some = np.flatnonzero((scores >= least[:, None]).any(axis=0))
+        scores, ids = scores[:, some], ids[some]
+    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return pd.DataFrame({"q": np.repeat(np.arange(len(scores)), top.shape[1]), "chunk_id": ids[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
+
+
 def _best(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
     every = pd.concat(parts).sort_values(["q", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
     return every.groupby("q", sort=False).head(k)
