@@ -167,10 +167,27 @@ class VectorStore:
 
     def __init__(self, catalogue: Catalogue, index: str):
         self.catalogue, self.index = catalogue, index
-        self.folder = f"{catalogue.path('indexes', index)}/vectors"
+        self.root = catalogue.path("indexes", index)
+
+    def _versions(self) -> list[int]:
+        """Complete versions of the table; a new one is written beside those that others may be reading."""
+        fs, where = self.catalogue._fs(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(int(n[8:]) for n in names if n.startswith("vectors-") and self.catalogue.exists(f"{self.root}/{n}/_SUCCESS"))
 
     def rows(self) -> DataFrame:
-        return self.catalogue.spark.read.parquet(self.folder)
+        found = self._versions()
+        if not found:
+            raise NotFound(f"index {self.index!r} has no vectors")
+        return self.catalogue.spark.read.parquet(f"{self.root}/vectors-{found[-1]:06}")
+
+    def _put(self, rows: DataFrame) -> None:
+        """Write the next version; all but the last two older ones go."""
+        found = self._versions()
+        rows.write.mode("overwrite").parquet(f"{self.root}/vectors-{(found[-1] if found else 0) + 1:06}")
+        for old in found[:-1]:
+            fs, where = self.catalogue._fs(f"{self.root}/vectors-{old:06}")
+            fs.delete(where, True)
 
     def count(self) -> int:
         return self.rows().count()
@@ -185,21 +202,15 @@ class VectorStore:
         return one.select("chunk_id", "doc_id", "corpus", "chunk_set_id", "chunker", vectors.embedding(F.col("embed_text"), embedder, params).alias("embedding"))
 
     def replace(self, chunks: DataFrame, embedder: str, params: dict | None = None) -> None:
-        self.embedded(chunks, embedder, params).write.mode("overwrite").parquet(self.folder)
+        self._put(self.embedded(chunks, embedder, params))
 
     def upsert(self, vectors_: DataFrame) -> None:
-        """Add rows, in place of those with the same chunk_id; nothing happens for no rows.
-
-        The new table is written beside the old one and then takes its place.
-        """
+        """Add rows, in place of those with the same chunk_id; nothing happens for no rows."""
         if vectors_.isEmpty():
             return
         old = self.rows()
         kept = old.join(vectors_.select("chunk_id"), "chunk_id", "left_anti").unionByName(vectors_.select(*old.columns))
-        kept.write.mode("overwrite").parquet(f"{self.folder}.new")
-        fs, where = self.catalogue._fs(self.folder)
-        fs.delete(where, True)
-        fs.rename(self.catalogue._fs(f"{self.folder}.new")[1], where)
+        self._put(kept)
 
     def search(self, queries: DataFrame, k: int, **equal: str) -> DataFrame:
         """Neighbours of the queries' vectors among rows whose doc_id, corpus, chunk_set_id or chunker equal the given ones."""
