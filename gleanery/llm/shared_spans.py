@@ -9,9 +9,13 @@ the texts themselves confirm each match.
 
 Buckets that only one document feeds can't hold a shared window.  A first pass
 therefore ships only (minimiser, document) to count documents per bucket
-exactly, and the second packs strings for the other buckets alone.  A bucket of
-many documents is split into blocks of documents, each pair of blocks being a
-group of its own.
+exactly, and the last packs strings for the other buckets alone.
+
+A bucket of many documents is first told apart by a second, longer minimiser
+(nine tenths of a window), counted the same way: documents that merely have a
+stock phrase in common fall apart there.  What is still a large bucket holds
+documents that share nearly whole windows; it is split into blocks of documents,
+each pair of blocks being a group of its own, so that no group is unbounded.
 """
 
 from __future__ import annotations
@@ -32,34 +36,52 @@ from gleanery.llm import batches, textcodes
 MINIMISER = 100
 #: Documents in one block of a large bucket.
 BLOCK = 500
-_NOTHING = np.iinfo(np.uint64).max
 
 
-def minimisers(texts: list, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each super-k-mer: text number, first window, number of windows, minimiser hash."""
+def _least(codes: np.ndarray, length: int, k: int) -> np.ndarray:
+    """The least hash of the pieces of k signs in each window."""
+    starts = np.arange(len(codes) - k + 1)
+    return textcodes.sliding_minimum(textcodes.span_hashes(textcodes._code_values()[codes], starts, starts + k), length - k + 1)
+
+
+def buckets(texts: list, length: int, k: int, large: list | None = None, both: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each super-k-mer: text number, first window, number of windows, bucket.
+
+    The bucket is the minimiser; for minimisers named in `large` (one list for each
+    text) it is made of that and the longer minimiser.  With `both` false only
+    these are given.
+    """
     codes, offsets = textcodes.flat_codes([x or "" for x in texts])
     empty = np.zeros(0, np.int64)
     if len(codes) < length:
         return empty, empty, empty, np.zeros(0, np.uint64)
-    starts = np.arange(len(codes) - k + 1)
-    hashes = textcodes.span_hashes(textcodes._code_values()[codes], starts, starts + k)
-    least = textcodes.sliding_minimum(hashes, length - k + 1)
     owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    whole = owner[: len(least)] == owner[length - 1 :]
-    at = np.flatnonzero(whole)
+    value = _least(codes, length, k)
+    at = np.flatnonzero(owner[: len(value)] == owner[length - 1 :])  # windows within one text
+    value = value[at]
+    named = np.unique(np.array([b for row in large or () for b in row or ()], np.int64)).view(np.uint64)
+    if len(named):
+        split = np.isin(value, named)
+        second = _least(codes, length, max(k, length * 9 // 10))[at]
+        value = np.where(split, textcodes.mix(value + second * np.uint64(0xA24BAED4963EE407)), value)
+        if not both:
+            at, value = at[split], value[split]
+    elif not both:
+        return empty, empty, empty, np.zeros(0, np.uint64)
     if not len(at):
         return empty, empty, empty, np.zeros(0, np.uint64)
-    value, text = least[at], owner[at]
-    first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (text[1:] != text[:-1])])
+    text = owner[at]
+    first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)])
     counts = np.diff(np.r_[first, len(at)])
     return text[first], at[first] - offsets[text[first]], counts, value[first]
 
 
-def _bucket_rows(documents: DataFrame, length: int, k: int) -> DataFrame:
-    """bucket, doc: each minimiser of a document once."""
+def _bucket_rows(documents: DataFrame, length: int, k: int, second: bool = False) -> DataFrame:
+    """bucket, doc: each bucket of a document once; with `second` those that the column `large` is told apart into."""
 
     def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        text, _, _, value = minimisers(texts, length, k)
+        large = batches.column(batch, "large").to_pylist() if second else None
+        text, _, _, value = buckets(texts, length, k, large, not second)
         rows = np.unique(np.stack([text.astype(np.uint64), value]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(rows[1].view(np.int64)), batches.column(batch, "doc").take(pa.array(rows[0].astype(np.int64)))], names=["bucket", "doc"])
 
@@ -71,7 +93,7 @@ def _packed(documents: DataFrame, length: int, k: int) -> DataFrame:
     """The super-k-mers of the buckets that the column `buckets` (bucket, docs) names, once for each pair of blocks they belong to."""
 
     def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        text, start, count, value = minimisers(texts, length, k)
+        text, start, count, value = buckets(texts, length, k, batches.column(batch, "large").to_pylist())
         wanted = [{x["bucket"]: x["docs"] for x in rows} for rows in batches.column(batch, "buckets").to_pylist()]
         docs = np.fromiter((wanted[t].get(v, 0) for t, v in zip(text.tolist(), value.view(np.int64).tolist())), np.int64, len(text))
         some = docs > 1
@@ -224,13 +246,24 @@ def _candidates(documents: DataFrame, length: int, k: int, key: str, text: str)
         raise ValueError("the minimiser must be at most as long as the window")
     source = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= length))
     rows = scratch.materialize(_bucket_rows(source, length, k), "minimisers")
-    shared = rows.groupBy("bucket").agg(F.countDistinct("doc").alias("docs")) if rows.schema["doc"].dataType.typeName() != "long" else rows.distinct().groupBy("bucket").agg(F.count("*").alias("docs"))
-    shared = shared.filter("docs > 1")
-    wanted = scratch.materialize(rows.join(shared, "bucket").distinct().groupBy("doc").agg(F.collect_list(F.struct("bucket", "docs")).alias("buckets")), "wanted")
-    chosen = joins.keep_matching(source, wanted, ["doc"], "inner", limit=50_000)
+    wanted = scratch.materialize(_per_document(rows).withColumn("large", F.transform(F.filter("buckets", lambda x: x["docs"] > BLOCK), lambda x: x["bucket"])), "wanted")
+    large = wanted.filter("size(large) > 0").select("doc", "large")
+    again = scratch.materialize(_bucket_rows(joins.keep_matching(source, large, ["doc"], "inner", limit=50_000), length, k, second=True), "longer-minimisers")
+    small = wanted.select("doc", F.filter("buckets", lambda x: x["docs"] <= BLOCK).alias("buckets"), "large")
+    more = _per_document(again).select("doc", F.col("buckets").alias("more"))
+    none = F.slice("buckets", 1, 0)
+    final = small.join(more, "doc", "left").select("doc", F.concat("buckets", F.coalesce("more", none)).alias("buckets"), "large").filter("size(buckets) > 0")
+    chosen = joins.keep_matching(source, scratch.materialize(final, "wanted-buckets"), ["doc"], "inner", limit=50_000)
     return _packed(chosen.withColumn("salt", F.xxhash64("doc")), length, k)
 
 
+def _per_document(rows: DataFrame) -> DataFrame:
+    """doc, buckets (bucket, docs): the buckets that at least two documents feed, for each document that feeds any; as many as its text has."""
+    rows = rows.distinct()  # rows of one document that came twice
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("docs")).filter("docs > 1")
+    return rows.join(shared, "bucket").groupBy("doc").agg(F.collect_list(F.struct("bucket", "docs")).alias("buckets"))
+
+
 def shared_pairs(documents: DataFrame, length: int = 320, k: int = MINIMISER, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id_a < doc_id_b: documents whose texts have at least `length` consecutive code points in common.
 

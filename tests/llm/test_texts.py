@@ -61,6 +61,19 @@ def test_shared_pairs_and_coverage(spark, monkeypatch, block):
     assert all(rows[k]["n_chars"] == len(t) for k, t in texts.items())
 
 
+def test_stock_phrases_make_no_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "BLOCK", 5)
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    phrase = "z" + noise(30)
+    texts = {k: noise(40) + phrase + noise(40) for k in range(60)}
+    texts[60], texts[61] = texts[3], texts[4][20:]
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    packed = shared_spans._candidates(frame, 60, 20, "doc_id", "text")
+    assert packed.count() < 60  # without the second minimiser each of 62 documents would come once for each of 13 blocks
+    assert {tuple(r) for r in shared_spans.shared_pairs(frame, 60, 20).collect()} == shared(texts, 60)[0] == {(3, 60), (4, 61)}
+
+
 def test_shared_spans_edges(spark):
     long = "word " * 40_000
     rows = [(1, long, "z"), (2, "x" + long[:400], "z"), (3, None, None), (4, "", "z"), (None, long, "z"), (1, long, "z"), (5, "short", "z")]
