@@ -44,7 +44,7 @@ SKETCH = 32
 OVERLAPS = 3
 #: Rows of one block of a long inverted list.
 BLOCK = 1024
-#: Classes that a task remembers in order not to emit the lists of copies again.
+#: Classes that a task remembers in order not to count and list copies again.
 REMEMBERED = 300_000
 
 
@@ -106,19 +106,41 @@ def _binaries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.array([raw[a * width : b * width] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())
 
 
+class _Unseen:
+    """Marks the records of a task whose class and role it hasn't met, so that copies count and are listed about once for each task.
+
+    Both passes over the records use it in the same way, so that the counts
+    stay upper bounds of the lists.
+    """
+
+    def __init__(self) -> None:
+        self.seen: set[tuple[int, int]] = set()
+
+    def __call__(self, classes: np.ndarray, roles: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(classes), bool)
+        for i, pair in enumerate(zip(classes.tolist(), roles.tolist())):
+            if pair[0] and pair not in self.seen:
+                new[i] = True
+                self.seen.add(pair)
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        return new
+
+
 _RECORDS = "tag int, part int, record string, owner string, role int, cls long, n int, sketch binary, slice int, counts binary"
 
 
 def _summaries(records: DataFrame, measure: Measure) -> DataFrame:
-    """Per record its class, size and sketch (tag 0); per task the slot counts of all values (tag 1)."""
+    """Per record its class, size and sketch (tag 0); per task the slot counts of the values of its classes (tag 1)."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(1 << SLOT_BITS, np.int64)
+        slots, unseen = np.zeros(1 << SLOT_BITS, np.int64), _Unseen()
         schema = pa.schema([("tag", pa.int32()), ("part", pa.int32()), ("record", pa.string()), ("owner", pa.string()), ("role", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
         for batch, texts in batches.portions(stream):
             values, offsets = value_sets(texts, batches.column(batch, "part").to_numpy(zero_copy_only=False), measure)
-            slots += np.bincount((values >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(slots))
-            sizes = np.diff(offsets)
+            sizes, classes = np.diff(offsets), class_keys(values, offsets)
+            new = np.repeat(unseen(classes, batches.column(batch, "role").to_numpy(zero_copy_only=False)), sizes)
+            slots += np.bincount((values[new] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(slots))
             some = np.flatnonzero(sizes)
             if not len(some):
                 continue
@@ -127,7 +149,7 @@ def _summaries(records: DataFrame, measure: Measure) -> DataFrame:
             sketch = _binaries((values >> np.uint64(32)).astype(np.uint32), starts, starts + np.minimum(sizes[some], SKETCH))
             n, none = len(some), pa.nulls(len(some), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, np.int32)), *(batches.column(picked, c) for c in ("part", "record", "owner", "role")), pa.array(class_keys(values, offsets)[some].view(np.int64)), pa.array(sizes[some].astype(np.int32)), sketch, none, pa.nulls(n, pa.binary())],
+                [pa.array(np.zeros(n, np.int32)), *(batches.column(picked, c) for c in ("part", "record", "owner", "role")), pa.array(classes[some].view(np.int64)), pa.array(sizes[some].astype(np.int32)), sketch, none, pa.nulls(n, pa.binary())],
                 schema=schema,
             )
         if slots.any():
@@ -162,18 +184,12 @@ def _postings(records: DataFrame, levels, measure: Measure) -> DataFrame:
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = np.frombuffer(levels.value, np.uint8)
-        seen: set[tuple[int, int]] = set()
+        unseen = _Unseen()
         for batch, texts in batches.portions(stream):
             values, offsets = value_sets(texts, batches.column(batch, "part").to_numpy(zero_copy_only=False), measure)
             roles = batches.column(batch, "role").to_numpy(zero_copy_only=False).astype(np.int64)
             classes = class_keys(values, offsets).view(np.int64)
-            new = np.zeros(len(texts), bool)
-            for i, pair in enumerate(zip(classes.tolist(), roles.tolist())):
-                if pair[0] and pair not in seen:
-                    new[i] = True
-                    seen.add(pair)
-            if len(seen) > REMEMBERED:
-                seen.clear()
+            new = unseen(classes, roles)
             sizes = np.diff(offsets)
             keep = np.repeat(new, sizes)
             values, owner = values[keep], np.repeat(np.arange(len(texts)), sizes)[keep]

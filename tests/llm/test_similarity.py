@@ -60,6 +60,23 @@ def test_long_lists_are_split_without_loss(spark, monkeypatch):
     assert len(got) == len(set(got)) == 40 * 39 // 2
 
 
+def test_a_third_of_all_records_are_copies(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    copy = " ".join(f"stock{i}" for i in range(30))
+    texts = noisy_texts(11, 120, 500, 40)
+    rows = [(f"d{i:03}", t) for i, t in enumerate(texts)] + [(f"s{i:03}", copy) for i in range(60)] + [("near", copy.replace("stock3 ", "other "))]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    chunks = spark.createDataFrame([], CHUNK)
+    levels = similarity._levels(similarity._summaries(near_duplicates.records_of(docs.filter("text like 'stock%'"), chunks), near_duplicates.PROJECT_MEASURE))
+    assert levels.max() <= 2  # copies are counted once for each task, so they make no list long
+    groups = {r["record_id"]: r for r in near_duplicates.duplicate_groups(docs, chunks).collect()}
+    assert len({groups[f"s{i:03}"]["class_id"] for i in range(60)}) == 1 and groups["near"]["n_links"] == 1
+    assert groups["near"]["group_id"] == groups["s000"]["group_id"]
+    pairs = near_duplicates.duplicate_pairs(docs, chunks)
+    assert pairs.filter("id_a like 's%' and id_b like 's%'").count() == 60 * 59 // 2
+    assert {tuple(r)[1:] for r in pairs.collect()} == brute(dict(rows), near_duplicates.PROJECT_MEASURE)
+
+
 def test_groups_and_edge_cases(spark):
     long = " ".join(f"v{i}" for i in range(4000))
     near = long.replace("v17 ", "changed ")
