@@ -8,6 +8,7 @@ named by the path of their rank file.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from functools import lru_cache
 
 import regex
@@ -17,10 +18,34 @@ BLANK = r"[ \t\n\r\f\x0B]"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f\x0B]"
 #: A token with the white space after it; the first takes the white space before it too, so that tokens cover the text.
 PIECE = rf"(?:\A{BLANK}+)?(?:{TOKEN}){BLANK}*"
+_TOKEN = regex.compile(TOKEN)
 # Fixed value: the word pattern of the public byte-level BPE vocabularies.
 BPE_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+_INSIDE = regex.compile(r"[\p{L}\p{N}_]{2}")
+
+
+class Measured:
+    """Token counts of spans of one text."""
+
+    def __init__(self, tokens: "Tokens", text: str):
+        self.tokens, self.text = tokens, text
+        # of the portable encoding, tokens are found once and then counted by place
+        self.starts = [m.start() for m in tokens.first_signs(text)] if tokens.encoding == PORTABLE else None
+
+    def count(self, a: int, b: int) -> int:
+        if self.starts is None:
+            return self.tokens.count(self.text[a:b])
+        if a >= b:
+            return 0
+        parted = a > 0 and _INSIDE.fullmatch(self.text, a - 1, a + 1) is not None  # the rest of a run is a token of its own
+        return bisect_left(self.starts, b) - bisect_left(self.starts, a) + parted
+
+    def windows(self, a: int, b: int, size: int, overlap: int) -> list[tuple[int, int]]:
+        return self.tokens.windows(self.text[a:b], a, size, overlap)
+
+
 class Tokens:
     """Counting and cutting by one encoding."""
 
@@ -32,7 +57,11 @@ class Tokens:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        return sum(1 for _ in self._piece.finditer(text)) if self._piece else len(self._bpe.encode_ordinary(text))
+        return len(_TOKEN.findall(text)) if self._piece else len(self._bpe.encode_ordinary(text))
+
+    @staticmethod
+    def first_signs(text: str):
+        return _TOKEN.finditer(text)
 
     def offsets(self, text: str) -> list[int]:
         """The first sign of each token, and the text's length."""

@@ -72,17 +72,18 @@ def coverage(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 NEEDLE_CHARS = 4_000_000
 
 
-def needle_evalset(docs: DataFrame, needles: DataFrame) -> DataFrame:
+def needle_evalset(docs: DataFrame, needles: DataFrame, once: bool = False) -> DataFrame:
     """Eval pairs anchored by needles (needle_id, corpus, query, needles array): the first document of the corpus, by path, that holds all needles.
 
     Spans are first occurrences, 0-based and half open; null and empty needles
-    are left out, and a pair without any has no host.  The needles are the
+    are left out, and a pair without any has no host.  With `once` a needle that
+    stands in its host twice is an error while running.  The needles are the
     stated query set: they are matched by an automaton in one pass over
     the documents for each block of needles of bounded size.
     """
     spark = docs.sparkSession
     asked = needles.select("needle_id", "corpus", F.array_distinct(F.filter("needles", lambda n: n.isNotNull() & (n != ""))).alias("needles")).filter("size(needles) > 0")
-    schema = "needle string, doc_id string, corpus string, source_path string, at int"
+    schema = "needle string, doc_id string, corpus string, source_path string, at int, times int"
     found = spark.createDataFrame([], schema)
 
     def scan(words: list[str]) -> DataFrame:
@@ -99,10 +100,12 @@ def needle_evalset(docs: DataFrame, needles: DataFrame) -> DataFrame:
                 rows = []
                 for doc, corpus, path, text in frame.itertuples(index=False):
                     first: dict[str, int] = {}
+                    times: dict[str, int] = {}
                     for end, word in automaton.iter(text):
                         first.setdefault(word, end + 1 - len(word))
-                    rows.extend((word, doc, corpus, path, at) for word, at in first.items())
-                yield pd.DataFrame(rows, columns=["needle", "doc_id", "corpus", "source_path", "at"])
+                        times[word] = times.get(word, 0) + 1
+                    rows.extend((word, doc, corpus, path, at, times[word]) for word, at in first.items())
+                yield pd.DataFrame(rows, columns=["needle", "doc_id", "corpus", "source_path", "at", "times"])
 
         return docs.select("doc_id", "corpus", "source_path", "text").filter("text is not null").mapInPandas(run, schema)
 
@@ -117,7 +120,9 @@ def needle_evalset(docs: DataFrame, needles: DataFrame) -> DataFrame:
         found = found.unionByName(scan(block))
     one = asked.select("needle_id", "corpus", F.size("needles").alias("n"), F.posexplode("needles").alias("place", "needle"))
     hits = one.join(found, ["needle", "corpus"]).groupBy("needle_id", "corpus", "n", "doc_id", "source_path").agg(
-        F.countDistinct("place").alias("have"), F.sort_array(F.collect_set(F.struct("place", F.array(F.col("at"), F.col("at") + F.length("needle")).alias("span")))).alias("spans"))
-    host = hits.filter("have = n").groupBy("needle_id", "corpus").agg(F.min_by(F.struct("doc_id", "spans"), F.struct("source_path", "doc_id")).alias("host"))
+        F.countDistinct("place").alias("have"), F.max("times").alias("times"), F.sort_array(F.collect_set(F.struct("place", F.array(F.col("at"), F.col("at") + F.length("needle")).alias("span")))).alias("spans"))
+    host = hits.filter("have = n").groupBy("needle_id", "corpus").agg(F.min_by(F.struct("doc_id", "spans", "times"), F.struct("source_path", "doc_id")).alias("host"))
+    if once:
+        host = host.filter(F.when(F.col("host.times") > 1, F.raise_error(F.concat(F.lit("a needle repeats in its document: "), "needle_id")).cast("boolean")).otherwise(True))
     pairs = host.select("needle_id", "corpus", F.col("host.doc_id").alias("gold_doc_id"), F.transform("host.spans", lambda s: s["span"]).alias("gold_char_spans"))
     return pairs.join(needles.select("needle_id", "corpus", "query").distinct(), ["needle_id", "corpus"])

@@ -6,7 +6,7 @@ Every retriever gives query_id, chunk_id, score, rank and retriever; ranks are
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -259,6 +259,17 @@ def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return joins.keep_matching(chunks, hits, ["chunk_id"], "inner")
 
 
+def reranked(hits: DataFrame, queries: DataFrame, chunks: DataFrame, score: Callable[[Column, Column], Column] | None = None, k: int | None = None) -> DataFrame:
+    """Hits ordered anew by a score of (query, text) columns; without one they stay as they are."""
+    if score is None:
+        return hits if k is None else hits.filter(F.col("rank") <= k)
+    texts = chunks.select("chunk_id", "text").dropDuplicates(["chunk_id"])
+    rows = hits.select("query_id", "chunk_id", "retriever").join(texts, "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    rows = rows.select("query_id", "chunk_id", "retriever", F.round(score(F.col("query"), F.col("text")).cast("double"), 6).alias("score"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+    return (rows if k is None else rows.filter(F.col("rank") <= k)).select("query_id", "chunk_id", "score", "rank", "retriever")
+
+
 # Retrievers and the parameters that they have unless told otherwise.
 RETRIEVERS: dict[str, dict] = {
     "dense": {},

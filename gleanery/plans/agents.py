@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators import chunkers, metrics, retrieval, stats
@@ -229,6 +230,15 @@ def route(catalogue: Catalogue, query: str, corpus: str, k: int = 5, model: Mode
     return decision
 
 
+def route_all(catalogue: Catalogue, queries: DataFrame, corpus: str, k: int = 5, **options: Any) -> DataFrame:
+    """The router as a retriever: hits of a few stated queries (query_id, query), each routed by itself; a model's turns are its cost."""
+    rows: list[tuple] = []
+    for asked in queries.select("query_id", "query").toLocalIterator():
+        found = route(catalogue, asked["query"], corpus, k, **options)
+        rows.extend((asked["query_id"], h["chunk_id"], float(h["score"]), int(h["rank"]), "agent_router") for h in found.hits)
+    return catalogue.spark.createDataFrame(rows, "query_id string, chunk_id string, score double, rank int, retriever string")
+
+
 # --- optimizer ---
 
 

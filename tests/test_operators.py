@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.functions.tokens import PORTABLE, tokens
+from gleanery.functions.tokens import PORTABLE, Measured, tokens
 from gleanery.operators import chunkers, metrics, relations, retrieval, stats
 
 WORDS = " ".join(f"word{i}" for i in range(200))
@@ -64,7 +64,7 @@ def test_fence_is_kept_whole(docs):
     assert sum(r["char_start"] <= start and end <= r["char_end"] for r in rows) == 1
     text = "words " * 20 + "\n\n```\n" + WORDS + "\n```\n\n" + "words " * 20
     a, b = text.index("```"), text.rindex("```") + 3
-    spans = chunkers.recursive_spans(text, 0, 10, 0, chunkers.SEPARATORS, tokens(PORTABLE), [(a, b)])
+    spans = chunkers.recursive_spans(Measured(tokens(PORTABLE), text), (0, len(text)), 10, 0, chunkers.SEPARATORS, [(a, b)])
     assert sum(s <= a and b <= e for s, e in spans) == 1 and not any(a < x < b for s in spans for x in s)
 
 
@@ -142,6 +142,17 @@ def test_needles(spark):
     needles = spark.createDataFrame([("n1", "c", "q", ["xyz", "a"]), ("n2", "c", "q", ["aba"]), ("n3", "c", "q", ["none"]), ("n4", "c", "q", []), ("n5", "c", "q", [None, "", "xyz"])], "needle_id string, corpus string, query string, needles array<string>")
     got = {r["needle_id"]: (r["gold_doc_id"], r["gold_char_spans"]) for r in relations.needle_evalset(docs, needles).collect()}
     assert got == {"n1": ("d1", [[4, 7], [0, 1]]), "n2": ("d2", [[5, 8]]), "n5": ("d1", [[4, 7]])}
+    with pytest.raises(Exception, match="a needle repeats"):
+        relations.needle_evalset(docs, needles, once=True).collect()
+
+
+def test_reranking(spark):
+    chunks = spark.createDataFrame([("A", "aaa"), ("B", "b"), ("C", "cc")], "chunk_id string, text string")
+    queries = spark.createDataFrame([("q", "x")], "query_id string, query string")
+    found = hits(spark, "d", "BCA")
+    assert retrieval.reranked(found, queries, chunks).collect() == found.collect()
+    rows = retrieval.reranked(found, queries, chunks, lambda q, t: F.length(t), 2).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["score"]) for r in rows] == [("A", 3.0), ("C", 2.0)]
 
 
 # --- retrieval ---

@@ -164,6 +164,8 @@ def test_router_and_optimizer(spark, catalogue, tmp_path):
     assert agents.route(catalogue, "what is MAX_AGE_DAYS", "docs").retriever == "bm25"
     found = agents.route(catalogue, "how long do refunds take", "docs", 3)
     assert found.retriever == "dense" and found.index_id == index and len(found.hits) == 3
+    asked = spark.createDataFrame([("1", "how long do refunds take"), ("2", "what is MAX_AGE_DAYS")], "query_id string, query string")
+    assert agents.route_all(catalogue, asked, "docs", 2).count() == 4
     with pytest.raises(LookupError):
         agents.route(catalogue, "x", "docs", exclude_index=index)
     with pytest.raises(RuntimeError):
