@@ -29,11 +29,12 @@ def _is_seed(node: Column, level: int) -> Column:
 def _contract(arcs: DataFrame, level: int) -> DataFrame:
     """node, label for every node of the arcs (u, v, both directions): the seed that reached it first, or itself."""
     nodes = arcs.select(F.col("u").alias("node")).distinct()
-    labels = nodes.withColumn("label", F.when(_is_seed(F.col("node"), level), F.col("node")))
-    for _ in range(ROUNDS):
-        # the frontier is all labelled nodes; nodes without a label take the least label next to them
-        reached = labels.filter("label is not null").join(arcs, F.col("node") == F.col("u")).groupBy("v").agg(F.min("label").alias("near"))
-        labels = labels.join(reached, F.col("node") == F.col("v"), "left").select("node", F.coalesce("label", "near").alias("label"))
+    labels = nodes.withColumn("label", F.when(_is_seed(F.col("node"), level), F.col("node"))).withColumn("born", F.when(F.col("label").isNotNull(), 0))
+    for turn in range(1, ROUNDS + 1):
+        # the frontier is what the last round labelled; each node without a label takes the least one next to it
+        frontier = labels.filter(F.col("born") == turn - 1)
+        reached = frontier.join(arcs, F.col("node") == F.col("u")).groupBy("v").agg(F.min("label").alias("near"))
+        labels = labels.join(reached, F.col("node") == F.col("v"), "left").select("node", F.coalesce("label", "near").alias("label"), F.coalesce("born", F.when(F.col("near").isNotNull(), turn)).alias("born"))
     # a component part without any seed: each node joins its least neighbour if that is less than itself
     least = arcs.groupBy("u").agg(F.min("v").alias("low"))
     lone = labels.join(least, F.col("node") == F.col("u"))

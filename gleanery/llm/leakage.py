@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gleanery.llm import batches, textcodes
 
@@ -154,7 +155,7 @@ def leaks(documents: DataFrame, items: DataFrame, seed_words: int = 13, tile_wor
                 return None
             columns = list(zip(*rows))
             doc = batches.column(batch, "doc_id").take(pa.array(columns[0]))
-            return pa.RecordBatch.from_arrays([doc, pa.array(columns[1]), *(pa.array(c, pa.int32()) for c in columns[2:])], names=[f.name for f in schema])
+            return pa.RecordBatch.from_arrays([doc, pa.array(columns[1], to_arrow_type(id_type)), *(pa.array(c, pa.int32()) for c in columns[2:])], names=[f.name for f in schema])
 
         found = found.unionByName(batches.map_portions(source, schema, work))
     return found.distinct()

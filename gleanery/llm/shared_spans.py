@@ -156,7 +156,7 @@ def _streamed(packed: DataFrame, length: int, fields: str, work) -> DataFrame:
         cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         ends, begin, total = np.r_[cuts[1:], len(group)], 0, np.r_[0, np.cumsum(sizes)]
         for k, end in enumerate(ends.tolist()):
-            if total[end] - total[begin] > batches.PORTION_CHARS // 4 or k == len(ends) - 1:
+            if total[end] - total[begin] > batches.PORTION_BYTES // 4 or k == len(ends) - 1:
                 out = work(table.slice(begin, end - begin), group[begin:end], pieces[begin:end])
                 if out is not None and out.num_rows:
                     yield out
