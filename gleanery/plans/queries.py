@@ -390,11 +390,11 @@ ms AS (SELECT trace_id, run_id, query_id, latency_ms, excluded, list_min(ranks):
 
 
 def _scored_traces(spark, folder):
-    rows = _t(spark, folder, "run_traces").select("trace_id", "run_id", "query_id", "retrieved_chunk_ids", "gold_chunk_ids", "latency_ms", "excluded").distinct()
+    rows = _t(spark, folder, "run_traces").select("trace_id", "run_id", "query_id", "retrieved_chunk_ids", "gold_chunk_ids", "latency_ms", "excluded")
     rows = rows.withColumn("ranks", metrics.hit_ranks(F.col("retrieved_chunk_ids"), F.col("gold_chunk_ids")))
     ranks = F.col("ranks")
     recalls = [metrics.recall_at(ranks, d).alias(f"recall_{d}") for d in (1, 5)]
-    return rows.select("trace_id", "run_id", "query_id", "latency_ms", "excluded", F.array_min(ranks).alias("first_hit_rank"), *recalls, metrics.reciprocal_rank(ranks).alias("mrr"), F.round(metrics.ndcg_at(ranks, F.size(F.array_distinct("gold_chunk_ids")), 10), 6).alias("ndcg_10"))
+    return rows.select("trace_id", "run_id", "query_id", "latency_ms", "excluded", F.array_min(ranks).alias("first_hit_rank"), *recalls, metrics.reciprocal_rank(ranks).alias("mrr"), F.round(metrics.ndcg_at(ranks, F.size(F.array_distinct("gold_chunk_ids")), 10), 6).alias("ndcg_10")).distinct()  # after scoring: no lists are shuffled
 
 
 @_register(f"WITH {_TRACES_SQL} SELECT trace_id, first AS first_hit_rank, (coalesce(first, 99) <= 1)::INT::DOUBLE AS recall_1, (coalesce(first, 99) <= 5)::INT::DOUBLE AS recall_5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, ndcg_10 FROM ms")

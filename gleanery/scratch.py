@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     app = context.applicationId
     if app not in _roots:
-        root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
         if not root:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

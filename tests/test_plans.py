@@ -239,14 +239,11 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
     class Context:
         applicationId, master = "app", "spark://host"
 
-        def getConf(self):
-            return Conf()
-
         def getCheckpointDir(self):
             return None
 
     class Session:
-        sparkContext = Context()
+        sparkContext, conf = Context(), Conf()
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.shared_folder(Session())
