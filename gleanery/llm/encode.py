@@ -185,7 +185,7 @@ class ByteBpe:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         starts = np.flatnonzero(word_starts(codes, offsets))
         ends = np.r_[starts[1:], len(codes)]
-        hashes = textcodes.span_hashes(textcodes._code_values()[codes], starts, ends)
+        hashes = textcodes.span_hashes(textcodes.code_values()[codes], starts, ends)
         _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         joined = "".join(plain)
         distinct = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]

@@ -41,7 +41,7 @@ BLOCK = 500
 def _least(codes: np.ndarray, length: int, k: int) -> np.ndarray:
     """The least hash of the pieces of k signs in each window."""
     starts = np.arange(len(codes) - k + 1)
-    return textcodes.sliding_minimum(textcodes.span_hashes(textcodes._code_values()[codes], starts, starts + k), length - k + 1)
+    return textcodes.sliding_minimum(textcodes.span_hashes(textcodes.code_values()[codes], starts, starts + k), length - k + 1)
 
 
 def buckets(texts: list, length: int, k: int, large: list | None = None, both: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +121,7 @@ def _shared_windows(groups: np.ndarray, blocks: np.ndarray, docs: np.ndarray, pi
     piece = np.repeat(np.arange(len(pieces)), counts)
     at = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = offsets[:-1][piece] + at
-    hashes = textcodes.span_hashes(textcodes._code_values()[codes], starts, starts + length)
+    hashes = textcodes.span_hashes(textcodes.code_values()[codes], starts, starts + length)
     order = np.lexsort((at, docs[piece], hashes, groups[piece]))
     piece, at, hashes = piece[order], at[order], hashes[order]
     new = np.r_[True, (hashes[1:] != hashes[:-1]) | (groups[piece[1:]] != groups[piece[:-1]])]

@@ -53,7 +53,7 @@ def word_classes() -> np.ndarray:
     return _tables["classes"]
 
 
-def _code_values() -> np.ndarray:
+def code_values() -> np.ndarray:
     if "values" not in _tables:
         _tables["values"] = mix(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * _BASE)
     return _tables["values"]
@@ -126,7 +126,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     closing = begins[1:] - 1
     last[closing] = word[closing]
     ends = np.flatnonzero(last) + 1
-    return span_hashes(_code_values()[codes], starts, ends), np.searchsorted(starts, offsets)
+    return span_hashes(code_values()[codes], starts, ends), np.searchsorted(starts, offsets)
 
 
 def run_hashes(values: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,25 @@ SHORT = 30
 #: Ranges of code points counted as scripts.
 SCRIPTS = {"cyrillic": (0x400, 0x52F), "kana": (0x3041, 0x30FF), "han": (0x4E00, 0x9FFF), "latin_marked": (0xC0, 0x24F), "other": (0x530, 0x303F)}
 LANGUAGES = ("en", "de", "es", "fr", "ru", "ja")
-_GERMAN, _SPANISH, _FRENCH = "äöüßÄÖÜ", "ñ¿¡ÑáíóúÁÍÓÚ", "éèêëàâçœîôûùÉÈÀÇ"
+# Common words and marked letters that tell the languages of Latin script apart.
+COMMON = {
+    "en": ("the", "of", "and", "to", "in", "is", "for", "that", "with", "on", "we", "each"),
+    "de": ("der", "die", "das", "und", "den", "dem", "mit", "nicht", "ist", "vor", "nach", "von"),
+    "es": ("el", "los", "las", "del", "que", "una", "por", "con", "para", "se", "al", "y"),
+    "fr": ("le", "les", "des", "et", "une", "est", "pour", "dans", "du", "au", "qui", "il"),
+}
+MARKED = {"en": "", "de": "äöüßÄÖÜ", "es": "ñ¿¡ÑíóúÁÍÓÚ", "fr": "èêëàâçœîôûùÉÈÀÇ"}
+_common: dict[str, np.ndarray] = {}
+
+
+def _common_words() -> dict[str, np.ndarray]:
+    """Sorted hashes of the common words as they stand in a text: small or capitalized, with a blank before or without."""
+    if not _common:
+        for name, words in COMMON.items():
+            forms = [blank + form for w in words for form in (w, w.capitalize()) for blank in ("", " ")]
+            codes, offsets = textcodes.flat_codes(forms)
+            _common[name] = np.sort(textcodes.span_hashes(textcodes.code_values()[codes], offsets[:-1], offsets[1:]))
+    return _common
 
 
 def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +73,14 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
     out = np.stack(columns, axis=1).astype(float)
     scripts = dict(zip(SCRIPTS, out[:, 8:].T))
     letters = np.maximum(out[:, 0], 1)
-    marked = [per_text(np.isin(codes, [ord(c) for c in signs])) for signs in (_GERMAN, _SPANISH, _FRENCH)]
-    language = np.where(np.max(marked, axis=0) * 200 > letters, 1 + np.argmax(marked, axis=0), 0)
+    at = np.flatnonzero(starts)
+    hashes = textcodes.span_hashes(textcodes.code_values()[codes], at, np.r_[at[1:], len(codes)])
+    votes = []
+    for name, common in _common_words().items():
+        flags = np.zeros(len(codes), bool)
+        flags[at[common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes]] = True
+        votes.append(2 * per_text(flags) + per_text(np.isin(codes, [ord(c) for c in MARKED[name]])))
+    language = np.argmax(votes, axis=0)  # of COMMON, which begins as LANGUAGES does
     language = np.where(scripts["cyrillic"] * 5 > letters, 4, language)
     language = np.where((scripts["kana"] + scripts["han"]) * 8 > letters, 5, language)
     return out, language
