@@ -213,7 +213,9 @@ def _postings(records: DataFrame, levels, measure: Measure) -> DataFrame:
             low, high = np.minimum(block, other), np.maximum(block, other)
             salt = (low * blocks[index] + high).astype(np.uint64)
             key = np.where(copies[index] > 1, textcodes.mix(values[index] + salt * np.uint64(0xA24BAED4963EE407)), values[index])
-            tag = ((low != high).astype(np.int64) << 40) | (block << 2) | role[index]
+            # in the smaller set of a similar pair the shared values come early; a row is late where they can't any more
+            late = position > n - measure.needed(n, n).astype(np.int64) + OVERLAPS - 1
+            tag = (late[index].astype(np.int64) << 41) | ((low != high).astype(np.int64) << 40) | (block << 2) | role[index]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(cls[index]), pa.array(n[index].astype(np.int32)), pa.array(position[index].astype(np.int32)), pa.array(tag)],
                 names=["key", "cls", "n", "pos", "tag"],
@@ -230,8 +232,9 @@ def _candidates(postings: DataFrame, measure: Measure) -> DataFrame:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         lengths = np.diff(np.r_[first, len(key)])
         end = np.repeat(first + lengths, lengths)
-        index, step, out = np.arange(len(key)), 1, []
-        role, list_block, cross = tag & 3, (tag >> 2) & ((1 << 38) - 1), (tag >> 40).astype(bool)
+        role, list_block, cross, late = tag & 3, (tag >> 2) & ((1 << 38) - 1), (tag >> 40 & 1).astype(bool), (tag >> 41).astype(bool)
+        # early rows come first in a list; two late rows are no candidate
+        index, step, out = np.flatnonzero(~late), 1, []
         while True:
             index = index[index + step < end[index]]
             if not len(index):
@@ -268,7 +271,7 @@ def _candidates(postings: DataFrame, measure: Measure) -> DataFrame:
         if rest.shape[1] and (out := pairs(rest)) is not None:
             yield out
 
-    return postings.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
+    return postings.repartition("key").sortWithinPartitions("key", "tag", "cls").mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, measure: Measure) -> DataFrame:
