@@ -21,6 +21,7 @@ SCRIPTS = (
     ("ja", "[぀-ヿㇰ-ㇿ]"), ("zh", "[一-鿿]"), ("ko", "[가-힣]"), ("ru", "[Ѐ-ӿ]"), ("ar", "[؀-ۿ]"),
     ("hi", "[ऀ-ॿ]"), ("de", "[ßäöüÄÖÜ]"), ("es", "[ñÑ¿¡]"), ("fr", "[œŒçàâêîïôûéèÇÀÂÊÎÏÔÛÉÈ]"),
 )
+# Patterns of fenced code, headings and the separator rows of tables.
 FENCE = r"(?s)```.*?```"
 HEADING = r"(?md)^(#{1,6})[ \t]+(.+?)[ \t]*$"
 SEPARATOR_ROW = r"^\s*\|*\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|*\s*$"
