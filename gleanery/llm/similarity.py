@@ -228,12 +228,14 @@ def _candidates(postings: DataFrame, measure: Measure) -> DataFrame:
     """Distinct pairs of classes (a < b) that share enough retained values and pass the size and position bounds."""
 
     def pairs(block: np.ndarray) -> pa.RecordBatch | None:
+        lists = np.cumsum(np.r_[False, block[0][1:] != block[0][:-1]])
+        block = block[:, np.argsort(lists * 2 + (block[4] >> 41), kind="stable")]  # early rows come first in a list
         key, cls, n, pos, tag = (block[c] for c in range(5))
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         lengths = np.diff(np.r_[first, len(key)])
         end = np.repeat(first + lengths, lengths)
         role, list_block, cross, late = tag & 3, (tag >> 2) & ((1 << 38) - 1), (tag >> 40 & 1).astype(bool), (tag >> 41).astype(bool)
-        # early rows come first in a list; two late rows are no candidate
+        # two late rows are no candidate
         index, step, out = np.flatnonzero(~late), 1, []
         while True:
             index = index[index + step < end[index]]
@@ -271,7 +273,7 @@ def _candidates(postings: DataFrame, measure: Measure) -> DataFrame:
         if rest.shape[1] and (out := pairs(rest)) is not None:
             yield out
 
-    return postings.repartition("key").sortWithinPartitions("key", "tag", "cls").mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, measure: Measure) -> DataFrame:
