@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Spellings in the data and what they mean.
-SPLITS = {"train": "train", "training": "train", "trn": "train", "dev": "dev", "val": "dev", "valid": "dev", "validation": "dev", "test": "test", "tst": "test"}
+SPLITS = {"train": "train", "training": "train", "trn": "train", "dev": "dev", "val": "dev", "valid": "dev", "validation": "dev", "development": "dev", "test": "test", "tst": "test", "testing": "test"}
 LANGUAGES = {
     "de": "de", "deu": "de", "ger": "de", "german": "de", "en": "en", "eng": "en", "english": "en", "es": "es", "spa": "es", "spanish": "es",
     "fr": "fr", "fra": "fr", "fre": "fr", "french": "fr", "ja": "ja", "jp": "ja", "jpn": "ja", "japanese": "ja", "ru": "ru", "rus": "ru", "russian": "ru",
@@ -20,7 +20,8 @@ def _look_up(table: dict[str, str], key: Column) -> Column:
 
 
 def tidy(value: Column) -> Column:
-    return F.lower(F.trim(value))
+    """Lower case without outer white space of any kind."""
+    return F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
 
 
 def split_name(value: Column) -> Column:

@@ -10,7 +10,7 @@ MOVES = "old_doc_id string, new_doc_id string"
 def test_bare_ids_and_labels(spark):
     rows = spark.createDataFrame([("doc:F2E4-0ff9-4a33",), (" ab ",), ("xyz",), (None,), ("api_docs/f2e40ff94a33",)], "x string").select(labels.bare_id(F.col("x")).alias("b")).collect()
     assert [r["b"] for r in rows] == ["f2e40ff94a33", "ab", None, None, "f2e40ff94a33"]
-    rows = spark.createDataFrame([(" VALID", "fr_FR", " Legal "), (None, None, None), ("odd", "xx", ""), ("trn", "JPN", "x")], "s string, l string, d string")
+    rows = spark.createDataFrame([(" VALID", "fr_FR", "\u00a0Legal\t"), (None, None, None), ("odd", "xx", ""), ("trn", "JPN", "x")], "s string, l string, d string")
     got = [tuple(r) for r in rows.select(labels.split_name(F.col("s")), labels.language(F.col("l")), labels.domain(F.col("d"))).collect()]
     assert got == [("dev", "fr", "legal"), (None, "und", "unknown"), (None, "und", "unknown"), ("train", "ja", "x")]
 
