@@ -16,7 +16,7 @@ from gleanery.llm import labels, similarity
 from gleanery.llm.similarity import Measure
 
 #: Sets of single words with a Jaccard similarity of at least 0.6; see TESTDATA.md.
-PROJECT_MEASURE = Measure(run_length=1, threshold=0.6, min_words=1, cross_only=True)
+PROJECT_MEASURE = Measure(run_length=1, threshold=0.6, min_words=1, cross_only=True, overlaps=1)
 
 
 def question_records(evalset: DataFrame) -> DataFrame:

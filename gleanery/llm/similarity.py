@@ -40,8 +40,6 @@ SLOT_BITS = 22
 SLICES = 64
 #: Values in the sketch for the estimate.
 SKETCH = 32
-#: Retained values that a candidate pair shares at least (h above).
-OVERLAPS = 3
 #: Rows of one block of a long inverted list.
 BLOCK = 1024
 #: Classes that a task remembers in order not to count and list copies again.
@@ -52,20 +50,22 @@ REMEMBERED = 300_000
 class Measure:
     """What counts as similar: distinct runs of `run_length` words, Jaccard >= threshold, for records of at least `min_words` words.
 
-    With `cross_only` a pair needs a record of role 1 on one side and of role 2 on the other.
+    A candidate shares at least `overlaps` retained values (h above): several
+    where sets have dozens of values, one where they have few.  With `cross_only` a pair needs a record of role 1 on one side and of role 2 on the other.
     """
 
     run_length: int = 5
     threshold: float = 0.8
     min_words: int = 1
     cross_only: bool = False
+    overlaps: int = 3
 
     def needed(self, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         """The least overlap of two sets that are similar."""
         return np.ceil(self.threshold / (1 + self.threshold) * (n_a + n_b) - 1e-9)
 
     def retained(self, n: np.ndarray) -> np.ndarray:
-        return n - np.ceil(self.threshold * n - 1e-9).astype(np.int64) + OVERLAPS
+        return n - np.ceil(self.threshold * n - 1e-9).astype(np.int64) + self.overlaps
 
     def least_sketch_hits(self) -> int:
         """Hits in a union sketch of SKETCH values that a similar pair misses with probability below 1e-8."""
@@ -214,7 +214,7 @@ def _postings(records: DataFrame, levels, measure: Measure) -> DataFrame:
             salt = (low * blocks[index] + high).astype(np.uint64)
             key = np.where(copies[index] > 1, textcodes.mix(values[index] + salt * np.uint64(0xA24BAED4963EE407)), values[index])
             # in the smaller set of a similar pair the shared values come early; a row is late where they can't any more
-            late = position > n - measure.needed(n, n).astype(np.int64) + OVERLAPS - 1
+            late = position > n - measure.needed(n, n).astype(np.int64) + measure.overlaps - 1
             tag = (late[index].astype(np.int64) << 41) | ((low != high).astype(np.int64) << 40) | (block << 2) | role[index]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(cls[index]), pa.array(n[index].astype(np.int32)), pa.array(position[index].astype(np.int32)), pa.array(tag)],
@@ -244,15 +244,15 @@ def _candidates(postings: DataFrame, measure: Measure) -> DataFrame:
             x, y = index, index + step
             n_x, n_y = n[x], n[y]
             good = (cls[x] != cls[y]) & (np.minimum(n_x, n_y) >= measure.threshold * np.maximum(n_x, n_y) - 1e-9)
-            # the first OVERLAPS shared values of a similar pair all pass this bound
+            # the first `overlaps` shared values of a similar pair all pass this bound
             needed = measure.needed(n_x, n_y)
-            good &= OVERLAPS + np.minimum(n_x - pos[x], n_y - pos[y]) - 1 >= needed
+            good &= measure.overlaps + np.minimum(n_x - pos[x], n_y - pos[y]) - 1 >= needed
             good &= ~cross[x] | (list_block[x] != list_block[y])
             if measure.cross_only:
                 good &= (role[x] | role[y]) == 3
             if good.any():
                 x, y = x[good], y[good]
-                out.append(np.stack([np.minimum(needed[good], OVERLAPS).astype(np.int64), np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
+                out.append(np.stack([np.minimum(needed[good], measure.overlaps).astype(np.int64), np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
             step += 1
         if not out:
             return None

@@ -94,7 +94,7 @@ def test_groups_and_edge_cases(spark):
 
 
 def test_default_measure_is_five_words_and_four_fifths():
-    assert Measure() == Measure(5, 0.8, 1, False)
+    assert Measure() == Measure(5, 0.8, 1, False, 3)
 
 
 @pytest.fixture()
