@@ -68,6 +68,13 @@ def test_fence_is_kept_whole(docs):
     assert sum(s <= a and b <= e for s, e in spans) == 1 and not any(a < x < b for s in spans for x in s)
 
 
+def test_fences_are_split_by_windows_but_not_by_structure(docs):
+    fences = stats.regions(docs.filter("doc_id = 'fenced'"), "fence")
+    fixed = chunkers.chunk(docs.filter("doc_id = 'fenced'"), "fixed", {"chunk_tokens": 128, "overlap_tokens": 0})
+    structural = chunkers.chunk(docs.filter("doc_id = 'fenced'"), "markdown", {"max_tokens": 128, "min_tokens": 16})
+    assert relations.split_regions(fixed, fences).count() == 1 and relations.split_regions(structural, fences).count() == 0
+
+
 def test_heading_paths_by_position(docs):
     rows = chunkers.chunk(docs, "markdown", {"max_tokens": 500, "min_tokens": 1}).filter("doc_id = 'deep'").orderBy("ordinal").collect()
     assert [r["heading_path"] for r in rows] == [[], ["Second level first"]]
