@@ -354,7 +354,8 @@ def truncated_dense_topk(spark, folder):
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, score FROM f QUALIFY rank <= 10""")
 def hybrid_rrf(spark, folder):
     asked, store = _vectors(spark, folder)
-    lists = {"whole": retrieval.dense(asked, store, 10), "short": retrieval.dense(_short(asked, "vector"), _short(store, "embedding"), 10)}
+    deep = max(retrieval.RETRIEVERS["hybrid"]["candidate_k"], 10)  # cut to 10 only after fusion
+    lists = {"whole": retrieval.dense(asked, store, deep), "short": retrieval.dense(_short(asked, "vector"), _short(store, "embedding"), deep)}
     return retrieval.fuse(lists, 10, 60, {"whole": 2.0}).select("query_id", "chunk_id", "rank", "score")
 
 

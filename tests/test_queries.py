@@ -38,3 +38,20 @@ def test_rest_stands_without_the_text_package():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"gleanery(\.| import )llm", path.read_text()), path
+
+
+def test_fusion_takes_fifty_of_each_list(spark):
+    import numpy as np
+
+    rows = pd.read_parquet(f"{FOLDER}/embeddings.parquet").sort_values("vec_id")
+    ids, whole = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(float)
+    asked = np.flatnonzero(ids % 20 == 0)
+    sums: dict[tuple, float] = {}
+    for weight, v in ((2.0, whole), (1.0, whole[:, :16])):
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        for q, scores in zip(asked, np.round(unit[asked] @ unit.T, 6)):
+            for rank, i in enumerate(np.lexsort((ids, -scores))[:50], 1):
+                sums[ids[q], ids[i]] = sums.get((ids[q], ids[i]), 0) + weight / (60 + rank)
+    want = {(q, rank, c) for q in ids[asked] for rank, (_, c) in enumerate(sorted((-round(s, 9), c) for (p, c), s in sums.items() if p == q)[:10], 1)}
+    got = queries.queries()["hybrid_rrf"](spark, FOLDER).select("query_id", "rank", "chunk_id").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
