@@ -1,7 +1,7 @@
 """Evaluation texts that leak into training text (problem 7).
 
 Greedy string tiling on words: runs of `seed_words` words that a document
-shares with an item are the seeds; the longest common stretches are marked as
+shares with an item are the seeds (13 for pairs, as short as a tile where coverage decides); the longest common stretches are marked as
 tiles again and again, none overlapping another in either text, with running
 Karp-Rabin hashes finding the matches of each length; the share of the item that
 the tiles cover tells a leak, also where passages were put in another order.
@@ -31,21 +31,35 @@ BLOCK_WORDS = 2_000_000
 
 @dataclass(frozen=True)
 class Items:
-    """Held-out items of one block: ids, flat word hashes with offsets, and seeds sorted by hash with the items they occur in."""
+    """Held-out items of one block: ids, flat word hashes with offsets, and seeds sorted by hash with their places among the words."""
 
     ids: list
     words: np.ndarray
     offsets: np.ndarray
     seeds: np.ndarray
-    owners: np.ndarray
+    places: np.ndarray
 
     @classmethod
     def of(cls, ids: list, texts: list, seed_words: int) -> "Items":
         words, offsets = textcodes.words(texts)
         hashes, runs = textcodes.run_hashes(words, offsets, seed_words)
-        owners = np.repeat(np.arange(len(ids)), np.diff(runs))
-        rows = np.unique(np.stack([hashes, owners.astype(np.uint64)]), axis=1)
-        return cls(ids, words, offsets, rows[0], rows[1].astype(np.int64))
+        places = np.arange(len(hashes)) + np.repeat(offsets[:-1] - runs[:-1], np.diff(runs))
+        order = np.argsort(hashes, kind="stable")
+        return cls(ids, words, offsets, hashes[order], places[order])
+
+    def sharing(self, hashes: np.ndarray, seed_words: int, coverage: float) -> np.ndarray:
+        """The items that have a seed among the hashes, and at least `coverage` of whose words lie in such seeds: no tiles cover more."""
+        hashes = np.unique(hashes)
+        first, last = np.searchsorted(self.seeds, hashes), np.searchsorted(self.seeds, hashes, side="right")
+        first, n = first[last > first], (last - first)[last > first]
+        if not len(n):
+            return np.zeros(0, np.int64)
+        places = np.sort(self.places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)])
+        owner = np.searchsorted(self.offsets, places, side="right") - 1
+        room = np.full(len(places), seed_words)
+        room[:-1] = np.where(owner[1:] == owner[:-1], np.minimum(np.diff(places), seed_words), seed_words)
+        covered = np.bincount(owner, room, len(self.ids))
+        return np.flatnonzero((covered > 0) & (covered >= coverage * np.diff(self.offsets) - 1e-6))
 
 
 def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -114,21 +128,24 @@ def _blocks(items: DataFrame, key: str, text: str, seed_words: int) -> Iterator[
         yield Items.of(ids, texts, seed_words)
 
 
-def leaks(documents: DataFrame, items: DataFrame, seed_words: int = 13, tile_words: int | None = None, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, seed_words: int = 13, tile_words: int | None = None, coverage: float = 0.0, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, longest_tile, tiles, covered_words, item_words for each document and item with a common run of `seed_words` words.
 
     Tiles shorter than `tile_words` (seed_words unless given) are not looked
-    for.  Null texts, rows with a null key and items with fewer than
+    for; with tiles no shorter than seeds, pairs below `coverage` may be left
+    out.  Null texts, rows with a null key and items with fewer than
     `seed_words` words have no match; rows sent again give one row.
     """
     tile_words = tile_words or seed_words
+    if coverage and tile_words < seed_words:
+        raise ValueError("a bound on coverage needs seeds no longer than tiles")
     spark = documents.sparkSession
     source = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     id_type = items.schema[item_key].dataType
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("item_id", id_type), *(T.StructField(c, T.IntegerType()) for c in ("longest_tile", "tiles", "covered_words", "item_words"))])
     found = spark.createDataFrame([], schema)
     for block in _blocks(items, item_key, text, seed_words):
-        shared = spark.sparkContext.broadcast((block.ids, block.words, block.offsets, block.seeds, block.owners))
+        shared = spark.sparkContext.broadcast((block.ids, block.words, block.offsets, block.seeds, block.places))
 
         def work(batch: pa.RecordBatch, texts: list, shared=shared) -> pa.RecordBatch | None:
             own = Items(*shared.value)
@@ -138,19 +155,14 @@ def leaks(documents: DataFrame, items: DataFrame, seed_words: int = 13, tile_wor
                 return None
             at = np.searchsorted(own.seeds, hashes)
             hit = np.flatnonzero(own.seeds[np.minimum(at, len(own.seeds) - 1)] == hashes)
-            if not len(hit):
-                return None
-            first, last = at[hit], np.searchsorted(own.seeds, hashes[hit], side="right")
-            spread = np.repeat(np.arange(len(hit)), last - first)
-            owner = own.owners[np.arange(len(spread)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[spread]]
-            text_of = np.searchsorted(runs, hit[spread], side="right") - 1
-            pairs = np.unique(np.stack([text_of, owner]), axis=1)
+            ends = np.searchsorted(hit, runs)  # a text's hits at a time: at most all seeds of the block are looked at together
             rows = []
-            for t, i in pairs.T.tolist():
-                item = own.words[own.offsets[i] : own.offsets[i + 1]]
-                got = tiles(words[offsets[t] : offsets[t + 1]], item, min(tile_words, seed_words))
-                if got and got[0][2] >= seed_words:
-                    rows.append((t, own.ids[i], got[0][2], len(got), sum(x[2] for x in got), len(item)))
+            for t in np.flatnonzero(np.diff(ends)).tolist():
+                for i in own.sharing(hashes[hit[ends[t] : ends[t + 1]]], seed_words, coverage).tolist():
+                    item = own.words[own.offsets[i] : own.offsets[i + 1]]
+                    got = tiles(words[offsets[t] : offsets[t + 1]], item, min(tile_words, seed_words))
+                    if got and got[0][2] >= seed_words:
+                        rows.append((t, own.ids[i], got[0][2], len(got), sum(x[2] for x in got), len(item)))
             if not rows:
                 return None
             columns = list(zip(*rows))
@@ -166,8 +178,11 @@ def leaked_pairs(documents: DataFrame, items: DataFrame, seed_words: int = 13, *
     return leaks(documents, items, seed_words, **keys).select("doc_id", "item_id").distinct()
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, seed_words: int = 13, tile_words: int = 5, coverage: float = 0.5) -> DataFrame:
-    """item_id, n_docs, best_coverage: items of which tiles of `tile_words` words or more cover at least `coverage` in some document."""
+def leaked_items(documents: DataFrame, items: DataFrame, tile_words: int = 5, coverage: float = 0.5) -> DataFrame:
+    """item_id, n_docs, best_coverage: items of which tiles of `tile_words` words or more cover at least `coverage` in some document.
+
+    The seeds are as short as the tiles, so that the coverage alone decides.
+    """
     share = F.col("covered_words") / F.col("item_words")
-    found = leaks(documents, items, seed_words, tile_words).filter(share >= coverage)
+    found = leaks(documents, items, tile_words, coverage=coverage).filter(share >= coverage)
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.round(F.max(share), 6).alias("best_coverage"))

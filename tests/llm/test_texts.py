@@ -124,6 +124,29 @@ def test_tiling_catches_reordered_passages(spark):
     assert [tuple(r) for r in leakage.leaked_items(docs, items).collect()] == [(1, 1, 1.0)]
 
 
+def test_coverage_alone_decides_on_items(spark):
+    parts = [" ".join(f"{p}{i}" for i in range(6)) for p in "abcd"]
+    docs = spark.createDataFrame([(1, f"{parts[2]} x {parts[0]} y {parts[3]} z {parts[1]}"), (2, f"{parts[1]} x {parts[3]}"), (3, parts[0]), (4, " ".join(parts).replace("3", "3 x "))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(parts)), (2, parts[0]), (3, f"{parts[0]} {parts[0]}"), (4, "a0 a1 a2 a3")], "item_id long, text string")
+    got = {tuple(r) for r in leakage.leaked_items(docs, items).collect()}
+    assert got == {(1, 3, 1.0), (2, 2, 1.0), (3, 2, 0.5)}  # document 4 holds three runs of 6 words of item 1
+
+
+def test_coverage_bound_drops_no_item(spark):
+    rnd = random.Random(5)
+    text = lambda n: " ".join(rnd.choice("abcdef") for _ in range(n))
+    docs, items = {i: text(rnd.randint(0, 120)) for i in range(40)}, {i: text(rnd.randint(0, 14)) for i in range(60)}
+    best: dict[int, list[float]] = {}
+    for y, item in items.items():
+        for doc in docs.values():
+            one, two = textcodes.words([doc])[0], textcodes.words([item])[0]
+            share = sum(n for *_, n in leakage.tiles(one, two, 3)) / max(len(two), 1)
+            if share >= 0.5:
+                best.setdefault(y, []).append(share)
+    got = leakage.leaked_items(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"), tile_words=3)
+    assert {tuple(r) for r in got.collect()} == {(y, len(x), round(max(x), 6)) for y, x in best.items()} and 10 < len(best) < 60
+
+
 # --- cuts ---
 
 
