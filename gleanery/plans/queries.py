@@ -57,9 +57,15 @@ def _chunks(spark: SparkSession, folder: str, *columns: str, table: str = "chunk
     return _t(spark, folder, table).select(*columns).distinct()
 
 
-def _pairs(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
-    """Eval pairs of one split (as it is written) that have a query."""
-    rows = _t(spark, folder, "evalset").filter((F.lower(F.trim("split")) == split) & F.col("query").isNotNull() & F.col("query_id").isNotNull())
+#: Spellings of the split whose questions are the stated query set of the searches.
+_TEST = ("test", "tst", "testing")
+
+
+def _pairs(spark: SparkSession, folder: str, splits: tuple[str, ...] | None = None) -> DataFrame:
+    """Eval pairs that have a query, of every split unless the spellings of one are given."""
+    rows = _t(spark, folder, "evalset").filter("query is not null and query_id is not null")
+    if splits:
+        rows = rows.filter(F.lower(F.regexp_replace("split", r"(?U)^\s+|\s+$", "")).isin(*splits))
     return rows.select("query_id", "corpus", "query", "gold_doc_id", "gold_char_spans").distinct()
 
 
@@ -289,8 +295,8 @@ fill AS (SELECT q.query_id, c.chunk_id, 0.0::DOUBLE AS score FROM (SELECT DISTIN
 hits AS (SELECT query_id, chunk_id, score, rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, score FROM best WHERE r <= 10 UNION ALL SELECT * FROM fill)) WHERE rank <= 10)"""
 
 
-def _bm25(spark, folder, k=10):
-    return retrieval.bm25(_pairs(spark, folder).select("query_id", "query").distinct(), _chunks(spark, folder, "chunk_id", "text"), k)
+def _bm25(spark, folder, k=10, splits=_TEST):
+    return retrieval.bm25(_pairs(spark, folder, splits).select("query_id", "query").distinct(), _chunks(spark, folder, "chunk_id", "text"), k)
 
 
 @_register(f"WITH {_CHUNKS_SQL}, {_PAIRS_SQL}, {_BM25_SQL} SELECT query_id, chunk_id, rank::INT AS rank, score FROM hits")
@@ -363,7 +369,7 @@ def hybrid_rrf(spark, folder):
 def hash_embed_topk(spark, folder):
     chunks = _t(spark, folder, "chunks_child").select("chunk_id", "embed_text").distinct()
     store = chunks.select("chunk_id", vectors.embedding(F.col("embed_text"), "hash").alias("embedding"))
-    asked = retrieval.embed_queries(_pairs(spark, folder).select("query_id", "query").distinct())
+    asked = retrieval.embed_queries(_pairs(spark, folder, _TEST).select("query_id", "query").distinct())
     return retrieval.dense(asked, store, 10).select("query_id", "chunk_id", "rank", "score")
 
 
@@ -380,7 +386,7 @@ SELECT count(*) AS queries, sum(CASE WHEN m.query_id IS NULL THEN 1 ELSE 0 END):
 FROM pairs LEFT JOIN m USING (query_id) LEFT JOIN size USING (query_id)""")
 def bm25_metrics(spark, folder):
     pairs, chunks = _pairs(spark, folder), _chunks(spark, folder, "chunk_id", "doc_id", "char_start", "char_end", "token_count")
-    rows = metrics.traces(pairs, _bm25(spark, folder), relations.resolve_gold(pairs, chunks), chunks, 10)
+    rows = metrics.traces(pairs, _bm25(spark, folder, splits=None), relations.resolve_gold(pairs, chunks), chunks, 10)
     return metrics.summary(rows.withColumn("excluded", F.col("excluded").cast("long"))).drop("all_spans_hit")
 
 

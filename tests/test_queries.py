@@ -55,3 +55,21 @@ def test_fusion_takes_fifty_of_each_list(spark):
     want = {(q, rank, c) for q in ids[asked] for rank, (_, c) in enumerate(sorted((-round(s, 9), c) for (p, c), s in sums.items() if p == q)[:10], 1)}
     got = queries.queries()["hybrid_rrf"](spark, FOLDER).select("query_id", "rank", "chunk_id").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("name, splits", [("gold_resolution", None), ("bm25_metrics", None), ("bm25_topk", ["test", "tst", "testing"])])
+def test_every_pair_and_spelling_counts(spark, tmp_path, name, splits):
+    duckdb = pytest.importorskip("duckdb")
+    for path in glob.glob(f"{FOLDER}/*.parquet"):
+        os.symlink(path, tmp_path / os.path.basename(path))
+    os.remove(tmp_path / "evalset.parquet")
+    engine = duckdb.connect()
+    engine.sql(f"CREATE TABLE e AS SELECT * REPLACE (CASE WHEN lower(trim(split)) = 'test' AND query_id[-1] < '8' THEN '\tTst ' ELSE split END AS split) FROM '{FOLDER}/evalset.parquet'")
+    engine.sql(f"COPY e TO '{tmp_path}/evalset.parquet'")
+    # the SQL over a view whose split column says test for each pair that has to count
+    wanted = "true" if splits is None else f"regexp_replace(lower(split), '\\s', '', 'g') IN {tuple(splits)}"
+    for path in glob.glob(f"{tmp_path}/*.parquet"):
+        table = os.path.basename(path)[:-8]
+        engine.sql(f"CREATE VIEW {table} AS SELECT * {f"REPLACE (CASE WHEN {wanted} THEN 'test' END AS split)" if table == 'evalset' else ''} FROM '{path}'")
+    got = queries.queries()[name](spark, str(tmp_path)).toPandas()
+    assert rows_of(got) == rows_of(engine.sql(queries.oracle_sql()[name]).df())
