@@ -313,7 +313,7 @@ def bm25_terms(spark, folder):
 SELECT query_id, chunk_id, rank, n_children FROM (SELECT query_id, parent_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, parent_id)::INT AS rank, n_children FROM b) WHERE rank <= 5""")
 def parent_doc_topk(spark, folder):
     linked = _chunks(spark, folder, "chunk_id", "parent_id").filter("parent_id is not null")
-    hits = _bm25(spark, folder).join(linked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    hits = _bm25(spark, folder, 5 * retrieval.RETRIEVERS["parent_doc"]["fanout"]).join(linked.select("chunk_id").distinct(), "chunk_id", "left_semi")
     return retrieval.to_parents(hits, linked, 5).select("query_id", "chunk_id", "rank", "n_children")
 
 

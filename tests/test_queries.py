@@ -4,6 +4,7 @@ import os
 import pandas as pd
 import pytest
 
+from gleanery.operators import retrieval
 from gleanery.plans import queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,3 +74,13 @@ def test_every_pair_and_spelling_counts(spark, tmp_path, name, splits):
         engine.sql(f"CREATE VIEW {table} AS SELECT * {f"REPLACE (CASE WHEN {wanted} THEN 'test' END AS split)" if table == 'evalset' else ''} FROM '{path}'")
     got = queries.queries()[name](spark, str(tmp_path)).toPandas()
     assert rows_of(got) == rows_of(engine.sql(queries.oracle_sql()[name]).df())
+
+
+def test_parents_come_from_five_children_each(spark):
+    best = retrieval.bm25(queries._pairs(spark, FOLDER, queries._TEST).select("query_id", "query").distinct(), queries._chunks(spark, FOLDER, "chunk_id", "text"), 25).toPandas()
+    linked = pd.read_parquet(f"{FOLDER}/chunks_child.parquet", columns=["chunk_id", "parent_id"]).drop_duplicates().dropna()
+    hits = best.merge(linked, on="chunk_id")
+    by = hits.groupby(["query_id", "parent_id"]).agg(first=("rank", "min"), n=("chunk_id", "nunique")).reset_index().sort_values(["query_id", "first", "parent_id"])
+    want = {(q, p, i + 1, n) for q, rows in by.groupby("query_id") for i, (p, n) in enumerate(zip(rows["parent_id"][:5], rows["n"][:5]))}
+    got = queries.queries()["parent_doc_topk"](spark, FOLDER).select("query_id", "chunk_id", "rank", "n_children").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
