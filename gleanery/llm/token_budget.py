@@ -25,7 +25,7 @@ SAMPLE_ROWS = 6_000
 SAMPLE_CHARS = 20_000
 #: Texts of a language below which the model of all languages is used.
 LEAST_ROWS = 60
-#: A prediction under so many tokens is never relied on by `unusable_counts`.
+#: Texts under so many tokens do not count in the measured error of single texts.
 SHORT = 30
 #: Ranges of code points counted as scripts.
 SCRIPTS = {"cyrillic": (0x400, 0x52F), "kana": (0x3041, 0x30FF), "han": (0x4E00, 0x9FFF), "latin_marked": (0xC0, 0x24F), "other": (0x530, 0x303F)}
@@ -147,25 +147,19 @@ def _fit_sample(sample: pd.DataFrame) -> TokenModel:
     return TokenModel(weights, bias, slack)
 
 
-def unusable_counts(chunks: DataFrame, vocabulary: str = encode.DEFAULT_VOCABULARY, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def unusable_counts(chunks: DataFrame, vocabulary: str = encode.DEFAULT_VOCABULARY) -> DataFrame:
     """chunk_id of chunks whose token_count is null, not positive, or off by more than a factor of two.
 
-    The model clears the chunks whose count is well inside the factor (by the
-    slack of their language); all others, and all short ones, are tokenized.
+    Every text with a positive count is tokenized; no count is cleared by an estimate.
     A null or empty text has 0 tokens, so that any positive count is too large.
     """
     rows = chunks.select("chunk_id", "text", F.col("token_count").cast("double").alias("told")).filter("chunk_id is not null")
     unusable = rows.filter("told is null or told <= 0").select("chunk_id")
-    model = chunks.sparkSession.sparkContext.broadcast(fit(rows, vocabulary, sample_rows))
 
-    def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch | None:
+    def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         told = batches.column(batch, "told").to_numpy(zero_copy_only=False)
-        guess, slack = model.value.predict(texts)
-        doubt = np.flatnonzero((guess < SHORT) | (told * slack >= 2 * guess) | (told * 2 <= guess * slack))
-        if not len(doubt):
-            return None
-        true = encode.ByteBpe.load(vocabulary).count([texts[i] for i in doubt.tolist()])
-        bad = doubt[(told[doubt] > 2 * true) | (2 * told[doubt] < true)]
+        true = encode.ByteBpe.load(vocabulary).count(texts)
+        bad = np.flatnonzero((told > 2 * true) | (2 * told < true))
         return pa.RecordBatch.from_arrays([batches.column(batch, "chunk_id").take(pa.array(bad))], names=["chunk_id"])
 
     wrong = batches.map_portions(rows.filter("told > 0"), "chunk_id string", work)

@@ -256,3 +256,14 @@ def test_budget_is_near_the_truth(spark):
         true = int(bpe.count([t for _, x, t in rows[:300] if x == lang]).sum())
         assert abs(out[("doc", lang, "legal")][1] / true - 1) < 0.05
     assert token_budget.token_budget(docs.limit(0), chunks.limit(0)).count() == 0
+
+
+def test_no_count_is_cleared_by_an_estimate(spark):
+    rnd = random.Random(4)
+    plain = [(f"c{i}", " ".join(rnd.choice(["the", "house", "and", "water", "time", "people"]) for _ in range(80)), 80) for i in range(300)]
+    odd = " ".join("".join(rnd.choice("bcdfghjkqxz") for _ in range(9)) for _ in range(2500))  # too long for the sample
+    chunks = lambda told: spark.createDataFrame([*plain, ("odd", odd, told)], "chunk_id string, text string, token_count long")
+    guess = int(token_budget.fit(chunks(1)).predict([odd])[0][0])
+    true = int(encode.ByteBpe.load(encode.DEFAULT_VOCABULARY).count([odd])[0])
+    assert true > 2 * guess
+    assert [r["chunk_id"] for r in token_budget.unusable_counts(chunks(guess)).collect()] == ["odd"]
