@@ -1,6 +1,7 @@
 """Cutting oversized texts at natural boundaries, and judging cuts that others made (problem 4).
 
-Both directions share one notion of a boundary.  A position may not be cut
+Both directions follow one notion of a boundary; the fences are found by one
+function, the rule for word runs is written once for each direction.  A position may not be cut
 inside a run of letters and digits (kana and kanji excepted) or inside a fenced
 code block, unless the run or block is itself longer than the limit.  All other
 positions have a strength: paragraph, line, sentence, clause, blank, none.
