@@ -4,8 +4,9 @@ Windows of `length` code points are never shipped one by one.  Consecutive
 windows that share a minimiser (the least hash of the k-signs-long pieces in the
 window) travel as one packed string, a super-k-mer, to the minimiser's bucket.
 Two equal windows have the same minimiser, so a window that is shared is always
-found in one bucket, where sorting the windows' hashes counts them exactly and
-the texts themselves confirm each match.
+found in one bucket, where the windows' hashes are sorted.  For pairs the texts
+themselves confirm each match; for coverage equal 64-bit hashes are taken as
+equal windows.
 
 Buckets that only one document feeds can't hold a shared window.  A first pass
 therefore ships only (minimiser, document) to count documents per bucket
