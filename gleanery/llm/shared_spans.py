@@ -249,12 +249,12 @@ def _candidates(documents: DataFrame, length: int, k: int, key: str, text: str)
     rows = scratch.materialize(_bucket_rows(source, length, k), "minimisers")
     wanted = scratch.materialize(_per_document(rows).withColumn("large", F.transform(F.filter("buckets", lambda x: x["docs"] > BLOCK), lambda x: x["bucket"])), "wanted")
     large = wanted.filter("size(large) > 0").select("doc", "large")
-    again = scratch.materialize(_bucket_rows(joins.keep_matching(source, large, ["doc"], "inner", limit=50_000), length, k, second=True), "longer-minimisers")
+    again = scratch.materialize(_bucket_rows(joins.keep_matching(source, large, ["doc"], "inner"), length, k, second=True), "longer-minimisers")
     small = wanted.select("doc", F.filter("buckets", lambda x: x["docs"] <= BLOCK).alias("buckets"), "large")
     more = _per_document(again).select("doc", F.col("buckets").alias("more"))
     none = F.slice("buckets", 1, 0)
     final = small.join(more, "doc", "left").select("doc", F.concat("buckets", F.coalesce("more", none)).alias("buckets"), "large").filter("size(buckets) > 0")
-    chosen = joins.keep_matching(source, scratch.materialize(final, "wanted-buckets"), ["doc"], "inner", limit=50_000)
+    chosen = joins.keep_matching(source, scratch.materialize(final, "wanted-buckets"), ["doc"], "inner")
     return _packed(chosen.withColumn("salt", F.xxhash64("doc")), length, k)
 
 

@@ -1,7 +1,8 @@
 """Pairs of records whose sets of word runs are similar, without pairwise comparison.
 
-One 64-bit hash function stands for the runs.  A record keeps two bottom-k
-sketches of its set:
+One 64-bit hash function stands for the runs.  Records with equal sets are one
+class, and everything below works on one text of each class, so copies cost
+nothing.  A class has two bottom-k sketches of its set:
 
 * the *retained values* of the inverted lists: the bottom n - ceil(t n) + h
   values in the order (frequency class, hash).  Two sets with Jaccard >= t share
@@ -13,11 +14,13 @@ sketches of its set:
 Candidates come from the inverted lists under exact size and position bounds,
 the union sketch estimates their similarity, and the exact sets decide.
 
-Frequency classes come from a count table of fixed size (one slot for each value of
-some hash bits) over all records; it is the only thing that is broadcast, and
-its size does not grow with the data.  A list that the table shows to be long is
-split into blocks, and each pair of blocks is a task group of its own, so no
-list has to fit into one task.
+Frequency classes come from a count table (one slot for each value of some hash
+bits) over all classes.  It has as many slots as the data calls for, 16 million
+at most, so that what is broadcast is bounded; with more data the order of rare
+values becomes that of their hashes.  A list that turns out to be longer than a
+block goes on to a second stage with its exact length: its rows are split into
+blocks there, and each pair of blocks is a group of its own.  No row of another
+list is copied, whatever the count table says.
 """
 
 from __future__ import annotations
@@ -29,21 +32,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import joins, scratch
 from gleanery.llm import batches, textcodes
 
-#: Bits of the slot number in the count table: 4 million slots, 4 MB when broadcast.
-SLOT_BITS = 22
-SLICES = 64
+#: Least and most bits of the slot number in the count table (64 MB for a worker and 16 MB when broadcast at most), and values for one slot.
+SLOT_BITS = (10, 24)
+SLOT_VALUES = 8
+SLICES = 256
 #: Values in the sketch for the estimate.
 SKETCH = 32
 #: Rows of one block of a long inverted list.
 BLOCK = 1024
-#: Classes that a task remembers in order not to count and list copies again.
-REMEMBERED = 300_000
+#: Values of pairs that are compared at once.
+COMPARED = 2_000_000
+#: Bits of a posting's tag above its role and its block: rows of another block, rows late in their set.
+_OTHER, _LATE = 40, 41
 
 
 @dataclass(frozen=True)
@@ -106,62 +113,61 @@ def _binaries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.array([raw[a * width : b * width] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())
 
 
-class _Unseen:
-    """Marks the records of a task whose class and role it hasn't met, so that copies count and are listed about once for each task.
+def _members(records: DataFrame, measure: Measure) -> DataFrame:
+    """Per record with enough words its class, the size of its set and the hash of its text."""
+    kept = ("part", "record", "owner", "role", "th")
 
-    Both passes over the records use it in the same way, so that the counts
-    stay upper bounds of the lists.
-    """
+    def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        values, offsets = value_sets(texts, batches.column(batch, "part").to_numpy(zero_copy_only=False), measure)
+        some = np.flatnonzero(np.diff(offsets))
+        picked = batch.take(pa.array(some))
+        columns = [batches.column(picked, c) for c in kept]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(class_keys(values, offsets)[some].view(np.int64)), pa.array(np.diff(offsets)[some].astype(np.int32))], names=[*kept, "cls", "n"])
+
+    return batches.map_portions(records, "part int, record string, owner string, role int, th long, cls long, n int", work)
 
-    def __init__(self) -> None:
-        self.seen: set[tuple[int, int]] = set()
 
-    def __call__(self, classes: np.ndarray, roles: np.ndarray) -> np.ndarray:
-        new = np.zeros(len(classes), bool)
-        for i, pair in enumerate(zip(classes.tolist(), roles.tolist())):
-            if pair[0] and pair not in self.seen:
-                new[i] = True
-                self.seen.add(pair)
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        return new
+def _classes(records: DataFrame, members: DataFrame) -> DataFrame:
+    """One row for each class: cls, part, role (of all its records), n and one of its texts.
+
+    Equal texts are put together before the shuffle, so that a text of many
+    copies is shipped once for each task at most, and once from there on.
+    """
+    first = members.groupBy("cls").agg(F.min(F.struct("part", "th")).alias("first"), F.bit_or("role").alias("role"), F.max("n").alias("n"))
+    first = first.select("cls", "first.part", "first.th", "role", "n")
+    texts = records.groupBy("part", "th").agg(F.min("text").alias("text"))
+    return texts.join(first.hint("shuffle_merge"), ["part", "th"]).select("cls", "part", "role", "n", "text")
 
 
-_RECORDS = "tag int, part int, record string, owner string, role int, cls long, n int, sketch binary, slice int, counts binary"
+def _slot_bits(classes: DataFrame) -> int:
+    values = classes.agg(F.sum("n")).first()[0] or 1
+    return min(max(math.ceil(math.log2(values / SLOT_VALUES + 1)), SLOT_BITS[0]), SLOT_BITS[1])
 
 
-def _summaries(records: DataFrame, measure: Measure) -> DataFrame:
-    """Per record its class, size and sketch (tag 0); per task the slot counts of the values of its classes (tag 1)."""
+def _summaries(classes: DataFrame, measure: Measure, bits: int) -> DataFrame:
+    """Per class its sketch (tag 0); per task the slot counts of the values of its classes (tag 1)."""
+    schema = pa.schema([("tag", pa.int32()), ("cls", pa.int64()), ("sketch", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+    slices = min(SLICES, 1 << bits)
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, unseen = np.zeros(1 << SLOT_BITS, np.int64), _Unseen()
-        schema = pa.schema([("tag", pa.int32()), ("part", pa.int32()), ("record", pa.string()), ("owner", pa.string()), ("role", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+        slots = np.zeros(1 << bits, np.uint32)
         for batch, texts in batches.portions(stream):
             values, offsets = value_sets(texts, batches.column(batch, "part").to_numpy(zero_copy_only=False), measure)
-            sizes, classes = np.diff(offsets), class_keys(values, offsets)
-            new = np.repeat(unseen(classes, batches.column(batch, "role").to_numpy(zero_copy_only=False)), sizes)
-            slots += np.bincount((values[new] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(slots))
-            some = np.flatnonzero(sizes)
-            if not len(some):
-                continue
-            picked = batch.take(pa.array(some))
-            starts = offsets[:-1][some]
-            sketch = _binaries((values >> np.uint64(32)).astype(np.uint32), starts, starts + np.minimum(sizes[some], SKETCH))
-            n, none = len(some), pa.nulls(len(some), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, np.int32)), *(batches.column(picked, c) for c in ("part", "record", "owner", "role")), pa.array(classes[some].view(np.int64)), pa.array(sizes[some].astype(np.int32)), sketch, none, pa.nulls(n, pa.binary())],
-                schema=schema,
-            )
+            slot, counts = np.unique((values >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            slots[slot] += counts.astype(np.uint32)
+            n, starts = len(texts), offsets[:-1]
+            sketch = _binaries((values >> np.uint64(32)).astype(np.uint32), starts, starts + np.minimum(np.diff(offsets), SKETCH))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batches.column(batch, "cls"), sketch, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if slots.any():
-            pieces = np.minimum(slots, 0xFFFFFFFF).astype(np.uint32).reshape(SLICES, -1)
-            rows = pa.array([zlib.compress(p.tobytes(), 1) for p in pieces], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SLICES, np.int32)), *(pa.nulls(SLICES, schema.field(i).type) for i in range(1, 8)), pa.array(np.arange(SLICES, dtype=np.int32)), rows], schema=schema)
+            some = [(k, zlib.compress(piece.tobytes(), 1)) for k, piece in enumerate(slots.reshape(slices, -1)) if piece.any()]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([k for k, _ in some], pa.int32()), pa.array([v for _, v in some], pa.binary())], schema=schema)
 
-    return records.mapInArrow(run, _RECORDS)
+    return classes.mapInArrow(run, "tag int, cls long, sketch binary, slice int, counts binary")
 
 
-def _levels(summaries: DataFrame) -> np.ndarray:
-    """log2 of the count of each slot: 2^SLOT_BITS bytes, the sum over all tasks, whatever the size of the data."""
+def _levels(summaries: DataFrame, bits: int) -> np.ndarray:
+    """log2 of the count of each slot: 2^bits bytes, the sum over all tasks."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -172,108 +178,180 @@ def _levels(summaries: DataFrame) -> np.ndarray:
         levels = [(k, zlib.compress(np.floor(np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes(), 1)) for k, v in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in levels], pa.int32()), pa.array([v for _, v in levels], pa.binary())], names=["slice", "levels"])
 
-    rows = summaries.filter("tag = 1").select("slice", "counts").repartition(16, "slice").mapInArrow(run, "slice int, levels binary").collect()
-    out = np.zeros((SLICES, (1 << SLOT_BITS) // SLICES), np.uint8)
+    rows = summaries.filter("tag = 1").select("slice", "counts").repartition("slice").mapInArrow(run, "slice int, levels binary").collect()
+    slices = min(SLICES, 1 << bits)
+    out = np.zeros((slices, (1 << bits) // slices), np.uint8)
     for row in rows:
         out[row["slice"]] = np.frombuffer(zlib.decompress(bytes(row["levels"])), np.uint8)
     return out.ravel()
 
 
-def _postings(records: DataFrame, levels, measure: Measure) -> DataFrame:
-    """Inverted-list rows: key (value, or value and block pair), class, set size, position in the order, block and role."""
+def _postings(classes: DataFrame, levels, measure: Measure) -> DataFrame:
+    """Inverted-list rows: key (the value), class, set size, position in the order, and a tag of role and lateness. One row for each retained value of each class."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = np.frombuffer(levels.value, np.uint8)
-        unseen = _Unseen()
+        shift = np.uint64(64 - int(math.log2(len(level_of))))
         for batch, texts in batches.portions(stream):
             values, offsets = value_sets(texts, batches.column(batch, "part").to_numpy(zero_copy_only=False), measure)
-            roles = batches.column(batch, "role").to_numpy(zero_copy_only=False).astype(np.int64)
-            classes = class_keys(values, offsets).view(np.int64)
-            new = unseen(classes, roles)
-            sizes = np.diff(offsets)
-            keep = np.repeat(new, sizes)
-            values, owner = values[keep], np.repeat(np.arange(len(texts)), sizes)[keep]
             if not len(values):
                 continue
-            level = level_of[(values >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-            order = np.lexsort((values, level, owner))
-            values, owner, level = values[order], owner[order], level[order]
-            first = np.zeros(len(texts) + 1, np.int64)
-            np.cumsum(np.where(new, sizes, 0), out=first[1:])
-            position = np.arange(len(values)) - first[owner]
-            kept = position < measure.retained(sizes[owner])
-            values, owner, level, position = values[kept], owner[kept], level[kept].astype(np.int64), position[kept]
-            cls, n, role = classes[owner], sizes[owner], roles[owner]
-            # long lists: 2^(level + 1) is an upper bound of the list, as its slot holds at least all its rows
-            blocks = np.maximum((2 << np.minimum(level, 40)) // BLOCK, 1)
-            copies = np.where(blocks > 1, blocks, 1)
-            index = np.repeat(np.arange(len(values)), copies)
-            other = np.arange(len(index)) - np.repeat(np.cumsum(copies) - copies, copies)
-            block = (textcodes.mix(cls.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)[index]
-            low, high = np.minimum(block, other), np.maximum(block, other)
-            salt = (low * blocks[index] + high).astype(np.uint64)
-            key = np.where(copies[index] > 1, textcodes.mix(values[index] + salt * np.uint64(0xA24BAED4963EE407)), values[index])
+            roles = batches.column(batch, "role").to_numpy(zero_copy_only=False).astype(np.int64)
+            classes_ = batches.column(batch, "cls").to_numpy(zero_copy_only=False)
+            sizes = np.diff(offsets)
+            owner = np.repeat(np.arange(len(texts)), sizes)
+            order = np.lexsort((values, level_of[(values >> shift).astype(np.int64)], owner))
+            values = values[order]
+            position = np.arange(len(values)) - np.repeat(offsets[:-1], sizes)
+            n = sizes[owner]
+            kept = position < measure.retained(n)
+            values, owner, position, n = values[kept], owner[kept], position[kept], n[kept]
             # in the smaller set of a similar pair the shared values come early; a row is late where they can't any more
             late = position > n - measure.needed(n, n).astype(np.int64) + measure.overlaps - 1
-            tag = (late[index].astype(np.int64) << 41) | ((low != high).astype(np.int64) << 40) | (block << 2) | role[index]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(cls[index]), pa.array(n[index].astype(np.int32)), pa.array(position[index].astype(np.int32)), pa.array(tag)],
+                [pa.array(values.view(np.int64)), pa.array(classes_[owner]), pa.array(n.astype(np.int32)), pa.array(position.astype(np.int32)), pa.array((late.astype(np.int64) << _LATE) | roles[owner])],
                 names=["key", "cls", "n", "pos", "tag"],
             )
 
-    return records.select("part", "role", "text").mapInArrow(run, "key long, cls long, n int, pos int, tag long")
+    return classes.select("cls", "part", "role", "text").mapInArrow(run, "key long, cls long, n int, pos int, tag long")
+
+
+_LISTED = "key long, a long, b long, x int, y int, tag long"
+
+
+def _list_pairs(block: np.ndarray, measure: Measure) -> pa.RecordBatch | None:
+    """Of whole lists: pairs of classes (a, b) with x, the retained values they share here, and y, how many they must share."""
+    lists = np.cumsum(np.r_[False, block[0][1:] != block[0][:-1]])
+    block = block[:, np.argsort(lists * 2 + (block[4] >> _LATE), kind="stable")]  # early rows come first in a list
+    key, cls, n, pos, tag = (block[c] for c in range(5))
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    lengths = np.diff(np.r_[first, len(key)])
+    end = np.repeat(first + lengths, lengths)
+    role, list_block, cross, late = tag & 3, (tag >> 2) & ((1 << 38) - 1), (tag >> _OTHER & 1).astype(bool), (tag >> _LATE).astype(bool)
+    # two late rows are no candidate
+    index, step, out = np.flatnonzero(~late), 1, []
+    while True:
+        index = index[index + step < end[index]]
+        if not len(index):
+            break
+        x, y = index, index + step
+        n_x, n_y = n[x], n[y]
+        good = (cls[x] != cls[y]) & (np.minimum(n_x, n_y) >= measure.threshold * np.maximum(n_x, n_y) - 1e-9)
+        # the first `overlaps` shared values of a similar pair all pass this bound
+        needed = measure.needed(n_x, n_y)
+        good &= measure.overlaps + np.minimum(n_x - pos[x], n_y - pos[y]) - 1 >= needed
+        good &= ~cross[x] | (list_block[x] != list_block[y])
+        if measure.cross_only:
+            good &= (role[x] | role[y]) == 3
+        if good.any():
+            x, y = x[good], y[good]
+            out.append(np.stack([np.minimum(needed[good], measure.overlaps).astype(np.int64), np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
+        step += 1
+    if not out:
+        return None
+    found = np.concatenate(out, axis=1)
+    found = found[:, np.lexsort(found)]
+    first = np.flatnonzero(np.r_[True, (found[1:, 1:] != found[1:, :-1]).any(axis=0)])
+    shared = np.diff(np.r_[first, found.shape[1]])
+    return _listed(np.zeros(len(first), np.int64), found[1][first], found[2][first], shared, found[0][first], np.full(len(first), -1))
+
+
+def _listed(*columns: np.ndarray) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "a", "b", "x", "y", "tag"])
+
+
+def _lists(postings: DataFrame, measure: Measure, keys: list[str], whole: bool) -> DataFrame:
+    """Pairs (tag -1) of the lists, as _list_pairs gives them.
+
+    Unless `whole`, the rows of a list of more than BLOCK rows come back as
+    they are (key, a = class, x = size, y = position, tag) for the second
+    stage, as soon as the list turns out to be one: none is held in memory.
+    """
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, long_key = np.zeros((5, 0), np.int64), None
+        for batch in stream:
+            block = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[-5:]])], axis=1)
+            yield from lists(block[:, : (last := int(np.searchsorted(block[0], block[0][-1])) if block.shape[1] else 0)], long_key)
+            rest = block[:, last:]  # the last list may go on in the next batch
+            if last:
+                long_key = None
+            if not whole and (rest.shape[1] > BLOCK or (rest.shape[1] and rest[0][0] == long_key)):
+                long_key = int(rest[0][0])
+                yield long_rows(rest)
+                rest = rest[:, :0]
+        yield from lists(rest, long_key)
+
+    def long_rows(block: np.ndarray) -> pa.RecordBatch:
+        return _listed(block[0], block[1], np.zeros(block.shape[1], np.int64), block[2], block[3], block[4])
+
+    def lists(block: np.ndarray, long_key: int | None) -> Iterator[pa.RecordBatch]:
+        if not block.shape[1]:
+            return
+        if not whole:
+            first = np.flatnonzero(np.r_[True, block[0][1:] != block[0][:-1]])
+            lengths = np.diff(np.r_[first, block.shape[1]])
+            long = np.repeat((lengths > BLOCK) | (block[0][first] == long_key if long_key is not None else False), lengths)
+            if long.any():
+                yield long_rows(block[:, long])
+                block = block[:, ~long]
+        if block.shape[1] > 1 and (out := _list_pairs(block, measure)) is not None:
+            yield out
+
+    return postings.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _LISTED)
+
+
+def _split_lists(long: DataFrame) -> DataFrame:
+    """The rows of long lists, once for each group that they belong to: a pair of blocks of early rows, or a block of early and one of late rows.
+
+    Late rows only meet early ones, so a list without an early row makes no
+    group.  Lengths are exact; they are put together before they are shuffled.
+    """
+    late = F.shiftright("tag", _LATE) == 1
+    sizes = long.groupBy("key").agg(F.count(F.when(~late, 1)).alias("early"), F.count(F.when(late, 1)).alias("late")).filter("early > 0")
+    sizes = scratch.materialize(sizes.select("key", F.ceil(F.col("early") / BLOCK).alias("ne"), F.ceil(F.col("late") / BLOCK).alias("nl")), "similar-long-lists")
+    rows = joins.keep_matching(long.select("key", F.col("a").alias("cls"), F.col("x").alias("n"), F.col("y").alias("pos"), "tag"), sizes, ["key"], "inner")
+    own = F.pmod(F.xxhash64("cls"), F.when(late, F.col("nl")).otherwise(F.col("ne")))
+    rows = rows.withColumn("own", own).withColumn("late", late)
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    pair = lambda x, y: F.struct(x.alias("low"), y.alias("high"))
+    with_early = F.transform(upto(F.col("ne")), lambda e: pair(F.least("own", e), F.greatest("own", e)))
+    with_late = F.transform(upto(F.col("nl")), lambda k: pair(F.col("own"), F.col("ne") + k))
+    as_late = F.transform(upto(F.col("ne")), lambda e: pair(e, F.col("ne") + F.col("own")))
+    rows = rows.withColumn("g", F.explode(F.when(F.col("late"), as_late).otherwise(F.concat(with_early, with_late))))
+    block = F.when(F.col("late"), F.col("g.high")).otherwise(F.col("own"))
+    tag = F.col("tag").bitwiseOR(F.shiftleft(block, 2)).bitwiseOR(F.when(F.col("g.low") != F.col("g.high"), F.lit(1 << _OTHER)).otherwise(F.lit(0).cast("long")))
+    return rows.select(F.xxhash64("key", "g.low", "g.high").alias("key"), "cls", "n", "pos", tag.alias("tag"))
 
 
 def _candidates(postings: DataFrame, measure: Measure) -> DataFrame:
     """Distinct pairs of classes (a < b) that share enough retained values and pass the size and position bounds."""
+    short = scratch.materialize(_lists(postings, measure, ["key"], whole=False), "similar-lists")
+    long = short.filter("tag >= 0")
+    found = short.filter("tag = -1")
+    if not long.isEmpty():
+        found = found.unionByName(_lists(_split_lists(long), measure, ["key"], whole=True))
+    return found.groupBy("a", "b").agg(F.sum("x").alias("shared"), F.min("y").alias("least")).filter("shared >= least").select("a", "b")
 
-    def pairs(block: np.ndarray) -> pa.RecordBatch | None:
-        lists = np.cumsum(np.r_[False, block[0][1:] != block[0][:-1]])
-        block = block[:, np.argsort(lists * 2 + (block[4] >> 41), kind="stable")]  # early rows come first in a list
-        key, cls, n, pos, tag = (block[c] for c in range(5))
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        lengths = np.diff(np.r_[first, len(key)])
-        end = np.repeat(first + lengths, lengths)
-        role, list_block, cross, late = tag & 3, (tag >> 2) & ((1 << 38) - 1), (tag >> 40 & 1).astype(bool), (tag >> 41).astype(bool)
-        # two late rows are no candidate
-        index, step, out = np.flatnonzero(~late), 1, []
-        while True:
-            index = index[index + step < end[index]]
-            if not len(index):
-                break
-            x, y = index, index + step
-            n_x, n_y = n[x], n[y]
-            good = (cls[x] != cls[y]) & (np.minimum(n_x, n_y) >= measure.threshold * np.maximum(n_x, n_y) - 1e-9)
-            # the first `overlaps` shared values of a similar pair all pass this bound
-            needed = measure.needed(n_x, n_y)
-            good &= measure.overlaps + np.minimum(n_x - pos[x], n_y - pos[y]) - 1 >= needed
-            good &= ~cross[x] | (list_block[x] != list_block[y])
-            if measure.cross_only:
-                good &= (role[x] | role[y]) == 3
-            if good.any():
-                x, y = x[good], y[good]
-                out.append(np.stack([np.minimum(needed[good], measure.overlaps).astype(np.int64), np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
-            step += 1
-        if not out:
-            return None
-        found = np.concatenate(out, axis=1)
-        found = found[:, np.lexsort(found)]
-        first = np.flatnonzero(np.r_[True, (found[1:, 1:] != found[1:, :-1]).any(axis=0)])
-        shared = np.diff(np.r_[first, found.shape[1]])
-        return pa.RecordBatch.from_arrays([pa.array(found[1][first]), pa.array(found[2][first]), pa.array(shared), pa.array(found[0][first])], names=["a", "b", "shared", "least"])
 
-    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((5, 0), np.int64)
-        for batch in stream:
-            block = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
-            last = int(np.searchsorted(block[0], block[0][-1])) if block.shape[1] else 0
-            rest = block[:, last:]  # the last list may go on in the next batch
-            if last and (out := pairs(block[:, :last])) is not None:
-                yield out
-        if rest.shape[1] and (out := pairs(rest)) is not None:
-            yield out
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column of packed numbers as one flat array, and how many each row has."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(raw.tobytes(), kind), np.diff(at) // width
+
 
-    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
+def _compared(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches of pairs, cut so that no more than COMPARED values (or one pair) are looked at together."""
+    for batch in stream:
+        sizes = sum(pa.compute.binary_length(batches.column(batch, c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xy") // 8
+        part = np.cumsum(sizes) // COMPARED
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, measure: Measure) -> DataFrame:
@@ -286,17 +364,19 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, measure: Measure) -> DataF
     least = measure.least_sketch_hits()
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batches.column(batch, "x").to_pylist(), batches.column(batch, "y").to_pylist())):
-                both = np.sort(np.frombuffer(x + y, np.uint32))
-                twice = np.flatnonzero(both[1:] == both[:-1])
-                union = len(both) - len(twice)
-                if union < SKETCH:
-                    keep[i] = len(twice) >= measure.threshold * union - 1e-9
-                else:  # the values above the union sketch don't count
-                    ranks = twice - np.arange(len(twice))
-                    keep[i] = int((ranks < SKETCH).sum()) >= least
+        for batch in _compared(stream):
+            sides = [_numbers(batches.column(batch, c), np.uint32) for c in "xy"]
+            owner = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for _, n in sides]).astype(np.uint64)
+            both = np.sort((owner << np.uint64(32)) | np.concatenate([v for v, _ in sides]))
+            twice = np.r_[False, both[1:] == both[:-1]]
+            pair = (both >> np.uint64(32)).astype(np.int64)
+            shared = np.bincount(pair[twice], minlength=batch.num_rows)
+            union = np.bincount(pair, minlength=batch.num_rows) - shared
+            # the rank of a value in its pair's union; the values above the union sketch don't count
+            new = np.cumsum(~twice)
+            rank = new - np.r_[0, np.cumsum(union)][pair] - 1
+            hits = np.bincount(pair[twice & (rank < SKETCH)], minlength=batch.num_rows)
+            keep = np.where(union < SKETCH, shared >= measure.threshold * union - 1e-9, hits >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     joined = pairs.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
@@ -307,29 +387,31 @@ def _exact(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     """Pairs with their exact Jaccard similarity, of those that reach the threshold."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            overlap, union = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(batches.column(batch, "x").to_pylist(), batches.column(batch, "y").to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                overlap[i] = int((y[at] == x).sum())
-                union[i] = len(x) + len(y) - overlap[i]
+        for batch in _compared(stream):
+            sides = [_numbers(batches.column(batch, c), np.uint64) for c in "xy"]
+            owner = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for _, n in sides])
+            values = np.concatenate([v for v, _ in sides])
+            order = np.lexsort((values, owner))
+            values, owner = values[order], owner[order]
+            twice = np.flatnonzero((values[1:] == values[:-1]) & (owner[1:] == owner[:-1]))
+            overlap = np.bincount(owner[twice], minlength=batch.num_rows)
+            union = sides[0][1] + sides[1][1] - overlap
             good = overlap >= measure.threshold * union - 1e-9
-            yield pa.RecordBatch.from_arrays([batches.column(batch, "a"), batches.column(batch, "b"), pa.array(overlap / union)], names=["a", "b", "jaccard"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batches.column(batch, "a"), batches.column(batch, "b"), pa.array(overlap / np.maximum(union, 1))], names=["a", "b", "jaccard"]).filter(pa.array(good))
 
     joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("values").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, jaccard double")
 
 
-def _class_sets(records: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
-    """The whole value sets of the records named in `wanted` (part, record, cls), one for each class."""
+def _class_sets(classes: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
+    """The whole value sets of the classes named in `wanted` (cls)."""
 
     def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         values, offsets = value_sets(texts, batches.column(batch, "part").to_numpy(zero_copy_only=False), measure)
         return pa.RecordBatch.from_arrays([batches.column(batch, "cls"), _binaries(values, offsets[:-1], offsets[1:])], names=["cls", "values"])
 
-    chosen = joins.keep_matching(records.select("part", "record", "text"), wanted, ["part", "record"], "inner")
-    return batches.map_portions(chosen, "cls long, values binary", work).dropDuplicates(["cls"])
+    chosen = joins.keep_matching(classes.select("cls", "part", "text"), wanted, ["cls"])
+    return batches.map_portions(chosen, "cls long, values binary", work)
 
 
 @dataclass(frozen=True)
@@ -347,22 +429,20 @@ def similar(records: DataFrame, measure: Measure) -> Matches:
     owner (string), role (int 1 to 3) and text.  Null and short texts belong to
     no class; repeated rows are one member.  Both results are written tables.
     """
-    records = records.select("part", "record", "owner", "role", "text")
-    summaries = scratch.materialize(_summaries(records, measure), "similar-sets")
-    levels = records.sparkSession.sparkContext.broadcast(_levels(summaries).tobytes())
-    members = summaries.filter("tag = 0").select("part", "record", "owner", "role", "cls", "n").distinct()
-    pairs = scratch.materialize(_candidates(_postings(records, levels, measure), measure), "similar-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    named = scratch.materialize(named, "similar-named")
-    candidates = joins.keep_matching(summaries.filter("tag = 0").select("cls", "part", "record", "sketch"), named, ["cls"])
-    classes = scratch.materialize(candidates.groupBy("cls").agg(F.min(F.struct("part", "record", "sketch")).alias("first")).select("cls", "first.*"), "similar-classes")
-    sketches = classes.select("cls", "sketch")
-    likely = scratch.materialize(_estimated(pairs, sketches, measure), "similar-likely")
-    left = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = scratch.materialize(classes.select("cls", "part", "record").join(left, "cls", "left_semi"), "similar-wanted")
-    sets = scratch.materialize(_class_sets(records, wanted, measure), "similar-exact")
+    records = records.select("part", "record", "owner", "role", "text").filter("text is not null").withColumn("th", F.xxhash64("text"))
+    members = scratch.materialize(_members(records, measure), "similar-members")
+    classes = scratch.materialize(_classes(records, members), "similar-classes")
+    bits = _slot_bits(classes)
+    summaries = scratch.materialize(_summaries(classes, measure, bits), "similar-sketches")
+    levels = records.sparkSession.sparkContext.broadcast(_levels(summaries, bits).tobytes())
+    pairs = scratch.materialize(_candidates(_postings(classes, levels, measure), measure), "similar-pairs")
+    named = scratch.materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "similar-named")
+    sketches = joins.keep_matching(summaries.filter("tag = 0").select("cls", "sketch"), named, ["cls"])
+    likely = scratch.materialize(_estimated(pairs, scratch.materialize(sketches, "similar-named-sketches"), measure), "similar-likely")
+    wanted = scratch.materialize(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "similar-wanted")
+    sets = scratch.materialize(_class_sets(classes, wanted, measure), "similar-exact")
     links = scratch.materialize(_exact(likely, sets, measure), "similar-links")
-    return Matches(members, links)
+    return Matches(members.select("part", "record", "owner", "role", "cls", "n").distinct(), links)
 
 
 def record_pairs(matches: Matches, part: int | None = None, other_owner: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import components, cross_split, near_duplicates, similarity
 from gleanery.llm.similarity import Measure
@@ -67,8 +68,6 @@ def test_a_third_of_all_records_are_copies(spark, monkeypatch):
     rows = [(f"d{i:03}", t) for i, t in enumerate(texts)] + [(f"s{i:03}", copy) for i in range(60)] + [("near", copy.replace("stock3 ", "other "))]
     docs = spark.createDataFrame(rows, DOC).repartition(3)
     chunks = spark.createDataFrame([], CHUNK)
-    levels = similarity._levels(similarity._summaries(near_duplicates.records_of(docs.filter("text like 'stock%'"), chunks), near_duplicates.PROJECT_MEASURE))
-    assert levels.max() <= 2  # copies are counted once for each task, so they make no list long
     groups = {r["record_id"]: r for r in near_duplicates.duplicate_groups(docs, chunks).collect()}
     assert len({groups[f"s{i:03}"]["class_id"] for i in range(60)}) == 1 and groups["near"]["n_links"] == 1
     assert groups["near"]["group_id"] == groups["s000"]["group_id"]
@@ -77,6 +76,61 @@ def test_a_third_of_all_records_are_copies(spark, monkeypatch):
     assert {tuple(r)[1:] for r in pairs.collect()} == brute(dict(rows), near_duplicates.PROJECT_MEASURE)
 
 
+def posted(records, bits=None):
+    """The inverted-list rows of records, and their classes."""
+    measure = near_duplicates.PROJECT_MEASURE
+    records = records.select("part", "record", "owner", "role", "text").filter("text is not null").withColumn("th", F.xxhash64("text"))
+    classes = similarity._classes(records, similarity._members(records, measure))
+    bits = bits or similarity._slot_bits(classes)
+    levels = similarity._levels(similarity._summaries(classes, measure, bits), bits)
+    return similarity._postings(classes, records.sparkSession.sparkContext.broadcast(levels.tobytes()), measure), classes
+
+
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_copies_are_listed_once_however_they_are_spread(spark, parts):
+    copy = " ".join(f"stock{i}" for i in range(30))
+    docs = spark.createDataFrame([(f"s{i:03}", copy) for i in range(640)], DOC).repartition(parts)
+    rows, classes = posted(near_duplicates.records_of(docs, spark.createDataFrame([], CHUNK)))
+    assert classes.count() == 1
+    assert rows.count() == rows.select("key").distinct().count() == len(range(28)) - 16 + 3  # 28 runs, of which 28 - ceil(0.55 * 28) + 3 are kept
+
+
+def test_a_crowded_count_table_copies_no_row(spark, monkeypatch):
+    """Few slots stand for much data: every slot counts far more values than a block has rows."""
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    texts = noisy_texts(21, 400, 300, 60)
+    docs = spark.createDataFrame([(f"d{i:03}", t) for i, t in enumerate(texts)], DOC)
+    records = near_duplicates.records_of(docs, spark.createDataFrame([], CHUNK))
+    assert posted(records, 6)[0].count() == posted(records, 22)[0].count()
+    want = brute({f"d{i:03}": t for i, t in enumerate(texts)}, near_duplicates.PROJECT_MEASURE)
+    for bits in ((2, 2), (22, 22)):
+        monkeypatch.setattr(similarity, "SLOT_BITS", bits)
+        assert {tuple(r)[1:] for r in near_duplicates.duplicate_pairs(docs, spark.createDataFrame([], CHUNK)).collect()} == want
+
+
+def test_long_lists_copy_late_rows_only_to_early_ones(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    late = 1 << similarity._LATE
+    rows = [(1, c, 9, 1, 3) for c in range(10)] + [(1, 100 + c, 9, 1, 3 | late) for c in range(30)] + [(2, c, 9, 1, 3 | late) for c in range(50)]
+    long = spark.createDataFrame(rows, "key long, a long, x int, y int, tag long")
+    got = similarity._split_lists(long).collect()
+    # 3 blocks of early and 8 of late rows: an early row goes to 3 + 8 groups, a late one to 3; a list of late rows alone to none
+    assert len(got) == 10 * 11 + 30 * 3
+    met = set()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["key"], []).append(r)
+    for members in groups.values():
+        for x, y in itertools.combinations(members, 2):
+            blocks = [(r["tag"] >> 2) & ((1 << 38) - 1) for r in (x, y)]
+            if not (x["tag"] >> similarity._OTHER & 1) or blocks[0] != blocks[1]:
+                pair = tuple(sorted((x["cls"], y["cls"])))
+                if min(pair) < 100:
+                    assert pair not in met
+                    met.add(pair)
+    assert len(met) == 45 + 300
+
+
 def test_groups_and_edge_cases(spark):
     long = " ".join(f"v{i}" for i in range(4000))
     near = long.replace("v17 ", "changed ")
