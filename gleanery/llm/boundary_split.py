@@ -1,23 +1,26 @@
 """Cutting oversized texts at natural boundaries, and judging cuts that others made (problem 4).
 
-Both directions follow one notion of a boundary; the fences are found by one
-function, the rule for word runs is written once for each direction.  A position may not be cut
-inside a run of letters and digits (kana and kanji excepted) or inside a fenced
-code block, unless the run or block is itself longer than the limit.  All other
-positions have a strength: paragraph, line, sentence, clause, blank, none.
+Both directions follow one notion of a boundary, stated once in `Barriers`: a
+position may not be cut inside a run of letters and digits (kana and kanji
+excepted) or inside a fenced code block, unless the run or block is itself
+longer than the limit.  All other positions have a strength: paragraph, line,
+sentence, clause, blank, none.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery import joins, scratch
 from gleanery.llm import batches, textcodes
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK, PLAIN = 6, 5, 4, 3, 2, 1
@@ -31,8 +34,8 @@ _STRENGTHS = (
 )
 #: Ordinals of one document that are put in sequence together; longer sequences go by way of their groups' last chunks.
 ORDINALS = 1024
-_NO_KANA = "[^" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in textcodes.SINGLE_RANGES) + "]"
-_LETTER = f"[\\p{{L}}\\p{{N}}&&{_NO_KANA}]"
+#: Chunks of one document that are judged together; the document comes again for each further group of so many.
+JUDGED = 50_000
 
 
 def fences(text: str | None) -> list[tuple[int, int]]:
@@ -40,24 +43,49 @@ def fences(text: str | None) -> list[tuple[int, int]]:
     return [m.span() for m in _FENCE.finditer(text)] if text and "```" in text else []
 
 
+@dataclass(frozen=True)
+class Barriers:
+    """Stretches (starts, ends) of one text that may not be cut while they are within the limit: runs of letters and digits, and fenced blocks."""
+
+    size: int
+    runs: tuple[np.ndarray, np.ndarray]
+    blocks: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, text: str, codes: np.ndarray) -> "Barriers":
+        letter = textcodes.word_classes()[codes] == textcodes.LETTER
+        edges = np.flatnonzero(np.diff(np.r_[False, letter, False].astype(np.int8)))
+        blocks = np.array(fences(text), np.int64).reshape(-1, 2)
+        return cls(len(text), (edges[::2], edges[1::2]), (blocks[:, 0], blocks[:, 1]))
+
+    def inside(self, limit: int) -> np.ndarray:
+        """Whether each position 0 .. size lies strictly inside a stretch of at most `limit`."""
+        steps = np.zeros(self.size + 2, np.int32)
+        for starts, ends in (self.runs, self.blocks):
+            some = ends - starts <= limit
+            np.add.at(steps, starts[some] + 1, 1)
+            np.subtract.at(steps, ends[some], 1)
+        return np.cumsum(steps)[:-1] > 0
+
+    @staticmethod
+    def parted(stretches: tuple[np.ndarray, np.ndarray], at: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        """Whether a cut at each position parts a stretch of at most the limit given for it."""
+        starts, ends = stretches
+        if not len(starts):
+            return np.zeros(len(at), bool)
+        k = np.searchsorted(starts, at) - 1  # the last one that begins before
+        return (k >= 0) & (at < ends[k]) & (ends[k] - starts[k] <= limits)
+
+
 def cut_strengths(text: str, limit: int) -> np.ndarray:
     """The strength of a cut at each position 0 .. len(text); 0 where no cut is allowed."""
     out = np.full(len(text) + 1, PLAIN, np.uint8)
     for strength, pattern in _STRENGTHS:
-        ends = [m.end() for m in pattern.finditer(text)]
-        out[ends] = strength
+        out[[m.end() for m in pattern.finditer(text)]] = strength
     codes, _ = textcodes.flat_codes([text])
-    kinds = textcodes.word_classes()[codes]
-    letter = kinds == textcodes.LETTER
-    edge = np.flatnonzero(np.diff(np.r_[False, letter, False].astype(np.int8)))
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if b - a <= limit:
-            out[a + 1 : b] = 0
-    marks = np.flatnonzero(kinds == textcodes.MARK)  # a mark stays with its letter
+    marks = np.flatnonzero(textcodes.word_classes()[codes] == textcodes.MARK)  # a mark stays with its letter
     out[marks[out[marks] == PLAIN]] = 0
-    for a, b in fences(text):
-        if b - a <= limit:
-            out[a + 1 : b] = 0
+    out[Barriers.of(text, codes).inside(limit)] = 0
     return out
 
 
@@ -129,27 +157,6 @@ def split_oversized(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     return batches.map_portions(wanted, schema, work)
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
-
-
-@F.pandas_udf(_SPANS)
-def _fence_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"s": a, "e": b} for a, b in fences(t)])
-
-
-def _inside_word(text: Column, p: Column, limit: Column) -> Column:
-    """Whether a cut at p parts a run of letters and digits of at most `limit`."""
-    before = F.substring(text, F.greatest(p - limit, F.lit(0)) + 1, F.least(p, limit))
-    after = F.substring(text, p + 1, limit)
-    touches = F.substring(text, p, F.lit(2)).rlike(f"^{_LETTER}{{2}}$")
-    run = F.length(F.regexp_extract(before, f"{_LETTER}*$", 0)) + F.length(F.regexp_extract(after, f"^{_LETTER}*", 0))
-    return F.when(touches, run <= limit).otherwise(False)
-
-
-def _inside_fence(spans: Column, p: Column, limit: Column) -> Column:
-    return F.exists(spans, lambda f: (f["s"] < p) & (p < f["e"]) & (f["e"] - f["s"] <= limit))
-
-
 def _previous_ends(rows: DataFrame) -> DataFrame:
     """`rows` with prev_end: the char_end of the document's previous chunk by ordinal, 0 for the first.
 
@@ -167,39 +174,89 @@ def _previous_ends(rows: DataFrame) -> DataFrame:
     return joined.withColumn("prev_end", F.coalesce(F.when(F.col("opens"), F.col("before")).otherwise(F.col("own_end")), F.lit(0))).drop("own_end", "opens", "before", "part")
 
 
+_FAULTS = ("too_long", "altered", "in_word", "in_fence", "gap", "overlapping")
+_ROW = ("chunk_id", "char_start", "char_end", "prev_end", "most", "shared", "digest")
+
+
+def _judge(text: str | None, start: np.ndarray, end: np.ndarray, before: np.ndarray, most: np.ndarray, digests: list) -> list[np.ndarray]:
+    """altered, in_word, in_fence, gap of the cuts of one text; a number below 0 stands for null."""
+    none = np.zeros(len(start), bool)
+    if text is None:
+        return [none] * 4
+    codes, _ = textcodes.flat_codes([text])
+    barriers, size = Barriers.of(text, codes), len(text)
+    whole = (start >= 0) & (end >= 0)
+    altered = none.copy()
+    for i in np.flatnonzero(whole).tolist():
+        altered[i] = digests[i] is not None and hashlib.md5(text[start[i] : end[i]].encode("utf-8", "surrogatepass")).hexdigest() != digests[i]
+    cut = lambda stretches: np.any([(p > 0) & (p < size) & barriers.parted(stretches, p, most) for p in (start, end)], axis=0)
+    signs = np.zeros(size + 1, np.int64)
+    np.cumsum(~np.isin(codes, textcodes.WHITE_SPACE), out=signs[1:])
+    gap = (start > before) & (signs[np.clip(start, 0, size)] > signs[np.clip(before, 0, size)])
+    return [altered, cut(barriers.runs), cut(barriers.blocks), gap]
+
+
 def cut_faults(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """chunk_id and one boolean for each fault of a chunk: too_long, altered, in_word, in_fence, gap, overlapping.
 
-    Chunks travel without their texts: a digest tells whether the text is the
-    document's.  A condition that needs a null offset, parameter or text
-    doesn't hold; chunks of unknown documents can only be too long.  Rows sent
-    again are one chunk.
+    The cuts of a document are judged together, in one pass over its text, by
+    the same barriers that the bisection keeps to.  Chunks travel without their
+    texts: a digest tells whether the text is the document's.  A condition that
+    needs a null offset, parameter or text doesn't hold, nor does one with a
+    negative offset; chunks of unknown documents can only be too long or
+    overlapping.  Rows sent again are one chunk.
     """
     params = lambda name: F.expr(f"try_cast(chunker_params['{name}'] as int)")
-    rows = chunks.filter("chunk_id is not null").select("chunk_id", "doc_id", "chunk_set_id", "ordinal", "char_start", "char_end", params("max_chars").alias("most"), params("overlap_chars").alias("shared"), F.md5("text").alias("digest")).distinct()
-    rows = _previous_ends(rows)
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("whole"), F.coalesce(_fence_spans(F.when(F.col("text").contains("```"), F.col("text"))), F.array().cast(_SPANS)).alias("fences"))
-    both = rows.join(texts, F.col("doc_id") == F.col("id"), "left")
-    start, end, most = F.col("char_start"), F.col("char_end"), F.col("most")
-    inner = lambda p: (p > 0) & (p < F.length("whole"))
-    cuts = lambda test: (inner(start) & test(start)) | (inner(end) & test(end))
-    own = F.substring(F.col("whole"), start + 1, end - start)
-    skipped = F.substring(F.col("whole"), F.col("prev_end") + 1, start - F.col("prev_end"))
+    named = chunks.filter("chunk_id is not null")
+    rows = named.select("chunk_id", "doc_id", "chunk_set_id", "ordinal", "char_start", "char_end", params("max_chars").alias("most"), params("overlap_chars").alias("shared"), F.md5("text").alias("digest")).distinct()
+    lost = rows.filter("doc_id is null").withColumn("prev_end", F.lit(None).cast("int"))
+    rows = _previous_ends(rows.filter("doc_id is not null"))
+    large = named.filter("doc_id is not null").groupBy("doc_id").agg(F.ceil(F.count("*") / JUDGED).alias("groups")).filter("groups > 1")
+    large = scratch.materialize(large, "cuts-large")
+    rows = rows.join(F.broadcast(large) if joins.is_small(large) else large, "doc_id", "left").withColumn("group", F.pmod(F.xxhash64("chunk_id"), F.coalesce("groups", F.lit(1))))
+    cuts = rows.groupBy("doc_id", "group").agg(F.collect_list(F.struct(*_ROW)).alias("cuts")).drop("group")
+    texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    too_long, overlapping = F.col("char_end") - F.col("char_start") > F.col("most"), F.col("prev_end") - F.col("char_start") > F.col("shared")
+
+    def work(batch: pa.RecordBatch, whole: list) -> pa.RecordBatch:
+        lists = batches.column(batch, "cuts")
+        fields = lists.flatten().flatten()
+        field = lambda name: fields[_ROW.index(name)]
+        number = {name: pc.fill_null(field(name), -1).to_numpy(zero_copy_only=False).astype(np.int64) for name in _ROW[1:6]}
+        digests = field("digest").to_pylist()
+        found = np.zeros((4, len(fields[0])), bool)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        for text, a, b in zip(whole, np.r_[0, ends].tolist(), ends.tolist()):
+            found[:, a:b] = _judge(text, *(number[name][a:b] for name in ("char_start", "char_end", "prev_end", "most")), digests[a:b])
+        return pa.RecordBatch.from_arrays([*(field(n) for n in _ROW[:6]), *map(pa.array, found)], names=[*_ROW[:6], *_FAULTS[1:5]])
+
+    schema = "chunk_id string, char_start int, char_end int, prev_end int, most int, shared int, altered boolean, in_word boolean, in_fence boolean, gap boolean"
+    judged = batches.map_portions(cuts.join(texts, "doc_id", "left").select("text", "cuts"), schema, work)
+    lost = lost.select(*_ROW[:6], *(F.lit(False).alias(c) for c in _FAULTS[1:5]))
     no = lambda c: F.coalesce(c, F.lit(False))
-    return both.select(
-        "chunk_id",
-        no(end - start > most).alias("too_long"),
-        no(F.md5(own) != F.col("digest")).alias("altered"),
-        no(cuts(lambda p: _inside_word(F.col("whole"), p, most))).alias("in_word"),
-        no(cuts(lambda p: _inside_fence(F.col("fences"), p, most))).alias("in_fence"),
-        no((start > F.col("prev_end")) & skipped.rlike("(?U)\\S")).alias("gap"),
-        no(F.col("prev_end") - start > F.col("shared")).alias("overlapping"),
-    )
+    return judged.unionByName(lost).select("chunk_id", no(too_long).alias("too_long"), *_FAULTS[1:5], no(overlapping).alias("overlapping"))
 
 
 def faulty_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """chunk_id of the chunks that have any fault."""
-    return cut_faults(docs, chunks).filter("too_long or altered or in_word or in_fence or gap or overlapping").select("chunk_id").distinct()
+    return cut_faults(docs, chunks).filter(" or ".join(_FAULTS)).select("chunk_id").distinct()
+
+
+def piece_checks(limited: DataFrame) -> DataFrame:
+    """doc_id, n_chars, first_start, last_end, faults: for each text over its limit how far its pieces reach and how many of them have a fault.
+
+    `limited` are documents with limits, as for `split_oversized`; the pieces are
+    judged like chunks that others cut.  A right result reaches from 0 to
+    n_chars and has no fault.
+    """
+    pieces = split_oversized(limited).distinct()
+    limits = limited.select("doc_id", F.map_concat(*(F.create_map(F.lit(c), F.col(c).cast("string")) for c in ("max_chars", "overlap_chars"))).alias("chunker_params")).distinct()
+    rows = pieces.join(limits, "doc_id").withColumn("chunk_id", F.concat_ws("/", "doc_id", "piece")).withColumn("chunk_set_id", F.lit("pieces")).withColumn("ordinal", F.col("piece"))
+    rows = scratch.materialize(rows, "pieces")
+    faults = cut_faults(limited, rows).filter(" or ".join(_FAULTS)).select("chunk_id").distinct().withColumn("bad", F.lit(1))
+    reach = rows.join(faults, "chunk_id", "left").groupBy("doc_id").agg(F.min("char_start").alias("first_start"), F.max("char_end").alias("last_end"), F.count("bad").alias("faults"))
+    sizes = limited.filter("length(text) > max_chars").select("doc_id", F.length("text").alias("n_chars")).distinct()
+    return sizes.join(reach, "doc_id", "left").select("doc_id", "n_chars", "first_start", "last_end", "faults")
 
 
 def with_limits(docs: DataFrame, chunks: DataFrame) -> DataFrame:
