@@ -4,9 +4,9 @@ Windows of `length` code points are never shipped one by one.  Consecutive
 windows that share a minimiser (the least hash of the k-signs-long pieces in the
 window) travel as one packed string, a super-k-mer, to the minimiser's bucket.
 Two equal windows have the same minimiser, so a window that is shared is always
-found in one bucket, where the windows' hashes are sorted.  For pairs the texts
-themselves confirm each match; for coverage equal 64-bit hashes are taken as
-equal windows.
+found in one bucket, where the windows' hashes are sorted.  A match is confirmed
+by the texts themselves for pairs, and by a second, independent 64-bit hash for
+coverage.
 
 Buckets that only one document feeds can't hold a shared window.  A first pass
 therefore ships only (minimiser, document) to count documents per bucket
@@ -15,8 +15,11 @@ exactly, and the last packs strings for the other buckets alone.
 A bucket of many documents is first told apart by a second, longer minimiser
 (nine tenths of a window), counted the same way: documents that merely have a
 stock phrase in common fall apart there.  What is still a large bucket holds
-documents that share nearly whole windows; it is split into blocks of documents,
-each pair of blocks being a group of its own, so that no group is unbounded.
+documents that share nearly whole windows.  No string is packed for it: each of
+its few windows (a tenth of a window's length at most for each super-k-mer) is a
+row of two hashes, the document and the place, and equal windows are one class,
+put together before they are shuffled.  So the work grows with the number of
+documents, not with its square; only written pairs are as many as there are.
 """
 
 from __future__ import annotations
@@ -35,8 +38,12 @@ from gleanery.llm import batches, textcodes
 
 #: Signs in a minimiser; long enough that stock phrases alone rarely make one.
 MINIMISER = 100
-#: Documents in one block of a large bucket.
+#: Documents of a bucket that is sorted as a whole; larger ones are taken apart.
 BLOCK = 500
+#: Documents of one class of windows that are paired in one task group.
+PAIRED = 2000
+#: Makes the second hash of a window independent of the first.
+_SECOND = np.uint64(0xA24BAED4963EE407)
 
 
 def _least(codes: np.ndarray, length: int, k: int) -> np.ndarray:
@@ -64,7 +71,7 @@ def buckets(texts: list, length: int, k: int, large: list | None = None, both: b
     if len(named):
         split = np.isin(value, named)
         second = _least(codes, length, max(k, length * 9 // 10))[at]
-        value = np.where(split, textcodes.mix(value + second * np.uint64(0xA24BAED4963EE407)), value)
+        value = np.where(split, textcodes.mix(value + second * _SECOND), value)
         if not both:
             at, value = at[split], value[split]
     elif not both:
@@ -90,48 +97,71 @@ def _bucket_rows(documents: DataFrame, length: int, k: int, second: bool = False
     return batches.map_portions(documents, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("doc", kind)]), work)
 
 
+def _chosen(batch: pa.RecordBatch, texts: list, length: int, k: int, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """text, start, count, bucket of the super-k-mers whose bucket the row's list `column` names."""
+    text, start, count, value = buckets(texts, length, k, batches.column(batch, "large").to_pylist())
+    lists = batches.column(batch, column)
+    owner = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    # two pairs of text and bucket that mix to one number only ship a string too many
+    number = lambda t, v: textcodes.mix(v + textcodes.mix(t.astype(np.uint64)) * _SECOND)
+    some = np.isin(number(text, value), number(owner, lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)))
+    return text[some], start[some], count[some], value[some]
+
+
 def _packed(documents: DataFrame, length: int, k: int) -> DataFrame:
-    """The super-k-mers of the buckets that the column `buckets` (bucket, docs) names, once for each pair of blocks they belong to."""
+    """The super-k-mers of the buckets in the column `packs`, each once: bucket, doc, start, piece."""
+
+    def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        text, start, count, value = _chosen(batch, texts, length, k, "packs")
+        pieces = [texts[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), (start + count + length - 1).tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batches.column(batch, "doc").take(pa.array(text)), pa.array(start), pa.array(pieces, pa.string())], names=["bucket", "doc", "start", "piece"])
+
+    kind = documents.schema["doc"].dataType
+    fields = [("bucket", T.LongType()), ("doc", kind), ("start", T.LongType()), ("piece", T.StringType())]
+    return batches.map_portions(documents, T.StructType([T.StructField(n, t) for n, t in fields]), work)
+
+
+def _window_rows(documents: DataFrame, length: int, k: int) -> DataFrame:
+    """The windows of the buckets in the column `hot`: two hashes, doc, at."""
 
     def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        text, start, count, value = buckets(texts, length, k, batches.column(batch, "large").to_pylist())
-        wanted = [{x["bucket"]: x["docs"] for x in rows} for rows in batches.column(batch, "buckets").to_pylist()]
-        docs = np.fromiter((wanted[t].get(v, 0) for t, v in zip(text.tolist(), value.view(np.int64).tolist())), np.int64, len(text))
-        some = docs > 1
-        text, start, count, value, docs = text[some], start[some], count[some], value[some], docs[some]
-        blocks = np.maximum(-(-docs // BLOCK), 1)
-        index = np.repeat(np.arange(len(text)), blocks)
-        other = np.arange(len(index)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        own = (batches.column(batch, "salt").to_numpy(zero_copy_only=False).view(np.uint64)[text[index]] % blocks[index].astype(np.uint64)).astype(np.int64)
-        low, high = np.minimum(own, other), np.maximum(own, other)
-        pieces = [texts[t][a : a + n + length - 1] for t, a, n in zip(text.tolist(), start.tolist(), count.tolist())]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(value.view(np.int64)[index]), pa.array((low * blocks[index] + high)), pa.array(np.where(low != high, own, -1)), batches.column(batch, "doc").take(pa.array(text[index])), pa.array(start[index]), pa.array([pieces[i] for i in index.tolist()], pa.string())],
-            names=["bucket", "pair", "block", "doc", "start", "piece"],
-        )
+        text, start, count, _ = _chosen(batch, texts, length, k, "hot")
+        codes, offsets = textcodes.flat_codes([x or "" for x in texts])
+        at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        text = np.repeat(text, count)
+        begin = offsets[text] + at
+        hashes = [textcodes.span_hashes(v, begin, begin + length).view(np.int64) for v in _values(codes)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, hashes), batches.column(batch, "doc").take(pa.array(text)), pa.array(at)], names=["h", "g", "doc", "at"])
 
     kind = documents.schema["doc"].dataType
-    fields = [("bucket", T.LongType()), ("pair", T.LongType()), ("block", T.LongType()), ("doc", kind), ("start", T.LongType()), ("piece", T.StringType())]
+    fields = [("h", T.LongType()), ("g", T.LongType()), ("doc", kind), ("at", T.LongType())]
     return batches.map_portions(documents, T.StructType([T.StructField(n, t) for n, t in fields]), work)
 
 
-def _shared_windows(groups: np.ndarray, blocks: np.ndarray, docs: np.ndarray, pieces: list[str], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of whole groups: for each window that several documents have, its members, as (window group, piece, offset, document) arrays."""
+def _values(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the signs for the first and for the second hash of a window."""
+    one = textcodes.code_values()[codes]
+    return one, textcodes.mix(one ^ _SECOND)
+
+
+def _shared_windows(groups: np.ndarray, docs: np.ndarray, pieces: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole groups: for each window that several documents have, its members, as (window, piece, offset, document) arrays."""
     codes, offsets = textcodes.flat_codes(pieces)
     counts = np.diff(offsets) - length + 1
     piece = np.repeat(np.arange(len(pieces)), counts)
     at = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = offsets[:-1][piece] + at
-    hashes = textcodes.span_hashes(textcodes.code_values()[codes], starts, starts + length)
-    order = np.lexsort((at, docs[piece], hashes, groups[piece]))
-    piece, at, hashes = piece[order], at[order], hashes[order]
-    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (groups[piece[1:]] != groups[piece[:-1]])]
-    first = np.flatnonzero(new)
-    sizes = np.diff(np.r_[first, len(piece)])
-    low, high = docs[piece[first]], docs[piece[first + sizes - 1]]
-    several = np.repeat(low != high, sizes)
-    window = (np.cumsum(new) - 1)[several]
-    return window, piece[several], at[several], docs[piece[several]]
+    window = groups[piece]
+    for value in _values(codes):  # the second hash tells apart what the first one takes for equal
+        starts = offsets[:-1][piece] + at
+        hashes = textcodes.span_hashes(value, starts, starts + length)
+        order = np.lexsort((at, docs[piece], hashes, window))
+        piece, at, hashes, window = piece[order], at[order], hashes[order], window[order]
+        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (window[1:] != window[:-1])] if len(piece) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.r_[first, len(piece)])
+        several = np.repeat(docs[piece[first]] != docs[piece[first + sizes - 1]], sizes)
+        piece, at, window = piece[several], at[several], (np.cumsum(new) - 1)[several]
+    return window, piece, at, docs[piece]
 
 
 def _streamed(packed: DataFrame, length: int, fields: str, work) -> DataFrame:
@@ -163,12 +193,12 @@ def _streamed(packed: DataFrame, length: int, fields: str, work) -> DataFrame:
                     yield out
                 begin = end
 
-    return packed.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(run, fields)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, fields)
 
 
 def _group_numbers(table: pa.Table) -> np.ndarray:
-    bucket, pair = table["bucket"].to_numpy(), table["pair"].to_numpy()
-    return np.cumsum(np.r_[False, (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])])
+    bucket = table["bucket"].to_numpy()
+    return np.cumsum(np.r_[False, bucket[1:] != bucket[:-1]])
 
 
 def _pair_rows(packed: DataFrame, length: int) -> DataFrame:
@@ -178,8 +208,7 @@ def _pair_rows(packed: DataFrame, length: int) -> DataFrame:
     def work(table: pa.Table, group: np.ndarray, pieces: list[str]) -> pa.RecordBatch | None:
         names = pa.compute.unique(table["doc"].combine_chunks())
         docs = pa.compute.index_in(table["doc"].combine_chunks(), names).to_numpy(zero_copy_only=False).astype(np.int64)
-        blocks = table["block"].to_numpy()
-        window, piece, at, doc = _shared_windows(group, blocks, docs, pieces, length)
+        window, piece, at, doc = _shared_windows(group, docs, pieces, length)
         if not len(window):
             return None
         new = np.r_[True, (window[1:] != window[:-1]) | (doc[1:] != doc[:-1])]
@@ -193,15 +222,13 @@ def _pair_rows(packed: DataFrame, length: int) -> DataFrame:
         out: list[np.ndarray] = []
         for w in chosen.tolist():
             a, b = first[w], ends[w]
-            text = pieces[piece[a]][at[a] : at[a] + length]
-            true = np.array([pieces[piece[i]][at[i] : at[i] + length] == text for i in range(a, b)])
-            if not true.all():  # two windows with one hash: leave no match to chance
-                out.extend(_by_text(range(a, b), piece, at, doc, blocks, pieces, length))
-                continue
-            members, block = doc[a:b], blocks[piece[a:b]]
-            for i in range(len(members) - 1):
-                others = members[i + 1 :][(block[i + 1 :] != block[i]) | (block[i] < 0)]
-                out.append(np.stack([np.full(len(others), members[i]), others]))
+            texts: dict[str, list[int]] = {}  # leave no match to chance: the texts of the windows decide
+            for i in range(a, b):
+                texts.setdefault(pieces[piece[i]][at[i] : at[i] + length], []).append(i)
+            for same in texts.values():
+                members = doc[same]
+                one, two = np.triu_indices(len(members), 1)
+                out.append(np.stack([members[one], members[two]]))
         if not out:
             return None
         found = np.unique(np.concatenate(out, axis=1), axis=1)
@@ -210,18 +237,6 @@ def _pair_rows(packed: DataFrame, length: int) -> DataFrame:
     return _streamed(packed, length, f"a {kind}, b {kind}", work)
 
 
-def _by_text(rows, piece, at, doc, blocks, pieces, length) -> Iterator[np.ndarray]:
-    """Pairs of documents among windows of one hash, told apart by their texts."""
-    texts: dict[str, list[int]] = {}
-    for i in rows:
-        texts.setdefault(pieces[piece[i]][at[i] : at[i] + length], []).append(i)
-    for same in texts.values():
-        for n, i in enumerate(same):
-            for j in same[n + 1 :]:
-                if doc[i] != doc[j] and (blocks[piece[i]] < 0 or blocks[piece[i]] != blocks[piece[j]]):
-                    yield np.array([[doc[i]], [doc[j]]])
-
-
 def _span_rows(packed: DataFrame, length: int) -> DataFrame:
     """doc, span_start, span_end: runs of shared windows, as code points of the document."""
     kind = packed.schema["doc"].dataType.simpleString()
@@ -229,7 +244,7 @@ def _span_rows(packed: DataFrame, length: int) -> DataFrame:
     def work(table: pa.Table, group: np.ndarray, pieces: list[str]) -> pa.RecordBatch | None:
         names = pa.compute.unique(table["doc"].combine_chunks())
         docs = pa.compute.index_in(table["doc"].combine_chunks(), names).to_numpy(zero_copy_only=False).astype(np.int64)
-        _, piece, at, _ = _shared_windows(group, table["block"].to_numpy(), docs, pieces, length)
+        _, piece, at, _ = _shared_windows(group, docs, pieces, length)
         if not len(piece):
             return None
         order = np.lexsort((at, piece))
@@ -242,20 +257,52 @@ def _span_rows(packed: DataFrame, length: int) -> DataFrame:
     return _streamed(packed, length, f"doc {kind}, span_start long, span_end long", work)
 
 
-def _candidates(documents: DataFrame, length: int, k: int, key: str, text: str) -> DataFrame:
+def _candidates(documents: DataFrame, length: int, k: int, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """The packed strings of ordinary buckets, and the written windows of those that stay large, if any do."""
     if not 0 < k <= length:
         raise ValueError("the minimiser must be at most as long as the window")
     source = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= length))
+    of = lambda column, test: F.transform(F.filter(column, test), lambda x: x["bucket"])
+    few, many = (lambda x: x["docs"] <= BLOCK), (lambda x: x["docs"] > BLOCK)
+    none = F.array().cast("array<long>")
     rows = scratch.materialize(_bucket_rows(source, length, k), "minimisers")
-    wanted = scratch.materialize(_per_document(rows).withColumn("large", F.transform(F.filter("buckets", lambda x: x["docs"] > BLOCK), lambda x: x["bucket"])), "wanted")
+    wanted = scratch.materialize(_per_document(rows).select("doc", of("buckets", few).alias("packs"), of("buckets", many).alias("large"), none.alias("hot")), "wanted")
     large = wanted.filter("size(large) > 0").select("doc", "large")
-    again = scratch.materialize(_bucket_rows(joins.keep_matching(source, large, ["doc"], "inner"), length, k, second=True), "longer-minimisers")
-    small = wanted.select("doc", F.filter("buckets", lambda x: x["docs"] <= BLOCK).alias("buckets"), "large")
-    more = _per_document(again).select("doc", F.col("buckets").alias("more"))
-    none = F.slice("buckets", 1, 0)
-    final = small.join(more, "doc", "left").select("doc", F.concat("buckets", F.coalesce("more", none)).alias("buckets"), "large").filter("size(buckets) > 0")
-    chosen = joins.keep_matching(source, scratch.materialize(final, "wanted-buckets"), ["doc"], "inner")
-    return _packed(chosen.withColumn("salt", F.xxhash64("doc")), length, k)
+    if not large.isEmpty():
+        again = scratch.materialize(_bucket_rows(joins.keep_matching(source, large, ["doc"], "inner"), length, k, second=True), "longer-minimisers")
+        more = _per_document(again).select("doc", of("buckets", few).alias("more"), of("buckets", many).alias("hotter"))
+        wanted = wanted.join(more, "doc", "left").select("doc", F.concat("packs", F.coalesce("more", none)).alias("packs"), "large", F.coalesce("hotter", none).alias("hot"))
+        wanted = scratch.materialize(wanted, "wanted-buckets")
+    packs = wanted.filter("size(packs) > 0").drop("hot")
+    packed = _packed(joins.keep_matching(source, packs, ["doc"], "inner"), length, k)
+    hot = wanted.filter("size(hot) > 0").select("doc", "large", "hot")
+    if hot.isEmpty():
+        return packed, None
+    return packed, scratch.materialize(_window_rows(joins.keep_matching(source, hot, ["doc"], "inner"), length, k).distinct(), "windows")
+
+
+def _class_pairs(windows: DataFrame) -> DataFrame:
+    """a, b: pairs of documents that have a window of a large bucket in common.
+
+    Classes of windows with the same documents are one; the documents of a class
+    are split into blocks, and each pair of blocks is joined by itself.
+    """
+    rows = windows.select("h", "g", "doc").distinct()
+    sets = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).filter("n > 1")
+    one = sets.groupBy("n", "x", "y").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g", F.ceil(F.col("n") / PAIRED).alias("blocks"))
+    one = scratch.materialize(one, "window-classes")
+    members = joins.keep_matching(rows, one, ["h", "g"], "inner").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = members.select("h", "g", F.col("doc").alias("a"), F.col("own").alias("p"), others.alias("q"))
+    right = members.select("h", "g", F.col("doc").alias("b"), F.col("own").alias("q"), others.alias("p"))
+    return left.join(right, ["h", "g", "p", "q"]).filter("a < b").select("a", "b")
+
+
+def _class_spans(windows: DataFrame, length: int) -> DataFrame:
+    """doc, span_start, span_end: the windows of large buckets that several documents have."""
+    shared = windows.groupBy("h", "g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low != high").select("h", "g")
+    kept = joins.keep_matching(windows, scratch.materialize(shared, "window-classes"), ["h", "g"])
+    return kept.select("doc", F.col("at").alias("span_start"), (F.col("at") + length).alias("span_end"))
 
 
 def _per_document(rows: DataFrame) -> DataFrame:
@@ -271,7 +318,10 @@ def shared_pairs(documents: DataFrame, length: int = 320, k: int = MINIMISER, ke
     Null and shorter texts share nothing, rows without a key are left out, and
     rows of one key are one document.
     """
-    found = _pair_rows(_candidates(documents, length, k, key, text), length)
+    packed, windows = _candidates(documents, length, k, key, text)
+    found = _pair_rows(packed, length)
+    if windows is not None:
+        found = found.unionByName(_class_pairs(windows))
     return found.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
 
@@ -281,7 +331,11 @@ def shared_coverage(documents: DataFrame, length: int = 320, k: int = MINIMISER,
     One row for each distinct key; a null or empty text has 0 of 0 characters
     and the fraction 0.  Spans that overlap or touch count once.
     """
-    found = _span_rows(_candidates(documents, length, k, key, text), length).distinct()
+    packed, windows = _candidates(documents, length, k, key, text)
+    found = _span_rows(packed, length)
+    if windows is not None:
+        found = found.unionByName(_class_spans(windows, length))
+    found = found.distinct()
     w = "partition by doc order by span_start, span_end"
     spans = found.selectExpr("*", f"max(span_end) over ({w} rows between unbounded preceding and 1 preceding) as reach")
     spans = spans.selectExpr("doc", "cast(reach is null or span_start > reach as int) as opens", "greatest(span_end - greatest(span_start, coalesce(reach, span_start)), 0) as adds")

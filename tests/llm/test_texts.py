@@ -69,11 +69,30 @@ def test_stock_phrases_make_no_pairs_of_blocks(spark, monkeypatch):
     texts = {k: noise(40) + phrase + noise(40) for k in range(60)}
     texts[60], texts[61] = texts[3], texts[4][20:]
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    packed = shared_spans._candidates(frame, 60, 20, "doc_id", "text")
-    assert packed.count() < 60  # without the second minimiser each of 62 documents would come once for each of 13 blocks
+    packed, windows = shared_spans._candidates(frame, 60, 20, "doc_id", "text")
+    assert packed.count() < 60 and windows is None  # without the second minimiser all 62 documents would be in one large bucket
     assert {tuple(r) for r in shared_spans.shared_pairs(frame, 60, 20).collect()} == shared(texts, 60)[0] == {(3, 60), (4, 61)}
 
 
+@pytest.mark.parametrize("n", [400, 1600])
+def test_a_passage_that_many_documents_share_ships_bytes_in_proportion(spark, monkeypatch, n):
+    monkeypatch.setattr(shared_spans, "BLOCK", 50)
+    rnd = random.Random(n)
+    noise = lambda size: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(size))
+    passage = noise(120)
+    frame = spark.createDataFrame([(k, noise(60) + passage + noise(60)) for k in range(n)] + [(-1, noise(400))], "doc_id long, text string")
+    packed, windows = shared_spans._candidates(frame, 100, 40, "doc_id", "text")
+    # rows for a document: the windows that hold the minimiser of 90 signs, 21 inside the passage and 2 * 10 at its edges
+    assert windows.count() <= 41 * n and windows.groupBy("h", "g").count().filter(f"count = {n}").count() == 21
+    assert packed.count() <= 12 * n  # buckets of stretches at the edges, which a few documents share by chance
+    rows = shared_spans.shared_coverage(frame, 100, 40).collect()
+    assert all(r["shared_chars"] >= 120 for r in rows if r["doc_id"] >= 0) and sum(r["shared_chars"] for r in rows) <= 128 * n  # chance neighbours add a few signs
+    if n == 400:
+        monkeypatch.setattr(shared_spans, "PAIRED", 70)
+        got = [tuple(r) for r in shared_spans.shared_pairs(frame, 100, 40).collect()]
+        assert len(got) == len(set(got)) == n * (n - 1) // 2
+
+
 def test_shared_spans_edges(spark):
     long = "word " * 40_000
     rows = [(1, long, "z"), (2, "x" + long[:400], "z"), (3, None, None), (4, "", "z"), (None, long, "z"), (1, long, "z"), (5, "short", "z")]
