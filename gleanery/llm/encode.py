@@ -18,6 +18,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -84,6 +85,16 @@ def word_starts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return start
 
 
+def _all_equal(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each word (starts, ends) has the same signs as the word whose number `like` gives."""
+    sizes = ends - starts
+    if (sizes != sizes[like]).any():
+        return False
+    shift = np.repeat(starts[like] - starts, sizes)
+    at = np.arange(starts[0], ends[-1]) if len(starts) else starts  # words lie one after another
+    return bool((codes[at] == codes[at + shift]).all())
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary: ranks of byte strings, merged in batches of words."""
 
@@ -107,6 +118,7 @@ class ByteBpe:
         self.pair_ids = np.array(merged, np.int64)[order]
         self.whole = ranks
         self.known: dict[str, tuple[int, ...]] = {}
+        self.bytes_of: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def load(cls, path: str) -> "ByteBpe":
@@ -188,7 +200,12 @@ class ByteBpe:
         hashes = textcodes.span_hashes(textcodes.code_values()[codes], starts, ends)
         _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         joined = "".join(plain)
-        distinct = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+        if _all_equal(codes, starts, ends, where[which]):
+            distinct = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+        else:  # two words with one hash: the words themselves tell them apart
+            number: dict[str, int] = {}
+            which = np.array([number.setdefault(joined[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist())])
+            distinct = list(number)
         pieces = [self.known.get(w) for w in distinct]
         unknown = [w for w, ids in zip(distinct, pieces) if ids is None]
         if unknown:
@@ -204,6 +221,21 @@ class ByteBpe:
         ids = table[np.arange(ahead[-1]) + np.repeat(at[:-1][which] - ahead[:-1], counts)]
         return ids, ahead[np.searchsorted(starts, offsets)]
 
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of flat ids with the n + 1 offsets of the texts."""
+        if self.bytes_of is None:
+            tokens = [b""] * self.size
+            for token, rank in self.whole.items():
+                tokens[rank] = token
+            lengths = np.fromiter(map(len, tokens), np.int64, self.size)
+            self.bytes_of = np.frombuffer(b"".join(tokens), np.uint8), np.r_[0, np.cumsum(lengths)]
+        data, at = self.bytes_of
+        sizes = at[ids + 1] - at[ids]
+        ahead = np.r_[0, np.cumsum(sizes)]
+        raw = data[np.arange(ahead[-1]) + np.repeat(at[ids] - ahead[:-1], sizes)].tobytes()
+        cuts = ahead[offsets].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
     def count(self, texts: list[str | None]) -> np.ndarray:
         """The number of ids of each text."""
         return np.diff(self.encode(texts)[1])
@@ -226,3 +258,17 @@ def encode_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY,
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return batches.map_portions(source, schema, work)
 
+
+
+def decoded_documents(encoded: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id") -> DataFrame:
+    """The key and text of each row of ids; the way back of `encode_documents`. A null or empty list gives an empty text."""
+    kind = encoded.schema[key].dataType
+
+    def run(stream):
+        for batch in stream:
+            lists = batches.column(batch, "ids")
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            texts = ByteBpe.load(vocabulary).decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(sizes)].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batches.column(batch, key), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return encoded.select(key, "ids").mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("text", T.StringType())]))
