@@ -277,12 +277,41 @@ def test_budget_is_near_the_truth(spark):
     assert token_budget.token_budget(docs.limit(0), chunks.limit(0)).count() == 0
 
 
-def test_no_count_is_cleared_by_an_estimate(spark):
+def test_a_text_unlike_the_sample_is_tokenized(spark):
     rnd = random.Random(4)
     plain = [(f"c{i}", " ".join(rnd.choice(["the", "house", "and", "water", "time", "people"]) for _ in range(80)), 80) for i in range(300)]
-    odd = " ".join("".join(rnd.choice("bcdfghjkqxz") for _ in range(9)) for _ in range(2500))  # too long for the sample
+    odd = " ".join("".join(rnd.choice("bcdfghjkqxz") for _ in range(9)) for _ in range(2500))
     chunks = lambda told: spark.createDataFrame([*plain, ("odd", odd, told)], "chunk_id string, text string, token_count long")
-    guess = int(token_budget.fit(chunks(1)).predict([odd])[0][0])
+    none = token_budget.LanguageModel.of(token_budget.np.zeros((6, token_budget.PAIRS)))
+    model = token_budget.fit(chunks(1).filter("chunk_id != 'odd'"), none)
+    guess, _, known = model.predict([odd, plain[0][1]])
     true = int(encode.ByteBpe.load(encode.DEFAULT_VOCABULARY).count([odd])[0])
-    assert true > 2 * guess
-    assert [r["chunk_id"] for r in token_budget.unusable_counts(chunks(guess)).collect()] == ["odd"]
+    assert true > 2 * int(guess[0]) and known.tolist() == [False, True]
+    assert [r["chunk_id"] for r in token_budget.unusable_counts(chunks(int(guess[0]))).collect()] == ["odd"]
+
+
+def test_sample_takes_all_lengths_and_each_text_once(spark):
+    rnd = random.Random(3)
+    short = [("the same text again and again " * 3,)] * 3000 + [(f"{i} " + "word " * 20,) for i in range(2000)]
+    long = [(" ".join(str(rnd.random()) for _ in range(4000)),) for _ in range(3)]
+    frame = spark.createDataFrame(short + long, "text string")
+    got = token_budget._portion(frame, 100, token_budget.F.floor(token_budget.F.log2(token_budget.F.octet_length("text") + 1))).collect()
+    texts = [r["text"] for r in got]
+    assert len(set(texts)) == len(texts) <= 130 and {t for t, in long} <= set(texts)
+
+
+def test_languages_are_told_on_held_out_documents(spark):
+    import glob
+
+    import pandas as pd
+
+    path = "/root/testdata/sf0.01/corpus_docs.parquet"
+    if not glob.glob(path):
+        pytest.skip("no test tables")
+    docs = pd.read_parquet(path, columns=["doc_id", "text", "meta"]).drop_duplicates("doc_id")
+    docs["lang"] = docs["meta"].map(lambda m: dict(m).get("lang"))
+    known = docs[docs["lang"].isin(token_budget.LANGUAGES)]
+    taught, held = known[known["doc_id"].str[-1] < "8"], known[known["doc_id"].str[-1] >= "8"]
+    model = token_budget.fit_languages(spark.createDataFrame(taught[["text", "lang"]]))
+    told = [token_budget.LANGUAGES[k] for k in model.tell(list(held["text"]))]
+    assert (pd.Series(told, index=held.index) == held["lang"]).mean() > 0.97 and len(held) > 50
