@@ -137,23 +137,24 @@ def bisect(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     return pieces
 
 
-def split_oversized(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: str = "max_chars", overlap: str = "overlap_chars") -> DataFrame:
-    """doc_id, piece, char_start, char_end, text for each text longer than its row's limit.
+def split_oversized(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: str = "max_chars", overlap: str = "overlap_chars", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `keep`, piece, char_start, char_end, text for each text longer than its row's limit.
 
     The limits are columns of `docs`.  Texts within the limit, null texts and
     rows whose limits are null or senseless (limit < 1, overlap < 0 or >=
     limit) give no pieces.  No shuffle; rows sent again are split again.
     """
-    wanted = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(limit).cast("int").alias("most"), F.col(overlap).cast("int").alias("shared"))
+    wanted = docs.select(F.col(key).alias("doc_id"), *keep, F.col(text).alias("text"), F.col(limit).cast("int").alias("most"), F.col(overlap).cast("int").alias("shared"))
     wanted = wanted.filter("most >= 1 and shared >= 0 and shared < most and length(text) > most")
-    kind = wanted.schema["doc_id"].dataType
+    kept = [wanted.schema[c] for c in ("doc_id", *keep)]
 
     def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         rows = [(i, n, a, b, t[a:b]) for i, (t, most, shared) in enumerate(zip(texts, batches.column(batch, "most").to_pylist(), batches.column(batch, "shared").to_pylist())) for n, (a, b) in enumerate(bisect(t, most, shared))]
         at, n, a, b, piece = zip(*rows)
-        return pa.RecordBatch.from_arrays([batches.column(batch, "doc_id").take(pa.array(at)), *(pa.array(x, pa.int32()) for x in (n, a, b)), pa.array(piece, pa.string())], names=["doc_id", "piece", "char_start", "char_end", "text"])
+        same = [batches.column(batch, f.name).take(pa.array(at)) for f in kept]
+        return pa.RecordBatch.from_arrays([*same, *(pa.array(x, pa.int32()) for x in (n, a, b)), pa.array(piece, pa.string())], names=[*(f.name for f in kept), "piece", "char_start", "char_end", "text"])
 
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.IntegerType()) for c in ("piece", "char_start", "char_end")), T.StructField("text", T.StringType())])
+    schema = T.StructType([*kept, *(T.StructField(c, T.IntegerType()) for c in ("piece", "char_start", "char_end")), T.StructField("text", T.StringType())])
     return batches.map_portions(wanted, schema, work)
 
 
@@ -243,20 +244,19 @@ def faulty_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def piece_checks(limited: DataFrame) -> DataFrame:
-    """doc_id, n_chars, first_start, last_end, faults: for each text over its limit how far its pieces reach and how many of them have a fault.
+    """doc_id, chunk_set_id, n_chars, first_start, last_end, faults: for each text over its limit how far its pieces reach and how many of them have a fault.
 
-    `limited` are documents with limits, as for `split_oversized`; the pieces are
-    judged like chunks that others cut.  A right result reaches from 0 to
-    n_chars and has no fault.
+    `limited` are documents with limits (see `with_limits`); the pieces are judged
+    like chunks that others cut.  A right result reaches from 0 to n_chars and
+    has no fault.
     """
-    pieces = split_oversized(limited).distinct()
-    limits = limited.select("doc_id", F.map_concat(*(F.create_map(F.lit(c), F.col(c).cast("string")) for c in ("max_chars", "overlap_chars"))).alias("chunker_params")).distinct()
-    rows = pieces.join(limits, "doc_id").withColumn("chunk_id", F.concat_ws("/", "doc_id", "piece")).withColumn("chunk_set_id", F.lit("pieces")).withColumn("ordinal", F.col("piece"))
-    rows = scratch.materialize(rows, "pieces")
-    faults = cut_faults(limited, rows).filter(" or ".join(_FAULTS)).select("chunk_id").distinct().withColumn("bad", F.lit(1))
-    reach = rows.join(faults, "chunk_id", "left").groupBy("doc_id").agg(F.min("char_start").alias("first_start"), F.max("char_end").alias("last_end"), F.count("bad").alias("faults"))
-    sizes = limited.filter("length(text) > max_chars").select("doc_id", F.length("text").alias("n_chars")).distinct()
-    return sizes.join(reach, "doc_id", "left").select("doc_id", "n_chars", "first_start", "last_end", "faults")
+    names = ("chunk_set_id", "max_chars", "overlap_chars")
+    pieces = scratch.materialize(split_oversized(limited, keep=names).withColumn("chunk_id", F.concat_ws("/", "doc_id", "chunk_set_id", "piece")), "pieces")
+    params = F.create_map(*(x for c in names[1:] for x in (F.lit(c), F.col(c).cast("string"))))
+    faults = cut_faults(limited, pieces.withColumn("ordinal", F.col("piece")).withColumn("chunker_params", params)).filter(" or ".join(_FAULTS)).select("chunk_id").distinct().withColumn("bad", F.lit(1))
+    reach = pieces.join(faults, "chunk_id", "left").groupBy("doc_id", "chunk_set_id").agg(F.min("char_start").alias("first_start"), F.max("char_end").alias("last_end"), F.count("bad").alias("faults"))
+    sizes = limited.filter("length(text) > max_chars").select("doc_id", "chunk_set_id", F.length("text").alias("n_chars"))
+    return sizes.join(reach, ["doc_id", "chunk_set_id"], "left")
 
 
 def with_limits(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def assign_splits(evalset: DataFrame, moves: DataFrame, shares: tuple[tuple[str,
     records = records.withColumn("bare", F.coalesce("bare", F.concat(F.lit("query:"), "query_id")))
     ids = records.groupBy("bare").agg(F.count("*").alias("n"))
     grouped = scratch.materialize(_group_of(ids, gold_components(moves)), "split-groups")
-    sizes = scratch.materialize(grouped.groupBy("group").agg(F.sum("n").alias("n")).withColumn("place", F.pmod(F.xxhash64(F.concat(F.lit(seed), "group")), F.lit(1 << 40))), "split-sizes")
+    sizes = scratch.materialize(grouped.groupBy("group").agg(F.sum("n").alias("n")).withColumn("place", F.conv(F.substring(F.md5(F.concat(F.lit(seed), "group")), 1, 10), 16, 10).cast("long")), "split-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     room = {name: share * total for name, share in shares}
     heavy: dict[str, str] = {}

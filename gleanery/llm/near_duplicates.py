@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery import scratch
 from gleanery.llm import components, similarity
 from gleanery.llm.similarity import Matches, Measure
 
@@ -40,13 +41,19 @@ def duplicate_pairs(docs: DataFrame, chunks: DataFrame, measure: Measure = PROJE
 def duplicate_groups(docs: DataFrame, chunks: DataFrame, measure: Measure = PROJECT_MEASURE) -> DataFrame:
     """record_kind, record_id, class_id, n_links, group_id: one row per record that has enough words.
 
-    class_id is shared by records with equal sets, n_links counts the linked
-    other classes, and group_id is the component of classes joined by links.
+    class_id is the least record_id of the records with an equal set, n_links
+    counts the linked other classes, and group_id is the least record_id of the
+    component of classes joined by links.
     """
     found = near_duplicates(docs, chunks, measure)
     both = found.links.select("a", "b").unionByName(found.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degrees = both.groupBy("a").agg(F.count("*").alias("n_links"))
-    labels = components.connected_components(found.links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    out = found.members.join(degrees, F.col("cls") == F.col("a"), "left").join(labels, F.col("cls") == F.col("node"), "left")
+    degrees = both.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("n_links"))
+    labels = components.connected_components(found.links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cls")
+    names = found.members.groupBy("cls").agg(F.min("record").alias("class_id"))
+    named = names.join(degrees, "cls", "left").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = scratch.materialize(named, "similar-classes-named")
+    groups = named.groupBy("component").agg(F.min("class_id").alias("group_id"))
+    # a group is as large as the data makes it, but a class has one row here; names go to classes before they go to records
+    classes = scratch.materialize(named.join(groups, "component").select("cls", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id"), "similar-groups")
     kind = F.when(F.col("part") == 0, KINDS[0]).otherwise(KINDS[1])
-    return out.select(kind.alias("record_kind"), F.col("record").alias("record_id"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "cls").alias("group_id"))
+    return found.members.select("part", "record", "cls").distinct().join(classes, "cls").select(kind.alias("record_kind"), F.col("record").alias("record_id"), "class_id", "n_links", "group_id")
