@@ -43,11 +43,11 @@ class App:
             self._catalogue = Catalogue(local_session(), self.settings.paths.artifacts, self.settings.paths.fixtures)
         return self._catalogue
 
-    def show(self, rows: DataFrame, n: int = 1000) -> None:
-        found = rows.limit(n).collect()
+    def show(self, rows: DataFrame) -> None:
+        """All rows, one partition after another."""
         names = rows.columns
         print("\t".join(names))
-        for row in found:
+        for row in rows.toLocalIterator():
             print("\t".join("-" if row[c] is None else str(row[c]) for c in names))
 
 

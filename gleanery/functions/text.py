@@ -9,13 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.functions import sentences
 from gleanery.functions.tokens import TOKEN
 
-# Words after which a full stop ends no sentence.
-ABBREVIATIONS = (
-    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "eg", "ie", "inc", "ltd", "co", "corp",
-    "no", "fig", "vol", "approx", "gen", "rep", "sen", "gov", "dept", "univ", "assoc", "bros",
-)
 # The first label whose signs a text holds names its script.
 SCRIPTS = (
     ("ja", "[぀-ヿㇰ-ㇿ]"), ("zh", "[一-鿿]"), ("ko", "[가-힣]"), ("ru", "[Ѐ-ӿ]"), ("ar", "[؀-ۿ]"),
@@ -25,7 +21,6 @@ SCRIPTS = (
 FENCE = r"(?s)```.*?```"
 HEADING = r"(?md)^(#{1,6})[ \t]+(.+?)[ \t]*$"
 SEPARATOR_ROW = r"^\s*\|*\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|*\s*$"
-_MARK = "\u0001"
 
 
 @F.pandas_udf(T.StringType())
@@ -83,21 +78,14 @@ def lexical_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
-def sentence_spans(text: Column) -> Column:
-    """array<struct<start, end>>: contiguous sentences; blanks at a sentence's end belong to it.
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
 
-    A boundary is closing punctuation and white space before a capital, a
-    digit, a quote or a Markdown sign; none after a one-letter word or an abbreviation.
-    """
-    guard = "(?=[.!?])(?<![.!?])(?<!\\b\\w)" + "".join(f"(?<!\\b{a})" for a in ABBREVIATIONS)
-    boundary = f"(?iU){guard}([.!?]+[\"'’”)]*\\s+)(?=(?-i:[A-Z0-9\"'‘“(#`\\-*>|]))"
-    text = F.translate(text, _MARK, "\u0002")  # a mark in the text itself; lengths stay
-    pieces = F.split(F.regexp_replace(text, boundary, f"$1{_MARK}"), _MARK, -1)
-    sizes = F.filter(F.transform(pieces, F.length), lambda n: n > 0)
-    start = F.array().cast("array<struct<start:int,end:int>>")
-    empty = F.struct(F.lit(0).alias("at"), start.alias("spans"))
-    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["spans"], F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"))).alias("spans"))
-    return F.when(text.isNotNull(), F.aggregate(sizes, empty, step, lambda acc: acc["spans"]))
+@F.pandas_udf(_SPANS)
+def sentence_spans(texts: pd.Series) -> pd.Series:
+    """array<struct<start, end>>: contiguous sentences; blanks at a sentence's end belong to it. Null stays null."""
+    edges = texts.map(lambda t: None if t is None else sentences.sentence_edges(t).tolist())
+    return edges.map(lambda at: None if at is None else [{"start": a, "end": b} for a, b in zip(at, at[1:])])
 
 
 def preview(text: Column, width: int = 60) -> Column:
@@ -109,7 +97,7 @@ def preview(text: Column, width: int = 60) -> Column:
 def humanized(stem: Column) -> Column:
     """'auth-token_lifecycle' as 'Auth Token Lifecycle'."""
     words = F.filter(F.split(stem, "[-_]+"), lambda w: w != "")
-    title = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))), " ")
+    title = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))), " ")
     return F.when(title == "", stem).otherwise(title)
 
 

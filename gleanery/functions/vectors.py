@@ -29,7 +29,10 @@ def norm(v: Column) -> Column:
 
 def l2_normalized(v: Column) -> Column:
     """The vector by its length; a zero vector stays."""
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm(v) == 0, F.lit(1.0)).otherwise(norm(v)))
+    size = norm(v)
+    size = F.when(size == 0, F.lit(1.0)).otherwise(size)
+    # the length is an element of a list here, so that it is found once and not for each number
+    return F.element_at(F.transform(F.array(size), lambda n: F.transform(v, lambda x: x.cast("double") / n)), 1)
 
 
 def truncated(v: Column, dim: int) -> Column:
@@ -45,22 +48,68 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.when(size == 0, F.lit(1.0)).otherwise(size)
 
 
-@lru_cache(maxsize=200_000)
-def token_vector(token: str, dim: int) -> np.ndarray:
-    """Normal numbers from a generator that the token's hash seeds."""
-    seed = int.from_bytes(hashlib.sha1(token.encode()).digest()[:8], "big")
-    return np.random.default_rng(seed).normal(size=dim)
-
-
-def hash_vector(text: str, dim: int = HASH_DIM) -> np.ndarray:
-    """The sum of a seeded normal vector for each lower-case word, of length 1; single precision."""
-    total = np.zeros(dim, np.float32)
-    for word in text.lower().split() or [""]:
-        total += token_vector(word, dim)
-    size = np.linalg.norm(total)
-    if size == 0:
-        total[0], size = 1.0, 1.0
-    return (total / size).astype(np.float32)
+class _WordTable:
+    """The vectors of words met so far in a worker, as rows of one matrix.
+
+    A word's vector is what a generator gives that the first eight bytes of the
+    word's SHA-1 digest seed; a full table is emptied.
+    """
+
+    def __init__(self, dim: int, room: int = 200_000):
+        self.dim, self.room = dim, room
+        self.row: dict[str, int] = {}
+        self.matrix = np.zeros((1024, dim))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The row of each word in the matrix."""
+        new = [w for w in dict.fromkeys(words) if w not in self.row]
+        if len(self.row) + len(new) > self.room:
+            self.row, new = {}, list(dict.fromkeys(words))
+        at, need = len(self.row), len(self.row) + len(new)
+        if need > len(self.matrix):
+            self.matrix = np.vstack([self.matrix[:at], np.zeros((need * 3 // 2 - at, self.dim))])
+        for k, word in enumerate(new, at):
+            seed = int.from_bytes(hashlib.sha1(word.encode()).digest()[:8], "big")
+            self.matrix[k] = np.random.default_rng(seed).normal(size=self.dim)
+            self.row[word] = k
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+
+
+_word_tables: dict[int, _WordTable] = {}
+#: Words whose vectors are added at once, unless one text has more.
+_WORDS_AT_ONCE = 50_000
+
+
+def word_sums(texts: list[str], dim: int = HASH_DIM) -> np.ndarray:
+    """For each text the sum of the vectors of its lower-case words; zeros for a text without words."""
+    table = _word_tables.setdefault(dim, _WordTable(dim))
+    out = np.zeros((len(texts), dim))
+    words: list[str] = []
+    sizes: list[int] = []
+    for n, text in enumerate(texts):
+        own = text.lower().split()
+        words += own
+        sizes.append(len(own))
+        if len(words) >= _WORDS_AT_ONCE or n == len(texts) - 1:
+            counts = np.array(sizes)
+            some = np.flatnonzero(counts)
+            if len(some):
+                rows = table.rows(words)
+                out[n + 1 - len(sizes) + some] = np.add.reduceat(table.matrix[rows], (np.cumsum(counts) - counts)[some], axis=0)
+            words, sizes = [], []
+    return out
+
+
+def hash_vectors(texts: list[str], dim: int = HASH_DIM) -> np.ndarray:
+    """Word sums as vectors of length 1 in single precision; a text without words counts as the empty word."""
+    sums = word_sums(texts, dim)
+    empty = np.array([not t.split() for t in texts], bool)
+    if empty.any():
+        table = _word_tables[dim]
+        sums[empty] = table.matrix[table.rows([""])[0]]
+    sizes = np.linalg.norm(sums, axis=1, keepdims=True)
+    sums[sizes[:, 0] == 0, 0] = 1.0
+    return (sums / np.where(sizes == 0, 1.0, sizes)).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -116,9 +165,10 @@ def embedding(text: Column, name: str, params: dict | None = None, query: bool =
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
-        if spec.kind == "hash":
-            return texts.map(lambda t: None if t is None else hash_vector(prefix + t, spec.dim))
         some = texts[texts.notna()]
+        if spec.kind == "hash":
+            found = iter(hash_vectors([prefix + t for t in some], spec.dim))
+            return pd.Series([next(found) if there else None for there in texts.notna()], index=texts.index, dtype=object)
         rows = _model(spec.model).encode([prefix + t for t in some], batch_size=int(resolved["batch_size"]), normalize_embeddings=bool(resolved["normalize"]))
         if dim is not None:
             rows = rows[:, : int(dim)]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Depths at which recall is told.
 RECALL_DEPTHS = (1, 3, 5, 10)
+#: Numbers that a resampling draws at once: 32 MB.
+DRAWN = 4_000_000
 
 
 def hit_ranks(retrieved: Column, gold: Column) -> Column:
@@ -88,8 +90,12 @@ def bootstrap_interval(values: np.ndarray, resamples: int = 1000, alpha: float =
     values = np.asarray(values, float)
     if len(values) < 2:
         return (0.0, 0.0) if not len(values) else (float(values[0]), float(values[0]))
-    draws = np.random.default_rng(seed).integers(0, len(values), size=(resamples, len(values)))
-    low, high = np.percentile(values[draws].mean(axis=1), [100 * alpha / 2, 100 * (1 - alpha / 2)])
+    draw, means = np.random.default_rng(seed), np.empty(resamples)
+    step = max(DRAWN // len(values), 1)  # drawing in blocks gives the same numbers as drawing all at once
+    for at in range(0, resamples, step):
+        size = (min(step, resamples - at), len(values))
+        means[at : at + step] = values[draw.integers(0, len(values), size=size)].mean(axis=1)
+    low, high = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
     return float(low), float(high)
 
 

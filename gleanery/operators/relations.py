@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def resolve_gold(pairs: DataFrame, chunks: DataFrame, min_overlap: float = 0.5) -> DataFrame:
@@ -59,13 +61,42 @@ def overlap_with_previous(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_set_id", "doc_id", "ordinal", F.greatest(F.coalesce(before - F.col("char_start"), F.lit(0)), F.lit(0)).alias("shared"))
 
 
+def covered_spans(chunks: DataFrame) -> DataFrame:
+    """doc_id, char_start, char_end: the stretches that chunks cover, each once; overlapping and touching chunks make one."""
+    w = Window.partitionBy("doc_id").orderBy("char_start", "char_end")
+    reach = F.max("char_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = chunks.filter("char_end > char_start").select("doc_id", "char_start", "char_end").distinct()
+    rows = rows.withColumn("opens", F.when(F.col("char_start") <= reach, 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("doc_id", "island").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end")).drop("island")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("n_signs", "covered_signs")]))
+def _signs(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, a, b in zip(texts, starts, ends):
+        signs = np.array([not c.isspace() for c in text or ""], bool)
+        before = np.r_[0, np.cumsum(signs)]
+        at = [np.clip(np.asarray(x if x is not None else [], np.int64), 0, len(signs)) for x in (a, b)]
+        rows.append((int(before[-1]), int((before[at[1]] - before[at[0]]).sum())))
+    return pd.DataFrame(rows, columns=["n_signs", "covered_signs"])
+
+
 def coverage(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, covered: signs of each document (with text or n_chars) that lie in some chunk."""
-    w = Window.partitionBy("doc_id").orderBy("char_start", "char_end").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.greatest(F.col("char_end") - F.greatest("char_start", F.coalesce(F.max("char_end").over(w), F.lit(0))), F.lit(0))
-    sums = chunks.select("doc_id", new.alias("new")).groupBy("doc_id").agg(F.sum("new").alias("covered"))
-    sizes = docs if "n_chars" in docs.columns else docs.select("doc_id", F.length("text").alias("n_chars"))
-    return sizes.join(sums, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("covered", F.lit(0)).alias("covered"))
+    """doc_id, n_chars, covered, n_signs, covered_signs, ratio: how much of each document with a text lies in some chunk.
+
+    n_chars and covered count all signs, n_signs, covered_signs and their ratio
+    those that are no white space; the ratio of a document without any is 1.
+    """
+    spans = covered_spans(chunks).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("char_start", "char_end"))).alias("s"))
+    texts = docs.filter("text is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = texts.join(spans, "doc_id", "left")
+    n = F.length("text")
+    part = lambda name: F.transform("s", lambda x: x[name])
+    covered = F.aggregate("s", F.lit(0), lambda total, x: total + F.greatest(F.least(x["char_end"], n) - F.greatest(x["char_start"], F.lit(0)), F.lit(0)))
+    rows = rows.select("doc_id", n.alias("n_chars"), F.coalesce(covered, F.lit(0)).alias("covered"), _signs("text", part("char_start"), part("char_end")).alias("k"))
+    ratio = F.when(F.col("k.n_signs") > 0, F.round(F.col("k.covered_signs") / F.col("k.n_signs"), 6)).otherwise(F.lit(1.0))
+    return rows.select("doc_id", "n_chars", "covered", "k.n_signs", "k.covered_signs", ratio.alias("ratio"))
 
 
 #: Characters of needles that go to the workers at once.

@@ -64,7 +64,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: floa
     chunks keeps its own k best of each query, and only these are shuffled.
     """
     spark = chunks.sparkSession
-    rows = chunks.select("chunk_id", lexical_terms(F.col("text")).alias("terms")).filter("chunk_id is not null")
+    # terms are found once; frequencies, lengths and each block of queries read the written lists
+    rows = scratch.materialize(chunks.filter("chunk_id is not null").select("chunk_id", lexical_terms(F.col("text")).alias("terms")), "bm25-terms")
     measured = rows.select("chunk_id", F.size("terms").alias("dl"), F.explode_outer(F.array_distinct("terms")).alias("term"))
     frequencies = scratch.materialize(measured.filter("term is not null").groupBy("term").agg(F.count("*").alias("df")), "bm25-df")
     totals = rows.agg(F.count("*").alias("n"), F.avg(F.greatest(F.size("terms"), F.lit(0)).cast("double")).alias("avgdl")).first()
@@ -225,13 +226,23 @@ def fuse(lists: dict[str, DataFrame], k: int, k_rrf: int = 60, weights: dict[str
     return ranked(every.groupBy("query_id", "chunk_id").agg(F.round(F.sum("term"), 9).alias("score")), k, retriever)
 
 
-def to_parents(children: DataFrame, chunks: DataFrame, k: int, retriever: str = "parent_doc") -> DataFrame:
+def to_parents(children: DataFrame, chunks: DataFrame, k: int, retriever: str = "parent_doc", parents: DataFrame | None = None) -> DataFrame:
     """Ranked children (fetch k times a fan-out of them) as their parents: each by its best child.
 
-    Adds n_children.  A child whose chunk has no parent is an error while running.
+    Adds n_children.  Children without a parent are passed over.  Errors while
+    running are a hit whose chunk is not among `chunks`, a query none of whose
+    hits has a parent, and a parent that is not among `parents` where they are
+    given.
     """
-    link = chunks.select("chunk_id", F.coalesce("parent_id", F.raise_error(F.concat(F.lit("chunk without a parent: "), "chunk_id")).cast("string")).alias("parent_id"))
-    hits = children.join(link.distinct(), "chunk_id")
+    failed = lambda text, *names: F.raise_error(F.concat(F.lit(text), *names)).cast("string")
+    link = chunks.select("chunk_id", "parent_id", F.lit(True).alias("known")).distinct()
+    hits = children.join(link, "chunk_id", "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id")).otherwise(failed("hit of an unknown chunk: ", "chunk_id")))
+    if parents is not None:
+        listed = parents.select(F.col("chunk_id").alias("parent_id"), F.lit(True).alias("listed")).distinct()
+        hits = hits.join(listed, "parent_id", "left")
+        hits = hits.withColumn("parent_id", F.when(F.col("parent_id").isNull() | F.col("listed"), F.col("parent_id")).otherwise(failed("parent outside the chunk set of parents: ", "parent_id")))
+    hits = hits.withColumn("some", F.max("parent_id").over(Window.partitionBy("query_id")))
+    hits = hits.withColumn("parent_id", F.when(F.col("some").isNotNull(), F.col("parent_id")).otherwise(failed("no hit has a parent; are these chunks children? query ", "query_id"))).filter("parent_id is not null")
     best = hits.groupBy("query_id", "parent_id").agg(F.min(F.struct("rank", "score")).alias("b"), F.countDistinct("chunk_id").alias("n_children"))
     w = Window.partitionBy("query_id").orderBy("b.rank", "parent_id")
     top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

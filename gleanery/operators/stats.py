@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions import text as textual
+from gleanery.functions import sentences, text as textual
 
 #: Chunks under so many tokens are orphans.
 ORPHAN_TOKENS = 32
@@ -67,6 +67,41 @@ def regions(docs: DataFrame, kind: str) -> DataFrame:
     return _regions(docs, kind)
 
 
+def chunk_checks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, n_signs, covered_signs, wrong: what every chunking must keep to, for each document with a text.
+
+    wrong counts chunks whose text isn't as long as their span, whose token
+    count isn't that of their text, or that begin before the one before them.
+    A right chunking covers all signs and has none.
+    """
+    from gleanery.operators.relations import coverage
+
+    before = F.lag("char_start").over(Window.partitionBy("doc_id").orderBy("ordinal"))
+    odd = (F.length("text") != F.col("char_end") - F.col("char_start")) | (textual.portable_token_count(F.col("text")) != F.col("token_count"))
+    rows = chunks.select("doc_id", "ordinal", "char_start", "char_end", odd.alias("odd")).distinct()
+    rows = rows.withColumn("late", F.coalesce(before > F.col("char_start"), F.lit(False)))
+    wrong = rows.groupBy("doc_id").agg(F.count(F.when(F.col("odd") | F.col("late"), 1)).alias("wrong"))
+    return coverage(rows, docs).join(wrong, "doc_id", "left").select("doc_id", "n_signs", "covered_signs", F.coalesce("wrong", F.lit(0)).alias("wrong"))
+
+
+def cut_sentences(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """`chunks` with cut: whether a boundary of the chunk lies strictly inside a sentence of its document.
+
+    The places between sentences are a table, and chunk boundaries are joined
+    with it as equal places: neither side grows with the other, and a document
+    of many chunks is as many keys.
+    """
+    found = docs.filter("text is not null").select("doc_id", sentences.edges("text").alias("edges"))
+    between = found.select("doc_id", F.explode("edges").alias("edge"))
+    sizes = found.select(F.col("doc_id").alias("of"), F.element_at("edges", -1).alias("n"))
+    rows = chunks.join(sizes, chunks["doc_id"] == F.col("of"), "left").drop("of")
+    for side in ("start", "end"):
+        own = between.select(F.col("doc_id").alias("of"), F.col("edge").alias(f"at_{side}"))
+        rows = rows.join(own, (rows["doc_id"] == own["of"]) & (rows[f"char_{side}"] == own[f"at_{side}"]), "left").drop("of")
+    inside = lambda side: (F.col(f"char_{side}") > 0) & (F.col(f"char_{side}") < F.col("n")) & F.col(f"at_{side}").isNull()
+    return rows.withColumn("cut", F.coalesce(inside("start") | inside("end"), F.lit(False))).drop("n", "at_start", "at_end")
+
+
 def chunk_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """A row for each chunk set: counts, token percentiles, split fences and tables, cut sentences, heading depth, orphans, build seconds."""
     from gleanery.operators.relations import split_regions
@@ -75,9 +110,7 @@ def chunk_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
         chunks = chunks.withColumn("depth", F.size("heading_path"))
     built = F.col("meta")["chunk_build_seconds"] if "meta" in chunks.columns else F.lit(None)
     seconds = chunks.groupBy("chunk_set_id", "doc_id").agg(F.max(built.cast("double")).alias("s")).groupBy("chunk_set_id").agg(F.sum("s").alias("build_seconds"))
-    inside = lambda p: F.exists("spans", lambda s: (s["start"] < p) & (p < s["end"]))
-    spans = docs.select("doc_id", textual.sentence_spans(F.col("text")).alias("spans"))
-    rows = chunks.join(spans, "doc_id", "left").withColumn("cut", F.coalesce(inside(F.col("char_start")) | inside(F.col("char_end")), F.lit(False)))
+    rows = cut_sentences(chunks, docs)
     out = rows.groupBy("chunk_set_id").agg(
         F.count("*").alias("chunks"), F.min("token_count").alias("min_tokens"), *percentiles("token_count"), F.max("token_count").alias("max_tokens"),
         F.round(F.avg(F.col("cut").cast("double")), 6).alias("split_sentence_rate"), F.round(F.avg(F.col("depth").cast("double")), 6).alias("mean_heading_depth"),

@@ -162,6 +162,9 @@ class Catalogue:
         stream.close()
 
 
+_COLUMNS = ("chunk_id", "doc_id", "corpus", "chunk_set_id", "chunker", "embedding")
+
+
 class VectorStore:
     """The vectors of one index: chunk_id, doc_id, corpus, chunk_set_id, chunker, embedding."""
 
@@ -199,18 +202,29 @@ class VectorStore:
     @staticmethod
     def embedded(chunks: DataFrame, embedder: str, params: dict | None = None) -> DataFrame:
         one = chunks.dropDuplicates(["chunk_id"])
-        return one.select("chunk_id", "doc_id", "corpus", "chunk_set_id", "chunker", vectors.embedding(F.col("embed_text"), embedder, params).alias("embedding"))
+        return one.select(*_COLUMNS[:-1], vectors.embedding(F.col("embed_text"), embedder, params).alias("embedding"))
 
     def replace(self, chunks: DataFrame, embedder: str, params: dict | None = None) -> None:
         self._put(self.embedded(chunks, embedder, params))
 
     def upsert(self, vectors_: DataFrame) -> None:
-        """Add rows, in place of those with the same chunk_id; nothing happens for no rows."""
+        """Add rows, in place of those with the same chunk_id; nothing happens for no rows.
+
+        The first rows make the index.  Vectors must be as long as those that are
+        there and as each other.  Of several rows of one chunk_id any is kept.
+        """
         if vectors_.isEmpty():
             return
-        old = self.rows()
-        kept = old.join(vectors_.select("chunk_id"), "chunk_id", "left_anti").unionByName(vectors_.select(*old.columns))
-        self._put(kept)
+        new = vectors_.select(*_COLUMNS).dropDuplicates(["chunk_id"])
+        found = self._versions()
+        old = self.rows() if found else None
+        first = (old if found else new).select(F.size("embedding").alias("n")).first()["n"]
+        odd = F.raise_error(F.concat(F.lit("vector of another length: "), "chunk_id")).cast("array<float>")
+        new = new.withColumn("embedding", F.when(F.size("embedding") == first, F.col("embedding")).otherwise(odd))
+        if not found:
+            self._put(new)
+            return
+        self._put(old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new.select(*old.columns)))
 
     def search(self, queries: DataFrame, k: int, **equal: str) -> DataFrame:
         """Neighbours of the queries' vectors among rows whose doc_id, corpus, chunk_set_id or chunker equal the given ones."""

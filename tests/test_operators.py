@@ -31,7 +31,9 @@ def docs(spark):
 @pytest.mark.parametrize("name", list(ALL))
 def test_chunks_are_slices_that_cover_the_text(docs, name):
     rows = chunkers.chunk(docs, name, ALL[name]).orderBy("doc_id", "ordinal").collect()
-    assert [r.asDict() for r in chunkers.chunk(docs, name, ALL[name]).orderBy("doc_id", "ordinal").collect()] == [r.asDict() for r in rows]
+    timed = lambda r: r.asDict() | {"meta": {k: v for k, v in r["meta"].items() if k != "chunk_build_seconds"}}
+    assert [timed(r) for r in chunkers.chunk(docs, name, ALL[name]).orderBy("doc_id", "ordinal").collect()] == [timed(r) for r in rows]
+    assert all(("chunk_build_seconds" in r["meta"]) == (name == "semantic") for r in rows)
     by_doc = {}
     for r in rows:
         assert r["text"] == TEXTS[r["doc_id"]][r["char_start"] : r["char_end"]]
@@ -140,8 +142,10 @@ def test_regions_and_coverage(spark, docs):
     assert relations.split_regions(chunks, stats.regions(docs, "fence")).count() == 1
     assert relations.split_regions(chunks, stats.regions(docs, "table")).count() == 0
     spans = spark.createDataFrame([("one", 0, 4), ("one", 2, 6), ("one", 10, 12), ("one", 3, 5)], "doc_id string, char_start int, char_end int")
-    got = {r["doc_id"]: r["covered"] for r in relations.coverage(spans, docs.filter("doc_id in ('one', 'blank')")).collect()}
-    assert got == {"one": 8, "blank": 0}
+    got = {r["doc_id"]: tuple(r)[1:] for r in relations.coverage(spans, docs.filter("doc_id in ('one', 'blank')")).collect()}
+    # "Single sentence": 6 of its signs and 2 more are covered, the blank at 6 is not
+    assert got["one"] == (15, 8, 14, 8, round(8 / 14, 6)) and got["blank"][1] == got["blank"][3] == 0 and got["blank"][4] == 1.0
+    assert {tuple(r) for r in relations.covered_spans(spans).collect()} == {("one", 0, 6), ("one", 10, 12)}
 
 
 def test_needles(spark):
@@ -187,8 +191,14 @@ def test_parent_hits(spark):
     chunks = spark.createDataFrame([("a", "P"), ("b", "Q"), ("c", "P")], "chunk_id string, parent_id string")
     rows = retrieval.to_parents(hits(spark, "d", "bac"), chunks, 5).orderBy("rank").collect()
     assert [(r["chunk_id"], r["n_children"]) for r in rows] == [("Q", 1), ("P", 2)]
-    with pytest.raises(Exception, match="chunk without a parent"):
+    lone = chunks.withColumn("parent_id", F.when(F.col("chunk_id") != "b", F.col("parent_id")))
+    assert [(r["chunk_id"], r["n_children"]) for r in retrieval.to_parents(hits(spark, "d", "bac"), lone, 5).collect()] == [("P", 2)]  # b is passed over
+    with pytest.raises(Exception, match="no hit has a parent"):
         retrieval.to_parents(hits(spark, "d", "ab"), chunks.withColumn("parent_id", F.lit(None).cast("string")), 5).collect()
+    with pytest.raises(Exception, match="hit of an unknown chunk: z"):
+        retrieval.to_parents(hits(spark, "d", "az"), chunks, 5).collect()
+    with pytest.raises(Exception, match="parent outside"):
+        retrieval.to_parents(hits(spark, "d", "ab"), chunks, 5, parents=spark.createDataFrame([("P",)], "chunk_id string")).collect()
 
 
 def okapi(texts, query, k1=1.5, b=0.75):
@@ -266,8 +276,12 @@ def test_metrics_by_hand(spark):
     assert score(spark, "", ["a"])["mrr"] == 0.0
 
 
-def test_bootstrap(spark):
+def test_bootstrap(spark, monkeypatch):
     assert metrics.bootstrap_interval(np.array([])) == (0.0, 0.0) and metrics.bootstrap_interval(np.array([0.5])) == (0.5, 0.5)
+    values = np.random.default_rng(5).random(500)
+    whole = metrics.bootstrap_interval(values)
+    monkeypatch.setattr(metrics, "DRAWN", 1700)  # three resamples at a time
+    assert metrics.bootstrap_interval(values) == whole
     low, high = metrics.bootstrap_interval(np.r_[np.zeros(50), np.ones(50)])
     assert 0.35 < low < 0.5 < high < 0.65
     rows = spark.createDataFrame([("a", f"q{i:02}", float(i % 2)) for i in range(40)] + [("b", "q", None)], "cell string, query_id string, v double")

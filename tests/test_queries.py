@@ -21,8 +21,8 @@ def rows_of(frame):
 def test_query_equals_its_sql(spark, name):
     got = queries.queries()[name](spark, FOLDER).toPandas()
     sql = queries.oracle_sql().get(name)
-    if sql is None:
-        assert len(got)
+    if sql is None:  # what these hold to is tested by other queries (…_checks) and elsewhere
+        assert name in ("markdown_chunks", "semantic_chunks", "hash_embed_topk", "bootstrap_ci") and len(got)
         return
     duckdb = pytest.importorskip("duckdb")
     engine = duckdb.connect()
@@ -58,26 +58,19 @@ def test_fusion_takes_fifty_of_each_list(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("name, splits", [("gold_resolution", None), ("bm25_metrics", None), ("bm25_topk", ["test", "tst", "testing"])])
-def test_every_pair_and_spelling_counts(spark, tmp_path, name, splits):
+@pytest.mark.parametrize("name", ["gold_resolution", "bm25_metrics", "bm25_topk"])
+def test_every_pair_counts_whatever_its_split(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     for path in glob.glob(f"{FOLDER}/*.parquet"):
         os.symlink(path, tmp_path / os.path.basename(path))
     os.remove(tmp_path / "evalset.parquet")
-    engine = duckdb.connect()
-    engine.sql(f"CREATE TABLE e AS SELECT * REPLACE (CASE WHEN lower(trim(split)) = 'test' AND query_id[-1] < '8' THEN '\tTst ' ELSE split END AS split) FROM '{FOLDER}/evalset.parquet'")
-    engine.sql(f"COPY e TO '{tmp_path}/evalset.parquet'")
-    # the SQL over a view whose split column says test for each pair that has to count
-    wanted = "true" if splits is None else f"regexp_replace(lower(split), '\\s', '', 'g') IN {tuple(splits)}"
-    for path in glob.glob(f"{tmp_path}/*.parquet"):
-        table = os.path.basename(path)[:-8]
-        engine.sql(f"CREATE VIEW {table} AS SELECT * {f"REPLACE (CASE WHEN {wanted} THEN 'test' END AS split)" if table == 'evalset' else ''} FROM '{path}'")
-    got = queries.queries()[name](spark, str(tmp_path)).toPandas()
-    assert rows_of(got) == rows_of(engine.sql(queries.oracle_sql()[name]).df())
+    duckdb.connect().sql(f"COPY (SELECT * REPLACE (CASE WHEN query_id[-1] < '8' THEN '\tTst ' END AS split) FROM '{FOLDER}/evalset.parquet') TO '{tmp_path}/evalset.parquet'")
+    whole, odd = (rows_of(queries.queries()[name](spark, str(f)).toPandas()) for f in (FOLDER, tmp_path))
+    assert whole == odd and whole[1]
 
 
 def test_parents_come_from_five_children_each(spark):
-    best = retrieval.bm25(queries._pairs(spark, FOLDER, queries._TEST).select("query_id", "query").distinct(), queries._chunks(spark, FOLDER, "chunk_id", "text"), 25).toPandas()
+    best = retrieval.bm25(queries._pairs(spark, FOLDER).select("query_id", "query").distinct(), queries._chunks(spark, FOLDER, "chunk_id", "text"), 25).toPandas()
     linked = pd.read_parquet(f"{FOLDER}/chunks_child.parquet", columns=["chunk_id", "parent_id"]).drop_duplicates().dropna()
     hits = best.merge(linked, on="chunk_id")
     by = hits.groupby(["query_id", "parent_id"]).agg(first=("rank", "min"), n=("chunk_id", "nunique")).reset_index().sort_values(["query_id", "first", "parent_id"])
