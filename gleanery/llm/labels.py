@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.labels import SPLITS, look_up, split_name, tidy
+
+__all__ = ["LANGUAGES", "SPLITS", "bare_id", "domain", "language", "split_name", "tidy"]
+
 # Spellings in the data and what they mean.
-SPLITS = {"train": "train", "training": "train", "trn": "train", "dev": "dev", "val": "dev", "valid": "dev", "validation": "dev", "development": "dev", "test": "test", "tst": "test", "testing": "test"}
 LANGUAGES = {
     "de": "de", "deu": "de", "ger": "de", "german": "de", "en": "en", "eng": "en", "english": "en", "es": "es", "spa": "es", "spanish": "es",
     "fr": "fr", "fra": "fr", "fre": "fr", "french": "fr", "ja": "ja", "jp": "ja", "jpn": "ja", "japanese": "ja", "ru": "ru", "rus": "ru", "russian": "ru",
 }
 
 
-def _look_up(table: dict[str, str], key: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for x in chain.from_iterable(table.items()))), key)
-
-
-def tidy(value: Column) -> Column:
-    """Lower case without outer white space of any kind."""
-    return F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
-
-
-def split_name(value: Column) -> Column:
-    """train, dev or test; null for null and for what is no split name."""
-    return _look_up(SPLITS, tidy(value))
-
-
 def language(value: Column) -> Column:
     """A two-letter code: the part before '-' or '_', looked up; 'und' for null, undetermined or unknown names."""
-    return F.coalesce(_look_up(LANGUAGES, F.regexp_extract(tidy(value), r"^([^-_]*)", 1)), F.lit("und"))
+    return F.coalesce(look_up(LANGUAGES, F.regexp_extract(tidy(value), r"^([^-_]*)", 1)), F.lit("und"))
 
 
 def domain(value: Column) -> Column:
