@@ -186,7 +186,7 @@ def evalset_review(app: App) -> None:
 
 
 def experiment_run(app: App) -> None:
-    print(experiment.run(app.catalogue, Experiment.load(app.options.file), app.options.run_id, app.options.force))
+    print(experiment.run(app.catalogue, Experiment.load(app.options.file), app.options.run_id, app.options.force, app.options.workers))
 
 
 def experiment_report(app: App) -> None:
@@ -219,25 +219,22 @@ def _trace_file(app: App, run_id: str) -> str:
 
 
 def agent_optimize(app: App) -> None:
-    from pathlib import Path
-
     from gleanery import ids
 
     o = app.options
     run = ids.run_id(f"optimize-{o.corpus}")
-    Path(app.settings.paths.results).mkdir(parents=True, exist_ok=True)
     budget = agents.Budget(o.max_steps_per_iteration, o.max_tokens, o.max_wall_clock, o.budget_usd)
     agents.optimize(app.catalogue, o.corpus, o.k or app.settings.defaults.k, o.max_iterations, budget=budget, trace=_trace_file(app, run), name=run)
     print(run)
 
 
 def agent_trace(app: App) -> None:
-    for e in agents.load_trace(_trace_file(app, app.options.run_id)):
+    for e in agents.load_trace(app.catalogue, _trace_file(app, app.options.run_id)):
         print(f"{e.iteration}\t{e.split}\t{e.config.get('chunker')}\trecall_5 {e.metrics.get('recall_5')}\t{e.diagnosis}\t{e.mutation}")
 
 
 def doctor_(app: App) -> None:
-    checks = doctor.run(app.settings.paths.artifacts)
+    checks = doctor.run(app.settings.paths.artifacts, app.settings.paths.fixtures)
     print(doctor.render(checks))
     if not doctor.healthy(checks):
         raise RuntimeError("a core check failed")
@@ -291,7 +288,7 @@ def parser() -> argparse.ArgumentParser:
     command("evalset", "validate", evalset_validate, "corpus")
     command("evalset", "stats", evalset_stats, "corpus")
     command("evalset", "review", evalset_review, "corpus", ("--n", {"type": int, "default": 10}))
-    command("experiment", "run", experiment_run, "file", ("--run-id", {}), ("--force", flag))
+    command("experiment", "run", experiment_run, "file", ("--run-id", {}), ("--force", flag), ("--workers", {"type": int, "default": 1}))
     command("experiment", "report", experiment_report, "run_id", ("--format", {"choices": ["table", "markdown"], "default": "table"}))
     command("experiment", "compare", experiment_compare, ("run_ids", {"nargs": "+"}))
     command("experiment", "failures", experiment_failures, "run_id", ("--config-idx", {"type": int, "default": 0}), ("--n", {"type": int, "default": 20}))

@@ -21,7 +21,13 @@ class Check:
     needed_for: str = ""
 
 
-def run(artifacts: str = ".") -> list[Check]:
+#: What a folder of fixtures holds.
+FIXTURES = ("documents", "chunks", "indexes", "evalset", "results")
+#: Where the client library of real models looks for its key.
+KEY = "ANTHROPIC_API_KEY"
+
+
+def run(artifacts: str = ".", fixtures: str | None = None) -> list[Check]:
     present = lambda module: importlib.util.find_spec(module) is not None
     out = [Check("python", sys.version_info >= (3, 10), sys.version.split()[0], True)]
     out += [Check(m, present(m), "installed" if present(m) else "missing", True) for m in ("pyspark", "pyarrow", "pandas", "numpy", "regex")]
@@ -31,6 +37,11 @@ def run(artifacts: str = ".") -> list[Check]:
         out.append(Check(module, present(module), "installed" if present(module) else "missing", False, use))
     free = shutil.disk_usage(artifacts if Path(artifacts).exists() else ".").free / 1e9
     out.append(Check("disk", free > 1, f"{free:.1f} GB free", True))
+    for name in FIXTURES if fixtures else ():
+        held = any(Path(fixtures, name).glob("*"))
+        out.append(Check(f"fixtures {name}", held, "there" if held else f"none below {fixtures}", False, "runs on fixtures"))
+    told = bool(os.environ.get(KEY))
+    out.append(Check("model key", told, "set" if told else f"{KEY} is not set", False, "real models"))
     cache = Path(os.environ.get("HF_HOME", Path.home() / ".cache/huggingface")) / "hub"
     for spec in EMBEDDERS.values():
         if spec.model:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import logging
 import time
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,23 +39,39 @@ def evaluate(catalogue: Catalogue, cell: Cell) -> DataFrame:
     return rows.withColumn("cell_id", F.lit(cell.cell_id)).withColumn("corpus", F.lit(cell.corpus))
 
 
-def run(catalogue: Catalogue, experiment: Experiment, run_id: str | None = None, force: bool = False) -> str:
-    """Build, evaluate what isn't finished, write; gives the run's id. A cell that fails ends the run; finished ones stay."""
+def run(catalogue: Catalogue, experiment: Experiment, run_id: str | None = None, force: bool = False, workers: int = 1) -> str:
+    """Build, evaluate what isn't finished, write; gives the run's id.
+
+    `workers` cells are evaluated at a time, their jobs sharing the cluster.  A
+    cell that fails ends the run; finished ones stay.  No cell at all is an
+    error.
+    """
     cells = expand(experiment)
+    if not cells:
+        raise ValueError(f"no cell is left in {experiment.name!r}: every combination is excluded")
     run_id = run_id or ids.run_id(experiment.name)
     spark = catalogue.spark
     catalogue.write("results", f"{run_id}/matrix", as_frame(spark, cells))
     build(catalogue, cells)
-    for cell in cells:
+
+    def evaluated(cell: Cell) -> None:
         name = f"{run_id}/cell_{cell.cell_id}"
-        if catalogue.ready("results", name) and not force:
-            continue
         began = time.monotonic()
         rows = catalogue.write("results", name, evaluate(catalogue, cell))
         total, out = rows.agg(F.count("*"), F.sum(F.col("excluded").cast("int"))).first()
         if total and total == out:
             log.warning("every pair of cell %s is excluded: do its documents and its eval set agree on ids?", cell.cell_id)
         catalogue._put(f"{catalogue.path('results', name)}.json", json.dumps({"batch_seconds": time.monotonic() - began, "queries": total}))
+
+    left = [c for c in cells if force or not catalogue.ready("results", f"{run_id}/cell_{c.cell_id}")]
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        jobs = [pool.submit(evaluated, cell) for cell in left]
+        try:
+            for job in as_completed(jobs):
+                job.result()
+        except BaseException:
+            pool.shutdown(cancel_futures=True)
+            raise
     return run_id
 
 

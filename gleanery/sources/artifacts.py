@@ -27,6 +27,33 @@ class NotFound(LookupError):
     """No such artifact."""
 
 
+class TextStore:
+    """Small texts by name below a folder, on any file system that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _at(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def get(self, name: str) -> str | None:
+        fs, where = self._at(name)
+        if not fs.exists(where):
+            return None
+        stream = fs.open(where)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def put(self, name: str, text: str) -> None:
+        fs, where = self._at(name)
+        stream = fs.create(where, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+
 class Catalogue:
     """Artifacts below a root folder, on any file system that Spark reaches."""
 
@@ -79,9 +106,20 @@ class Catalogue:
 
     # --- chunk sets ---
 
-    def build_chunk_set(self, corpus: str, chunker: str, over: dict | None = None, role: str = "standalone", parent_set: str | None = None, force: bool = False) -> tuple[str, DataFrame]:
+    def summaries(self, chunks: DataFrame, p: dict, caller: Callable[[str, str], str]) -> DataFrame:
+        """key, answer for the tables among `chunks`: answers of earlier calls, and new ones from `caller` for the rest, which are kept."""
+        path = f"{self.root}/answers/table_summary"
+        wanted = chunkers.summary_requests(chunks, p)
+        known = self.spark.read.parquet(path) if self.exists(path) else self.spark.createDataFrame([], "key string, answer string")
+        new = wanted.join(known.select("key").distinct(), "key", "left_anti")
+        chunkers.answered(new, p["model"], caller).write.mode("append").parquet(path)
+        return self.spark.read.parquet(path).join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("answer").alias("answer"))
+
+    def build_chunk_set(self, corpus: str, chunker: str, over: dict | None = None, role: str = "standalone", parent_set: str | None = None, force: bool = False, caller: Callable[[str, str], str] | None = None) -> tuple[str, DataFrame]:
         """Chunk a corpus once for each set of parameters; children need the chunk set of their parents.
 
+        Tables are summarized by `caller` (prompt, model) where mock_llm is off.
+
         Role and parents are part of the parameters, and so of the id.  No chunk at all is an error, and so is a child without a parent.
         """
         if (role == "child") != (parent_set is not None):
@@ -91,7 +129,12 @@ class Catalogue:
         name = ids.chunk_set_id(corpus, chunker, {**hashed, "parent_chunk_set_id": parent_set} if parent_set else hashed)
         if self.ready("chunks", name) and not force:
             return name, self.read("chunks", name)
-        rows = chunkers.chunk(self.read("documents", corpus), chunker, over, role).withColumn("chunk_set_id", F.lit(name))
+        docs, answers = self.read("documents", corpus), None
+        if chunkers.asks_a_model(chunker, p):
+            if caller is None:
+                raise ValueError("summaries by a real model need a caller")
+            answers = self.summaries(chunkers.specs(docs, chunker, over), p, caller)
+        rows = chunkers.chunk(docs, chunker, over, role, answers).withColumn("chunk_set_id", F.lit(name))
         if parent_set:
             rows = relations.require_parents(rows, self.read("chunks", parent_set))
         built = self.write("chunks", name, rows.select(*(f.name for f in schema.CHUNK.fields)))
@@ -139,7 +182,7 @@ class Catalogue:
         path = f"{self.path('indexes', name)}/manifest.json"
         if not self.exists(path):
             return None
-        text = "".join(r["value"] for r in self.spark.read.text(path, wholetext=True).collect())
+        text = TextStore(self.spark, self.path("indexes", name)).get("manifest.json")
         try:
             found = json.loads(text)
         except ValueError:
@@ -156,10 +199,8 @@ class Catalogue:
         return [m for m in found if corpus is None or m["corpus"] == corpus]
 
     def _put(self, path: str, text: str) -> None:
-        fs, where = self._fs(path)
-        stream = fs.create(where, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        folder, _, name = path.rpartition("/")
+        TextStore(self.spark, folder).put(name, text)
 
 
 _COLUMNS = ("chunk_id", "doc_id", "corpus", "chunk_set_id", "chunker", "embedding")

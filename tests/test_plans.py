@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanery import cli, scratch, schema
 from gleanery.operators import chunkers
 from gleanery.plans import agents, experiment, matrix
-from gleanery.sources import files, jsonl
+from gleanery.sources import artifacts, files, jsonl
 from gleanery.sources.artifacts import Catalogue, NotFound, VectorStore
 from gleanery.streaming import ingest
 
@@ -153,11 +153,42 @@ def test_loop():
     assert agents.argument_errors({}, [1]) and agents.diagnosis_and_mutation("DIAGNOSIS: a\nMUTATION: b") == ("a", "b") and agents.diagnosis_and_mutation("c") == ("c", "")
 
 
-def test_answers(tmp_path):
+def test_labels_of_the_last_turn():
+    parse = agents.diagnosis_and_mutation
+    assert parse("Well.\nDiagnosis: chunks are cut; no mutation: there\n  mutation: longer chunks\nreally") == ("chunks are cut; no mutation: there", "there\n  mutation: longer chunks\nreally")
+    assert parse("MUTATION: b") == ("MUTATION: b", "b") and parse("") == ("", "")
+
+
+def test_argument_errors():
+    schema = {"required": ["x", "y"], "properties": {"x": {"type": "integer"}, "y": {"type": "string"}, "z": {"type": "array"}}}
+    assert agents.argument_errors(schema, {"x": 1, "y": "a", "more": 2}) == []
+    found = agents.argument_errors(schema, {"x": "1", "z": {}})
+    assert [f.split()[0] for f in found] == ["x", "y", "z"] and "integer" in found[0] and "required" in found[1]
+
+
+def test_real_model_by_a_client():
+    from types import SimpleNamespace as Some
+
+    asked = []
+
+    def create(**request):
+        asked.append(request)
+        blocks = [Some(type="text", text="I add"), Some(type="thinking"), Some(type="tool_use", id="7", name="add", input={"x": 1})] if len(asked) == 1 else [Some(type="text", text="done")]
+        return Some(content=blocks, usage=Some(input_tokens=5, output_tokens=None))
+
+    model = agents.real_model("m", 99, Some(messages=Some(create=create)))
+    out = agents.converse("sys", "go", [ADD], model)
+    assert out.text == "done" and out.results[0]["result"] == 2 and (out.input_tokens, out.output_tokens) == (10, 0)
+    assert asked[0]["max_tokens"] == 99 and asked[0]["tools"][0]["input_schema"]["required"] == ["x"] and asked[1]["messages"][-1]["content"][0]["tool_use_id"] == "7"
+    with pytest.raises(RuntimeError, match="client library"):
+        agents.real_model("m")([], "", [])
+
+
+def test_answers(spark, tmp_path):
     assert agents.answer("p") == agents.answer("p") != agents.answer("q")
     calls = []
     real = lambda prompt, model: calls.append(prompt) or "said"
-    assert [agents.answer("p", "m", False, real, str(tmp_path)) for _ in range(2)] == ["said"] * 2 and calls == ["p"]
+    assert [agents.answer("p", "m", False, real, artifacts.TextStore(spark, f"{tmp_path}/deep/er")) for _ in range(2)] == ["said"] * 2 and calls == ["p"]
     with pytest.raises(RuntimeError):
         agents.answer("p", "m", False)
 
@@ -177,11 +208,87 @@ def test_router_and_optimizer(spark, catalogue, tmp_path):
         agents.route(catalogue, "x", "docs", model=scripted(agents.Turn("no")))
     trace = str(tmp_path / "trace.jsonl")
     entries = agents.optimize(catalogue, "docs", 5, 2, trace=trace)
-    assert [e.split for e in entries] == ["dev", "dev", "test"] and agents.load_trace(trace) == entries and entries[0].mutation == "try the next chunker."
+    assert [e.split for e in entries] == ["dev", "dev", "test"] and agents.load_trace(catalogue, trace) == entries and entries[0].mutation == "try the next chunker."
+    assert entries[0].hypothesis and entries[0].config["chunker_params"] == {"chunk_tokens": 256, "overlap_tokens": 32}
     short = agents.optimize(catalogue, "docs", 5, 3, budget=agents.Budget(5, tokens=1), name="short")
     assert [e.split for e in short] == ["dev", "test"]
 
 
+def test_router_tools(spark, catalogue):
+    name, chunks = catalogue.build_chunk_set("docs", "fixed", {"chunk_tokens": 30, "overlap_tokens": 5})
+    index, some = catalogue.build_index(name), chunks.first()["chunk_id"]
+    turns = [call("list_available_indexes"), call("get_corpus_stats", corpus="docs"), call("get_corpus_stats", corpus="none"), call("inspect_chunk", chunk_id=some), call("retrieve", index_id=index, retriever="bm25", query="refunds", k=1), agents.Turn("chosen")]
+    found = agents.route(catalogue, "something else", "docs", 5, scripted(*turns), budget=agents.Budget(9))
+    results = [r.get("result") for r in found.outcome.results]
+    assert results[0][0]["index_id"] == index and results[0][0]["vector_count"] > 0 and results[1]["docs"] == 2 and sum(results[1]["lang_mix"].values()) == 2
+    assert found.outcome.results[2]["is_error"] and results[3]["chunk_id"] == some and results[3]["index_id"] == index
+    assert len(found.hits) == 1 and found.reason == "chosen"
+    assert agents.route(catalogue, "x", "docs", 2, scripted(call("inspect_chunk", chunk_id="none"), call("retrieve", index_id=index, retriever="dense"), agents.Turn("end"))).outcome.results[0]["is_error"]
+
+
+def test_optimizer_checks_names_before_it_runs(spark, catalogue):
+    evalset(spark, catalogue)
+    odd = call("run_experiment", hypothesis="h", chunker="none", embedder="hash", retriever="agent_router")
+    seen = []
+
+    def model(messages, system, tools):
+        seen.append(messages)
+        return odd if len(seen) == 1 else agents.Turn("DIAGNOSIS: nothing ran")
+
+    assert agents.optimize(catalogue, "docs", 5, 1, model_for=lambda n: model, name="odd") == []
+    said = seen[1][-1]["content"][0]["content"]
+    assert "'none'" in said and "'agent_router'" in said and not catalogue.exists(catalogue.path("results", "odd-0-1"))
+
+
+def test_cells_at_a_time_and_none(spark, catalogue):
+    evalset(spark, catalogue)
+    data = {"name": "w", "corpora": ["docs"], "k": 3, "matrix": {"chunker": [{"name": "fixed", "params": {"chunk_tokens": 30, "overlap_tokens": 5}}], "embedder": ["hash"], "retriever": ["dense", "bm25", "hybrid"]}}
+    experiment.run(catalogue, matrix.Experiment.of(data), "one-by-one")
+    experiment.run(catalogue, matrix.Experiment.of(data), "together", workers=3)
+    assert experiment.pending(catalogue, "together") == []
+    rows = experiment.compare(catalogue, ["one-by-one", "together"], "mrr").collect()
+    assert len(rows) == 3 and all(r["run_1"] == r["run_2"] for r in rows)
+    with pytest.raises(ValueError, match="no cell"):
+        experiment.run(catalogue, matrix.Experiment.of(data | {"exclude": [{"corpus": "docs"}]}))
+
+
+def test_first_rows_make_an_index(spark, catalogue):
+    store = artifacts.VectorStore(catalogue, "new")
+    rows = [("a", "d", "c", "s", "fixed", [1.0, 0.0]), ("b", "d", "c", "s", "fixed", [0.0, 1.0]), ("a", "d", "c", "s", "fixed", [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "chunk_id string, doc_id string, corpus string, chunk_set_id string, chunker string, embedding array<float>")
+    store.upsert(frame.limit(0))
+    store.upsert(frame)
+    assert store.count() == 2
+    store.upsert(frame.filter("chunk_id = 'b'").withColumn("corpus", F.lit("other")))
+    assert {r["chunk_id"]: r["corpus"] for r in store.rows().collect()} == {"a": "c", "b": "other"}
+    with pytest.raises(Exception, match="vector of another length: a"):
+        store.upsert(frame.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    assert store.count() == 2
+
+
+def test_summaries_by_a_model_are_asked_once(spark, catalogue, tmp_path):
+    table = "Text.\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nMore.\n"
+    docs = spark.createDataFrame([("d1", "tabled", "t.md", "T", table, "text/markdown", {}), ("d2", "tabled", "u.md", "U", table + "x", "text/markdown", {})], "doc_id string, corpus string, source_path string, title string, text string, content_type string, meta map<string,string>")
+    catalogue.write("documents", "tabled", docs)
+    log = str(tmp_path / "calls")
+
+    def caller(prompt, model):
+        with open(log, "a") as out:
+            out.write("x")
+        return f"{model} says {len(prompt)}"
+
+    over = {"mock_llm": False, "model": "m"}
+    with pytest.raises(ValueError, match="caller"):
+        catalogue.build_chunk_set("tabled", "table_summary", over)
+    for _ in range(2):
+        _, rows = catalogue.build_chunk_set("tabled", "table_summary", over, force=True, caller=caller)
+        got = [r["embed_text"] for r in rows.filter("meta['is_table'] = 'true'").collect()]
+        assert len(got) == 2 and all(x.startswith("m says ") and x.endswith("| 1 | 2 |") for x in got)
+    assert open(log).read() == "x"  # one table, asked once in both builds
+    with pytest.raises(ValueError, match="answers"):
+        chunkers.chunk(docs, "table_summary", over)
+
+
 # --- command line and streams ---
 
 
