@@ -111,6 +111,24 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int
     return out
 
 
+def shared_stretches(text: np.ndarray, hits: np.ndarray, item: np.ndarray, seed_words: int) -> np.ndarray:
+    """The words of a text that lie in seeds, those at `hits`, with a word that the item hasn't between stretches.
+
+    Every tile no shorter than a seed lies in such a stretch, so tiling these
+    words gives the tiles of the whole text, however long that is.
+    """
+    steps = np.zeros(len(text) + 1, np.int64)
+    np.add.at(steps, hits, 1)
+    np.subtract.at(steps, hits + seed_words, 1)
+    inside = np.cumsum(steps)[:-1] > 0
+    opens = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    strange = np.uint64(0)
+    while (item == strange).any():
+        strange += np.uint64(1)
+    kept = np.flatnonzero(inside)
+    return np.insert(text[kept], np.searchsorted(kept, opens), strange)
+
+
 def _blocks(items: DataFrame, key: str, text: str, seed_words: int) -> Iterator[Items]:
     """The items with a key and a text, one row for each key and text, in blocks of bounded size."""
     ids: list = []
@@ -158,9 +176,16 @@ def leaks(documents: DataFrame, items: DataFrame, seed_words: int = 13, tile_wor
             ends = np.searchsorted(hit, runs)  # a text's hits at a time: at most all seeds of the block are looked at together
             rows = []
             for t in np.flatnonzero(np.diff(ends)).tolist():
-                for i in own.sharing(hashes[hit[ends[t] : ends[t + 1]]], seed_words, coverage).tolist():
+                at = hit[ends[t] : ends[t + 1]]
+                text = words[offsets[t] : offsets[t + 1]]
+                for i in own.sharing(hashes[at], seed_words, coverage).tolist():
                     item = own.words[own.offsets[i] : own.offsets[i + 1]]
-                    got = tiles(words[offsets[t] : offsets[t + 1]], item, min(tile_words, seed_words))
+                    if tile_words >= seed_words:
+                        seeds = textcodes.run_hashes(item, np.array([0, len(item)]), seed_words)[0]
+                        text_ = shared_stretches(text, at[np.isin(hashes[at], seeds)] - runs[t], item, seed_words)
+                    else:
+                        text_ = text
+                    got = tiles(text_, item, min(tile_words, seed_words))
                     if got and got[0][2] >= seed_words:
                         rows.append((t, own.ids[i], got[0][2], len(got), sum(x[2] for x in got), len(item)))
             if not rows:

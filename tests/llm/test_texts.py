@@ -166,6 +166,16 @@ def test_coverage_bound_drops_no_item(spark):
     assert {tuple(r) for r in got.collect()} == {(y, len(x), round(max(x), 6)) for y, x in best.items()} and 10 < len(best) < 60
 
 
+def test_stretches_give_the_tiles_of_the_whole_text():
+    rnd = random.Random(12)
+    for _ in range(60):
+        text, item = (textcodes.words([" ".join(rnd.choice("abcd") for _ in range(n))])[0] for n in (rnd.randint(4, 90), rnd.randint(4, 20)))
+        at, ends = (textcodes.run_hashes(x, textcodes.np.array([0, len(x)]), 4)[0] for x in (text, item))
+        hits = textcodes.np.flatnonzero(textcodes.np.isin(at, ends))
+        short = leakage.shared_stretches(text, hits, item, 4)
+        assert [x[2] for x in leakage.tiles(short, item, 4)] == [x[2] for x in leakage.tiles(text, item, 4)]
+
+
 # --- cuts ---
 
 
