@@ -20,6 +20,10 @@ from gleanery.functions import vectors
 from gleanery.functions.text import lexical_terms
 
 
+#: Queries in one block of a search, and chunks scored at once: bounds of a worker's score matrix (32 MB).
+QUERY_BLOCK, CHUNK_BLOCK = 4096, 1024
+
+
 def ranked(scores: DataFrame, k: int, retriever: str, *ties: Column) -> DataFrame:
     """The best k rows of each query, numbered again."""
     order = [F.col("score").desc(), *(ties or (F.col("chunk_id"),))]
@@ -50,10 +54,6 @@ def idf_of(frequencies: DataFrame, totals: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-#: Queries in one block of a lexical search, and chunks scored at once: bounds of a worker's score matrix (32 MB).
-QUERY_BLOCK, CHUNK_BLOCK = 4096, 1024
-
-
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, retriever: str = "bm25") -> DataFrame:
     """Okapi BM25 of each query (query_id, query) over the texts of chunks (chunk_id, text).
 
@@ -168,12 +168,13 @@ def dense(queries: DataFrame, store: DataFrame, k: int, retriever: str = "dense"
                     continue
                 rows = np.stack(frame["embedding"].to_numpy()).astype(float)
                 size = np.linalg.norm(rows, axis=1, keepdims=True)
-                scores = np.round(matrix @ (rows / np.where(size == 0, 1, size)).T, digits) + 0.0
+                rows /= np.where(size == 0, 1, size)
                 ids = frame["chunk_id"].to_numpy()
-                batch = _block_best(scores, ids, k)
-                best.append(batch)
-                if len(best) > 8:
-                    best = [_best(best, k)]
+                for at in range(0, len(rows), CHUNK_BLOCK):
+                    scores = np.round(matrix @ rows[at : at + CHUNK_BLOCK].T, digits) + 0.0
+                    best.append(_block_best(scores, ids[at : at + CHUNK_BLOCK], k))
+                    if len(best) > 8:
+                        best = [_best(best, k)]
             if best:
                 out = _best(best, k)
                 yield pd.DataFrame({"query_id": [names[i] for i in out["q"]], "chunk_id": out["chunk_id"].to_numpy(), "score": out["score"].to_numpy()})
@@ -197,11 +198,15 @@ def _block_best(scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """The k best columns of each row of a score matrix, ties by id."""
     order = np.argsort(ids, kind="stable")
     scores, ids = scores[:, order], ids[order]
-    if scores.shape[1] > 4 * k:  # all columns that reach the k-th best score are looked at, ties too
-        least = np.partition(scores, -k, axis=1)[:, -k]
-        some = np.flatnonzero((scores >= least[:, None]).any(axis=0))
-        scores, ids = scores[:, some], ids[some]
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    if scores.shape[1] > k:  # what is above the k-th best score, and of what equals it as many as are left, by id
+        least = np.partition(scores, -k, axis=1)[:, -k][:, None]
+        pick, level = scores > least, scores == least
+        level &= np.cumsum(level, axis=1, dtype=np.int32) <= k - pick.sum(axis=1, dtype=np.int32)[:, None]
+        columns = np.nonzero(pick | level)[1].reshape(len(scores), k)
+        best = np.argsort(-np.take_along_axis(scores, columns, 1), axis=1, kind="stable")
+        top = np.take_along_axis(columns, best, 1)
+    else:
+        top = np.argsort(-scores, axis=1, kind="stable")
     return pd.DataFrame({"q": np.repeat(np.arange(len(scores)), top.shape[1]), "chunk_id": ids[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
 
 

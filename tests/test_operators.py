@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions.tokens import PORTABLE, Measured, tokens
-from gleanery.operators import chunkers, metrics, relations, retrieval, stats
+from gleanery.operators import ann, chunkers, metrics, relations, retrieval, stats
 
 WORDS = " ".join(f"word{i}" for i in range(200))
 TEXTS = {
@@ -300,3 +300,38 @@ def test_stats(spark, docs):
     chunks = chunkers.chunk(docs, "fixed", {"chunk_tokens": 40, "overlap_tokens": 8})
     got = stats.chunk_stats(chunks, docs).first()
     assert got["fences"] == got["split_fences"] == 1 and got["tables"] == 1 and 0 < got["split_sentence_rate"] <= 1 and got["docs"] == 7
+
+
+def test_best_columns_with_ties():
+    rnd = np.random.default_rng(3)
+    for _ in range(40):
+        scores, k = rnd.integers(0, 4, (7, int(rnd.integers(1, 30)))).astype(float), int(rnd.integers(1, 9))
+        ids = rnd.permutation(scores.shape[1])
+        got = retrieval._block_best(scores, ids, k)
+        want = [(q, i, s) for q in range(7) for s, i in [(-x, i) for x, i in sorted(zip(-scores[q], ids))[:k]]]
+        assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_sentence_cuts_are_joined_by_equal_places(spark):
+    docs = spark.createDataFrame([("d", "One two. Three four. Five."), ("n", None)], "doc_id string, text string")
+    rows = [("d", 0, 9), ("d", 9, 14), ("d", 4, 26), ("d", 21, 99), ("x", 1, 2), ("n", 1, 2)]
+    got = stats.cut_sentences(spark.createDataFrame(rows, "doc_id string, char_start int, char_end int"), docs)
+    assert {tuple(r) for r in got.collect()} == {("d", 0, 9, False), ("d", 9, 14, True), ("d", 4, 26, True), ("d", 21, 99, False), ("x", 1, 2, False), ("n", 1, 2, False)}
+
+
+def test_inverted_lists(spark):
+    rnd = np.random.default_rng(8)
+    middles = rnd.normal(size=(12, 16))
+    rows = [(i, [float(x) for x in middles[i % 12] + 0.3 * rnd.normal(size=16)]) for i in range(900)] + [(900, [0.0] * 16), (901, None)]
+    store = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    asked = store.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = retrieval.dense(asked, store, 10)
+    centers = ann.fit_centroids(store, 12, sample_rows=300)
+    index = ann.filed(store, centers)
+    assert index.count() == 901 and centers.shape == (12, 16)  # every row that has a vector
+    whole = ann.search(asked, index, centers, 10, 12)
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in exact.collect()}
+    few = ann.recall(ann.search(asked, index, centers, 10, 3), exact).first()
+    assert few["queries"] == 46 and few["recall"] >= 0.9
+    none = store.limit(0)
+    assert ann.search(asked, ann.filed(none, centers), ann.fit_centroids(none, 4), 10, 3).count() == 0

@@ -333,7 +333,7 @@ def test_streams(spark, catalogue, tmp_path):
         stream = spark.readStream.schema(docs.schema).parquet(source)
         ingest.ingest(stream, out, str(tmp_path / "check"), "fixed").awaitTermination()
     got = spark.read.parquet(out)
-    assert got.count() == chunkers.chunk(docs, "fixed").count() == got.select("doc_id", "ordinal").distinct().count()
+    assert "part" in got.columns and got.count() == chunkers.chunk(docs, "fixed").count() == got.select("doc_id", "ordinal").distinct().count()
     events = spark.createDataFrame([(1, "2024-01-01 00:10:00", "a", 1.0), (2, "2024-01-01 00:50:00", "a", 2.0), (3, "2024-01-01 01:10:00", "a", 4.0), (4, "2024-01-01 05:00:00", "b", 8.0)], "event_id long, ts string, event_type string, value double").withColumn("ts", F.to_timestamp_ntz("ts"))
     events.write.parquet(str(tmp_path / "events"))
     stream = ingest.windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")))
