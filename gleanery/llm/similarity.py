@@ -16,9 +16,11 @@ the union sketch estimates their similarity, and the exact sets decide.
 
 Frequency classes come from a count table (one slot for each value of some hash
 bits) over all classes.  It has as many slots as the data calls for, 16 million
-at most, so that what is broadcast is bounded; with more data the order of rare
-values becomes that of their hashes.  A list that turns out to be longer than a
-block goes on to a second stage with its exact length: its rows are split into
+at most, so that what is broadcast is bounded.  With so much data that a slot
+holds many values, it can't tell stock phrases from rare ones any more; then
+the lists that the order makes are counted exactly, the values of the long ones
+go to the end of the order, and this is done again for the values that took
+their places.  A list that is still longer than a block in the end goes on to a second stage with its exact length: its rows are split into
 blocks there, and each pair of blocks is a group of its own.  No row of another
 list is copied, whatever the count table says.
 """
@@ -47,6 +49,8 @@ SLICES = 256
 SKETCH = 32
 #: Rows of one block of a long inverted list.
 BLOCK = 1024
+#: Values for one slot from which on lists are counted; rows of a list whose value goes to the end of the order; rounds of counting; values that are told apart so, at most (48 MB when broadcast).
+CROWDED, LONG_LIST, COUNT_ROUNDS, STOCK_VALUES = 64, 128, 4, 4_000_000
 #: Values of pairs that are compared at once.
 COMPARED = 2_000_000
 #: Bits of a posting's tag above its role and its block: rows of another block, rows late in their set.
@@ -186,12 +190,55 @@ def _levels(summaries: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
-def _postings(classes: DataFrame, levels, measure: Measure) -> DataFrame:
+@dataclass(frozen=True)
+class Order:
+    """What ranks values before their hashes do: the level of their slot, above all levels the length of a stock value's list."""
+
+    levels: np.ndarray
+    stock: np.ndarray
+    ranks: np.ndarray
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        shift = np.uint64(64 - int(math.log2(len(self.levels))))
+        out = self.levels[(values >> shift).astype(np.int64)]
+        if len(self.stock):
+            at = np.minimum(np.searchsorted(self.stock, values), len(self.stock) - 1)
+            out = np.where(self.stock[at] == values, self.ranks[at], out)
+        return out
+
+
+def _order(classes: DataFrame, summaries: DataFrame, measure: Measure, bits: int):
+    """The broadcast order; see the module's text for what is counted when."""
+    spark = classes.sparkSession
+    none = np.zeros(0, np.uint64)
+    order = spark.sparkContext.broadcast(Order(_levels(summaries, bits), none, none.astype(np.uint8)))
+    if (classes.agg(F.sum("n")).first()[0] or 0) <= CROWDED << bits:
+        return order
+    stock = None
+    for _ in range(COUNT_ROUNDS):
+        lengths = _postings(classes, order, measure).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LONG_LIST)
+        new = scratch.materialize(lengths, "similar-lengths")
+        if new.isEmpty():
+            break
+        stock = new if stock is None else stock.unionByName(new).groupBy("key").agg(F.max("n").alias("n"))
+        stock = scratch.materialize(stock.withColumn("level", F.floor(F.log2("n")).cast("int")), "similar-stock")
+        # only as many values as may be broadcast, those of the longest lists
+        held = {r["level"]: r["k"] for r in stock.groupBy("level").agg(F.count("*").alias("k")).collect()}
+        least = next(x for x in range(65) if sum(k for level, k in held.items() if level >= x) <= STOCK_VALUES)
+        stock = stock.filter(F.col("level") >= least)
+        found = stock.select("key", "level").toPandas()  # STOCK_VALUES rows at most
+        keys = found["key"].to_numpy(np.int64).view(np.uint64)
+        place = np.argsort(keys)
+        order = spark.sparkContext.broadcast(Order(order.value.levels, keys[place], (100 + found["level"].to_numpy()[place]).astype(np.uint8)))
+        stock = stock.drop("level")
+    return order
+
+
+def _postings(classes: DataFrame, order, measure: Measure) -> DataFrame:
     """Inverted-list rows: key (the value), class, set size, position in the order, and a tag of role and lateness. One row for each retained value of each class."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of = np.frombuffer(levels.value, np.uint8)
-        shift = np.uint64(64 - int(math.log2(len(level_of))))
+        ranked = order.value
         for batch, texts in batches.portions(stream):
             values, offsets = value_sets(texts, batches.column(batch, "part").to_numpy(zero_copy_only=False), measure)
             if not len(values):
@@ -200,8 +247,7 @@ def _postings(classes: DataFrame, levels, measure: Measure) -> DataFrame:
             classes_ = batches.column(batch, "cls").to_numpy(zero_copy_only=False)
             sizes = np.diff(offsets)
             owner = np.repeat(np.arange(len(texts)), sizes)
-            order = np.lexsort((values, level_of[(values >> shift).astype(np.int64)], owner))
-            values = values[order]
+            values = values[np.lexsort((values, ranked.of(values), owner))]
             position = np.arange(len(values)) - np.repeat(offsets[:-1], sizes)
             n = sizes[owner]
             kept = position < measure.retained(n)
@@ -434,8 +480,8 @@ def similar(records: DataFrame, measure: Measure) -> Matches:
     classes = scratch.materialize(_classes(records, members), "similar-classes")
     bits = _slot_bits(classes)
     summaries = scratch.materialize(_summaries(classes, measure, bits), "similar-sketches")
-    levels = records.sparkSession.sparkContext.broadcast(_levels(summaries, bits).tobytes())
-    pairs = scratch.materialize(_candidates(_postings(classes, levels, measure), measure), "similar-pairs")
+    order = _order(classes, summaries, measure, bits)
+    pairs = scratch.materialize(_candidates(_postings(classes, order, measure), measure), "similar-pairs")
     named = scratch.materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "similar-named")
     sketches = joins.keep_matching(summaries.filter("tag = 0").select("cls", "sketch"), named, ["cls"])
     likely = scratch.materialize(_estimated(pairs, scratch.materialize(sketches, "similar-named-sketches"), measure), "similar-likely")

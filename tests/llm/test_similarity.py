@@ -82,8 +82,8 @@ def posted(records, bits=None):
     records = records.select("part", "record", "owner", "role", "text").filter("text is not null").withColumn("th", F.xxhash64("text"))
     classes = similarity._classes(records, similarity._members(records, measure))
     bits = bits or similarity._slot_bits(classes)
-    levels = similarity._levels(similarity._summaries(classes, measure, bits), bits)
-    return similarity._postings(classes, records.sparkSession.sparkContext.broadcast(levels.tobytes()), measure), classes
+    order = similarity._order(classes, similarity._summaries(classes, measure, bits), measure, bits)
+    return similarity._postings(classes, order, measure), classes
 
 
 @pytest.mark.parametrize("parts", [1, 8, 64])
@@ -108,6 +108,26 @@ def test_a_crowded_count_table_copies_no_row(spark, monkeypatch):
         assert {tuple(r)[1:] for r in near_duplicates.duplicate_pairs(docs, spark.createDataFrame([], CHUNK)).collect()} == want
 
 
+def test_stock_phrases_leave_the_lists_of_a_crowded_table(spark, monkeypatch):
+    """A quarter of each text is one of two stock phrases; few slots can't tell their runs from rare ones."""
+    rnd = random.Random(4)
+    stock = [" ".join(f"s{k}x{i}" for i in range(15)) for k in range(2)]
+    rows = [(f"d{i:03}", " ".join(f"w{rnd.randrange(10**6)}" for _ in range(45)) + " " + stock[i % 2]) for i in range(300)]
+    rows += [("near", rows[7][1].replace(" s1x7", ""))]
+    records = near_duplicates.records_of(spark.createDataFrame(rows, DOC), spark.createDataFrame([], CHUNK))
+    lengths = lambda: posted(records, 4)[0].groupBy("key").count()
+    monkeypatch.setattr(similarity, "CROWDED", 10**6)  # no list is counted
+    assert lengths().filter("count > 128").count() > 4
+    monkeypatch.setattr(similarity, "CROWDED", 1)
+    monkeypatch.setattr(similarity, "LONG_LIST", 8)
+    assert lengths().filter("count > 8").count() == 0
+    monkeypatch.setattr(similarity, "SLOT_BITS", (4, 4))
+    pairs = near_duplicates.duplicate_pairs(spark.createDataFrame(rows, DOC), spark.createDataFrame([], CHUNK))
+    assert {tuple(r)[1:] for r in pairs.collect()} == brute(dict(rows), near_duplicates.PROJECT_MEASURE) == {("d007", "near")}
+    monkeypatch.setattr(similarity, "STOCK_VALUES", 5)  # not all may be told apart
+    assert {tuple(r)[1:] for r in near_duplicates.duplicate_pairs(spark.createDataFrame(rows, DOC), spark.createDataFrame([], CHUNK)).collect()} == {("d007", "near")}
+
+
 def test_long_lists_copy_late_rows_only_to_early_ones(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 4)
     late = 1 << similarity._LATE
