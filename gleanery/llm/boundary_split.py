@@ -137,14 +137,20 @@ def bisect(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     return pieces
 
 
-def split_oversized(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: str = "max_chars", overlap: str = "overlap_chars", keep: tuple[str, ...] = ()) -> DataFrame:
+def split_oversized(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", limit: str = "max_chars", overlap: str = "overlap_chars",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """doc_id, the columns of `keep`, piece, char_start, char_end, text for each text longer than its row's limit.
 
     The limits are columns of `docs`.  Texts within the limit, null texts and
     rows whose limits are null or senseless (limit < 1, overlap < 0 or >=
     limit) give no pieces.  No shuffle; rows sent again are split again.
     """
-    wanted = docs.select(F.col(key).alias("doc_id"), *keep, F.col(text).alias("text"), F.col(limit).cast("int").alias("most"), F.col(overlap).cast("int").alias("shared"))
+    wanted = docs.select(
+        F.col(key).alias("doc_id"), *keep, F.col(text).alias("text"), F.col(limit).cast("int").alias("most"),
+        F.col(overlap).cast("int").alias("shared"),
+    )
     wanted = wanted.filter("most >= 1 and shared >= 0 and shared < most and length(text) > most")
     kept = [wanted.schema[c] for c in ("doc_id", *keep)]
 
@@ -152,7 +158,10 @@ def split_oversized(docs: DataFrame, key: str = "doc_id", text: str = "text", li
         rows = [(i, n, a, b, t[a:b]) for i, (t, most, shared) in enumerate(zip(texts, batches.column(batch, "most").to_pylist(), batches.column(batch, "shared").to_pylist())) for n, (a, b) in enumerate(bisect(t, most, shared))]
         at, n, a, b, piece = zip(*rows)
         same = [batches.column(batch, f.name).take(pa.array(at)) for f in kept]
-        return pa.RecordBatch.from_arrays([*same, *(pa.array(x, pa.int32()) for x in (n, a, b)), pa.array(piece, pa.string())], names=[*(f.name for f in kept), "piece", "char_start", "char_end", "text"])
+        return pa.RecordBatch.from_arrays(
+            [*same, *(pa.array(x, pa.int32()) for x in (n, a, b)), pa.array(piece, pa.string())],
+            names=[*(f.name for f in kept), "piece", "char_start", "char_end", "text"],
+        )
 
     schema = T.StructType([*kept, *(T.StructField(c, T.IntegerType()) for c in ("piece", "char_start", "char_end")), T.StructField("text", T.StringType())])
     return batches.map_portions(wanted, schema, work)
@@ -166,13 +175,18 @@ def _previous_ends(rows: DataFrame) -> DataFrame:
     """
     rows = rows.withColumn("part", F.floor(F.coalesce("ordinal", F.lit(0)) / ORDINALS))
     groups = rows.groupBy("doc_id", "chunk_set_id", "part").agg(F.max(F.struct("ordinal", "chunk_id", "char_end")).alias("last"))
-    groups = groups.select("doc_id", "chunk_set_id", "part", F.lag("last.char_end").over(Window.partitionBy("doc_id", "chunk_set_id").orderBy("part")).alias("before"))
+    groups = groups.select(
+        "doc_id", "chunk_set_id", "part",
+        F.lag("last.char_end").over(Window.partitionBy("doc_id", "chunk_set_id").orderBy("part")).alias("before"),
+    )
     own = F.lag("char_end").over(Window.partitionBy("doc_id", "chunk_set_id", "part").orderBy("ordinal", "chunk_id"))
     first = F.row_number().over(Window.partitionBy("doc_id", "chunk_set_id", "part").orderBy("ordinal", "chunk_id")) == 1
     rows = rows.withColumn("own_end", own).withColumn("opens", first)
     same = [rows["doc_id"] == groups["doc_id"], rows["chunk_set_id"].eqNullSafe(groups["chunk_set_id"]), rows["part"] == groups["part"]]
     joined = rows.join(groups, same, "left").select(*(rows[c] for c in rows.columns), groups["before"])
-    return joined.withColumn("prev_end", F.coalesce(F.when(F.col("opens"), F.col("before")).otherwise(F.col("own_end")), F.lit(0))).drop("own_end", "opens", "before", "part")
+    return joined.withColumn(
+        "prev_end", F.coalesce(F.when(F.col("opens"), F.col("before")).otherwise(F.col("own_end")), F.lit(0)),
+    ).drop("own_end", "opens", "before", "part")
 
 
 _FAULTS = ("too_long", "altered", "in_word", "in_fence", "gap", "overlapping")
@@ -209,12 +223,17 @@ def cut_faults(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     params = lambda name: F.expr(f"try_cast(chunker_params['{name}'] as int)")
     named = chunks.filter("chunk_id is not null")
-    rows = named.select("chunk_id", "doc_id", "chunk_set_id", "ordinal", "char_start", "char_end", params("max_chars").alias("most"), params("overlap_chars").alias("shared"), F.md5("text").alias("digest")).distinct()
+    rows = named.select(
+        "chunk_id", "doc_id", "chunk_set_id", "ordinal", "char_start", "char_end", params("max_chars").alias("most"),
+        params("overlap_chars").alias("shared"), F.md5("text").alias("digest"),
+    ).distinct()
     lost = rows.filter("doc_id is null").withColumn("prev_end", F.lit(None).cast("int"))
     rows = _previous_ends(rows.filter("doc_id is not null"))
     large = named.filter("doc_id is not null").groupBy("doc_id").agg(F.ceil(F.count("*") / JUDGED).alias("groups")).filter("groups > 1")
     large = scratch.materialize(large, "cuts-large")
-    rows = rows.join(F.broadcast(large) if joins.is_small(large) else large, "doc_id", "left").withColumn("group", F.pmod(F.xxhash64("chunk_id"), F.coalesce("groups", F.lit(1))))
+    rows = rows.join(
+        F.broadcast(large) if joins.is_small(large) else large, "doc_id", "left",
+    ).withColumn("group", F.pmod(F.xxhash64("chunk_id"), F.coalesce("groups", F.lit(1))))
     cuts = rows.groupBy("doc_id", "group").agg(F.collect_list(F.struct(*_ROW)).alias("cuts")).drop("group")
     texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
     too_long, overlapping = F.col("char_end") - F.col("char_start") > F.col("most"), F.col("prev_end") - F.col("char_start") > F.col("shared")
@@ -253,8 +272,12 @@ def piece_checks(limited: DataFrame) -> DataFrame:
     names = ("chunk_set_id", "max_chars", "overlap_chars")
     pieces = scratch.materialize(split_oversized(limited, keep=names).withColumn("chunk_id", F.concat_ws("/", "doc_id", "chunk_set_id", "piece")), "pieces")
     params = F.create_map(*(x for c in names[1:] for x in (F.lit(c), F.col(c).cast("string"))))
-    faults = cut_faults(limited, pieces.withColumn("ordinal", F.col("piece")).withColumn("chunker_params", params)).filter(" or ".join(_FAULTS)).select("chunk_id").distinct().withColumn("bad", F.lit(1))
-    reach = pieces.join(faults, "chunk_id", "left").groupBy("doc_id", "chunk_set_id").agg(F.min("char_start").alias("first_start"), F.max("char_end").alias("last_end"), F.count("bad").alias("faults"))
+    faults = cut_faults(
+        limited, pieces.withColumn("ordinal", F.col("piece")).withColumn("chunker_params", params),
+    ).filter(" or ".join(_FAULTS)).select("chunk_id").distinct().withColumn("bad", F.lit(1))
+    reach = pieces.join(faults, "chunk_id", "left").groupBy("doc_id", "chunk_set_id").agg(
+        F.min("char_start").alias("first_start"), F.max("char_end").alias("last_end"), F.count("bad").alias("faults"),
+    )
     sizes = limited.filter("length(text) > max_chars").select("doc_id", "chunk_set_id", F.length("text").alias("n_chars"))
     return sizes.join(reach, ["doc_id", "chunk_set_id"], "left")
 

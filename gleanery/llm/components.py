@@ -34,7 +34,9 @@ def _contract(arcs: DataFrame, level: int) -> DataFrame:
         # the frontier is what the last round labelled; each node without a label takes the least one next to it
         frontier = labels.filter(F.col("born") == turn - 1)
         reached = frontier.join(arcs, F.col("node") == F.col("u")).groupBy("v").agg(F.min("label").alias("near"))
-        labels = labels.join(reached, F.col("node") == F.col("v"), "left").select("node", F.coalesce("label", "near").alias("label"), F.coalesce("born", F.when(F.col("near").isNotNull(), turn)).alias("born"))
+        labels = labels.join(reached, F.col("node") == F.col("v"), "left").select(
+            "node", F.coalesce("label", "near").alias("label"), F.coalesce("born", F.when(F.col("near").isNotNull(), turn)).alias("born"),
+        )
     # a component part without any seed: each node joins its least neighbour if that is less than itself
     least = arcs.groupBy("u").agg(F.min("v").alias("low"))
     lone = labels.join(least, F.col("node") == F.col("u"))
@@ -68,7 +70,9 @@ def connected_components(edges: DataFrame, most_levels: int = 100) -> DataFrame:
     # follow the seeds down the levels, then name each component by its least node
     final = maps[0].select("node", "label")
     for labels in maps[1:]:
-        final = final.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        final = final.join(
+            labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left",
+        ).select("node", F.coalesce("next", "label").alias("label"))
     final = everything.join(scratch.materialize(final, "roots"), "node", "left").select("node", F.coalesce("label", "node").alias("root"))
     final = scratch.materialize(final, "rooted")
     names = final.groupBy("root").agg(F.min("node").alias("component"))

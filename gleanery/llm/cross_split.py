@@ -25,7 +25,10 @@ PROJECT_MEASURE = Measure(run_length=1, threshold=0.6, min_words=1, cross_only=T
 def question_records(evalset: DataFrame) -> DataFrame:
     """Questions with an id, a text and a split; role 1 is train, role 2 dev or test."""
     split = labels.split_name(F.col("split"))
-    return evalset.select(F.lit(0).alias("part"), F.col("query_id").alias("record"), F.col("query_id").alias("owner"), F.when(split == "train", 1).when(split.isNotNull(), 2).alias("role"), F.col("query").alias("text")).filter("record is not null and role is not null and text is not null")
+    return evalset.select(
+        F.lit(0).alias("part"), F.col("query_id").alias("record"), F.col("query_id").alias("owner"),
+        F.when(split == "train", 1).when(split.isNotNull(), 2).alias("role"), F.col("query").alias("text"),
+    ).filter("record is not null and role is not null and text is not null")
 
 
 def _sides(found: Matches) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +53,9 @@ def overlapping_questions(evalset: DataFrame, measure: Measure = PROJECT_MEASURE
     trained = trained.withColumnRenamed("record", "known")
     same = asked.join(trained, "cls").select("record", "known")
     almost = asked.join(_near(found), "cls").join(trained.withColumnRenamed("cls", "other"), "other").select("record", "known")
-    return same.unionByName(almost).filter("record != known").select(F.least("record", "known").alias("query_id_a"), F.greatest("record", "known").alias("query_id_b")).distinct()
+    return same.unionByName(almost).filter("record != known").select(
+        F.least("record", "known").alias("query_id_a"), F.greatest("record", "known").alias("query_id_b"),
+    ).distinct()
 
 
 def overlap_report(evalset: DataFrame, measure: Measure = PROJECT_MEASURE) -> DataFrame:
@@ -64,5 +69,9 @@ def overlap_report(evalset: DataFrame, measure: Measure = PROJECT_MEASURE) -> Da
     almost = _near(found).join(trained.withColumnRenamed("cls", "other"), "other", "left_semi").select("cls")
     hit = trained.withColumn("same", F.lit(1)).unionByName(almost.distinct().withColumn("same", F.lit(0))).groupBy("cls").agg(F.max("same").alias("same"))
     marked = asked.join(hit, "cls").groupBy(F.col("record").alias("query_id")).agg(F.max("same").alias("same"))
-    questions = evalset.select("query_id", labels.split_name(F.col("split")).alias("split"), "corpus").filter("query_id is not null and split in ('dev', 'test')").distinct()
-    return questions.join(marked, "query_id", "left").groupBy("split", "corpus").agg(F.count("*").alias("n_questions"), F.coalesce(F.sum("same"), F.lit(0)).alias("n_exact"), F.count("same").alias("n_leaked"))
+    questions = evalset.select(
+        "query_id", labels.split_name(F.col("split")).alias("split"), "corpus",
+    ).filter("query_id is not null and split in ('dev', 'test')").distinct()
+    return questions.join(marked, "query_id", "left").groupBy("split", "corpus").agg(
+        F.count("*").alias("n_questions"), F.coalesce(F.sum("same"), F.lit(0)).alias("n_exact"), F.count("same").alias("n_leaked"),
+    )

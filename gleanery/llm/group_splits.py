@@ -39,7 +39,9 @@ def broken_records(evalset: DataFrame, moves: DataFrame) -> DataFrame:
     hex digit in it, a null or an unknown split belong to no group; rows sent
     again are one record.
     """
-    records = evalset.select("query_id", labels.bare_id(F.col("gold_doc_id")).alias("bare"), labels.split_name(F.col("split")).alias("split")).filter("bare is not null and split is not null")
+    records = evalset.select(
+        "query_id", labels.bare_id(F.col("gold_doc_id")).alias("bare"), labels.split_name(F.col("split")).alias("split"),
+    ).filter("bare is not null and split is not null")
     ids = records.groupBy("bare").agg(F.min("split").alias("low"), F.max("split").alias("high"))
     grouped = scratch.materialize(_group_of(ids, gold_components(moves)), "gold-groups")
     mixed = grouped.groupBy("group").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high").select("group")
@@ -59,7 +61,12 @@ def assign_splits(evalset: DataFrame, moves: DataFrame, shares: tuple[tuple[str,
     records = records.withColumn("bare", F.coalesce("bare", F.concat(F.lit("query:"), "query_id")))
     ids = records.groupBy("bare").agg(F.count("*").alias("n"))
     grouped = scratch.materialize(_group_of(ids, gold_components(moves)), "split-groups")
-    sizes = scratch.materialize(grouped.groupBy("group").agg(F.sum("n").alias("n")).withColumn("place", F.conv(F.substring(F.md5(F.concat(F.lit(seed), "group")), 1, 10), 16, 10).cast("long")), "split-sizes")
+    sizes = scratch.materialize(
+        grouped.groupBy("group").agg(F.sum("n").alias("n")).withColumn(
+            "place", F.conv(F.substring(F.md5(F.concat(F.lit(seed), "group")), 1, 10), 16, 10).cast("long"),
+        ),
+        "split-sizes",
+    )
     total = sizes.agg(F.sum("n")).first()[0] or 0
     room = {name: share * total for name, share in shares}
     heavy: dict[str, str] = {}

@@ -146,7 +146,10 @@ def _blocks(items: DataFrame, key: str, text: str, seed_words: int) -> Iterator[
         yield Items.of(ids, texts, seed_words)
 
 
-def leaks(documents: DataFrame, items: DataFrame, seed_words: int = 13, tile_words: int | None = None, coverage: float = 0.0, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+def leaks(
+    documents: DataFrame, items: DataFrame, seed_words: int = 13, tile_words: int | None = None, coverage: float = 0.0, key: str = "doc_id",
+    item_key: str = "item_id", text: str = "text",
+) -> DataFrame:
     """doc_id, item_id, longest_tile, tiles, covered_words, item_words for each document and item with a common run of `seed_words` words.
 
     Tiles shorter than `tile_words` (seed_words unless given) are not looked
@@ -192,7 +195,10 @@ def leaks(documents: DataFrame, items: DataFrame, seed_words: int = 13, tile_wor
                 return None
             columns = list(zip(*rows))
             doc = batches.column(batch, "doc_id").take(pa.array(columns[0]))
-            return pa.RecordBatch.from_arrays([doc, pa.array(columns[1], to_arrow_type(id_type)), *(pa.array(c, pa.int32()) for c in columns[2:])], names=[f.name for f in schema])
+            return pa.RecordBatch.from_arrays(
+                [doc, pa.array(columns[1], to_arrow_type(id_type)), *(pa.array(c, pa.int32()) for c in columns[2:])],
+                names=[f.name for f in schema],
+            )
 
         found = found.unionByName(batches.map_portions(source, schema, work))
     return found.distinct()

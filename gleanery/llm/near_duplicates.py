@@ -54,6 +54,11 @@ def duplicate_groups(docs: DataFrame, chunks: DataFrame, measure: Measure = PROJ
     named = scratch.materialize(named, "similar-classes-named")
     groups = named.groupBy("component").agg(F.min("class_id").alias("group_id"))
     # a group is as large as the data makes it, but a class has one row here; names go to classes before they go to records
-    classes = scratch.materialize(named.join(groups, "component").select("cls", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id"), "similar-groups")
+    classes = scratch.materialize(
+        named.join(groups, "component").select("cls", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id"),
+        "similar-groups",
+    )
     kind = F.when(F.col("part") == 0, KINDS[0]).otherwise(KINDS[1])
-    return found.members.select("part", "record", "cls").distinct().join(classes, "cls").select(kind.alias("record_kind"), F.col("record").alias("record_id"), "class_id", "n_links", "group_id")
+    return found.members.select("part", "record", "cls").distinct().join(classes, "cls").select(
+        kind.alias("record_kind"), F.col("record").alias("record_id"), "class_id", "n_links", "group_id",
+    )

@@ -17,15 +17,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = _table
     return {
-        "p1_found": lambda s, d: token_budget.unusable_counts(t(s, d, "chunks_child"), documents=t(s, d, "corpus_docs").select("text", F.col("meta")["lang"].alias("lang"))),
+        "p1_found": lambda s, d: token_budget.unusable_counts(
+            t(s, d, "chunks_child"), documents=t(s, d, "corpus_docs").select("text", F.col("meta")["lang"].alias("lang")),
+        ),
         "p1_token_budget": lambda s, d: token_budget.token_budget(t(s, d, "corpus_docs"), t(s, d, "chunks_child")),
-        "p1_records": lambda s, d: token_budget.token_budget(t(s, d, "corpus_docs"), t(s, d, "chunks_child")).select("record_kind", "corpus", "language", "domain", "n_records"),
+        "p1_records": lambda s, d: token_budget.token_budget(t(s, d, "corpus_docs"), t(s, d, "chunks_child")).select(
+            "record_kind", "corpus", "language", "domain", "n_records",
+        ),
         "p2_found": lambda s, d: near_duplicates.duplicate_pairs(t(s, d, "corpus_docs"), t(s, d, "chunks_child")),
         "p2_groups": lambda s, d: near_duplicates.duplicate_groups(t(s, d, "corpus_docs"), t(s, d, "chunks_child")),
         "p3_found": lambda s, d: group_splits.broken_records(t(s, d, "evalset"), t(s, d, "doc_moves")),
         "p3_splits": lambda s, d: group_splits.assign_splits(t(s, d, "evalset"), t(s, d, "doc_moves")),
         "p4_found": lambda s, d: boundary_split.faulty_chunks(t(s, d, "corpus_docs"), t(s, d, "chunks_child")),
-        "p4_pieces": lambda s, d: boundary_split.split_oversized(boundary_split.with_limits(t(s, d, "corpus_docs"), t(s, d, "chunks_child")), keep=("chunk_set_id",)),
+        "p4_pieces": lambda s, d: boundary_split.split_oversized(
+            boundary_split.with_limits(t(s, d, "corpus_docs"), t(s, d, "chunks_child")), keep=("chunk_set_id",),
+        ),
         "p4_piece_checks": lambda s, d: boundary_split.piece_checks(boundary_split.with_limits(t(s, d, "corpus_docs"), t(s, d, "chunks_child"))),
         "p5_found": lambda s, d: cross_split.overlapping_questions(t(s, d, "evalset")),
         "p5_report": lambda s, d: cross_split.overlap_report(t(s, d, "evalset")),

@@ -91,7 +91,10 @@ def _bucket_rows(documents: DataFrame, length: int, k: int, second: bool = False
         large = batches.column(batch, "large").to_pylist() if second else None
         text, _, _, value = buckets(texts, length, k, large, not second)
         rows = np.unique(np.stack([text.astype(np.uint64), value]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(rows[1].view(np.int64)), batches.column(batch, "doc").take(pa.array(rows[0].astype(np.int64)))], names=["bucket", "doc"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows[1].view(np.int64)), batches.column(batch, "doc").take(pa.array(rows[0].astype(np.int64)))],
+            names=["bucket", "doc"],
+        )
 
     kind = documents.schema["doc"].dataType
     return batches.map_portions(documents, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("doc", kind)]), work)
@@ -114,7 +117,10 @@ def _packed(documents: DataFrame, length: int, k: int) -> DataFrame:
     def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         text, start, count, value = _chosen(batch, texts, length, k, "packs")
         pieces = [texts[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), (start + count + length - 1).tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batches.column(batch, "doc").take(pa.array(text)), pa.array(start), pa.array(pieces, pa.string())], names=["bucket", "doc", "start", "piece"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(value.view(np.int64)), batches.column(batch, "doc").take(pa.array(text)), pa.array(start), pa.array(pieces, pa.string())],
+            names=["bucket", "doc", "start", "piece"],
+        )
 
     kind = documents.schema["doc"].dataType
     fields = [("bucket", T.LongType()), ("doc", kind), ("start", T.LongType()), ("piece", T.StringType())]
@@ -252,7 +258,10 @@ def _span_rows(packed: DataFrame, length: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)])
         last = np.r_[first[1:] - 1, len(piece) - 1]
         base = table["start"].to_numpy()[piece[first]]
-        return pa.RecordBatch.from_arrays([table["doc"].combine_chunks().take(pa.array(piece[first])), pa.array(base + at[first]), pa.array(base + at[last] + length)], names=["doc", "span_start", "span_end"])
+        return pa.RecordBatch.from_arrays(
+            [table["doc"].combine_chunks().take(pa.array(piece[first])), pa.array(base + at[first]), pa.array(base + at[last] + length)],
+            names=["doc", "span_start", "span_end"],
+        )
 
     return _streamed(packed, length, f"doc {kind}, span_start long, span_end long", work)
 
@@ -266,12 +275,17 @@ def _candidates(documents: DataFrame, length: int, k: int, key: str, text: str)
     few, many = (lambda x: x["docs"] <= BLOCK), (lambda x: x["docs"] > BLOCK)
     none = F.array().cast("array<long>")
     rows = scratch.materialize(_bucket_rows(source, length, k), "minimisers")
-    wanted = scratch.materialize(_per_document(rows).select("doc", of("buckets", few).alias("packs"), of("buckets", many).alias("large"), none.alias("hot")), "wanted")
+    wanted = scratch.materialize(
+        _per_document(rows).select("doc", of("buckets", few).alias("packs"), of("buckets", many).alias("large"), none.alias("hot")),
+        "wanted",
+    )
     large = wanted.filter("size(large) > 0").select("doc", "large")
     if not large.isEmpty():
         again = scratch.materialize(_bucket_rows(joins.keep_matching(source, large, ["doc"], "inner"), length, k, second=True), "longer-minimisers")
         more = _per_document(again).select("doc", of("buckets", few).alias("more"), of("buckets", many).alias("hotter"))
-        wanted = wanted.join(more, "doc", "left").select("doc", F.concat("packs", F.coalesce("more", none)).alias("packs"), "large", F.coalesce("hotter", none).alias("hot"))
+        wanted = wanted.join(more, "doc", "left").select(
+            "doc", F.concat("packs", F.coalesce("more", none)).alias("packs"), "large", F.coalesce("hotter", none).alias("hot"),
+        )
         wanted = scratch.materialize(wanted, "wanted-buckets")
     packs = wanted.filter("size(packs) > 0").drop("hot")
     packed = _packed(joins.keep_matching(source, packs, ["doc"], "inner"), length, k)
@@ -288,7 +302,9 @@ def _class_pairs(windows: DataFrame) -> DataFrame:
     are split into blocks, and each pair of blocks is joined by itself.
     """
     rows = windows.select("h", "g", "doc").distinct()
-    sets = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).filter("n > 1")
+    sets = rows.groupBy("h", "g").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"),
+    ).filter("n > 1")
     one = sets.groupBy("n", "x", "y").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g", F.ceil(F.col("n") / PAIRED).alias("blocks"))
     one = scratch.materialize(one, "window-classes")
     members = joins.keep_matching(rows, one, ["h", "g"], "inner").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
@@ -338,8 +354,14 @@ def shared_coverage(documents: DataFrame, length: int = 320, k: int = MINIMISER,
     found = found.distinct()
     w = "partition by doc order by span_start, span_end"
     spans = found.selectExpr("*", f"max(span_end) over ({w} rows between unbounded preceding and 1 preceding) as reach")
-    spans = spans.selectExpr("doc", "cast(reach is null or span_start > reach as int) as opens", "greatest(span_end - greatest(span_start, coalesce(reach, span_start)), 0) as adds")
+    spans = spans.selectExpr(
+        "doc", "cast(reach is null or span_start > reach as int) as opens",
+        "greatest(span_end - greatest(span_start, coalesce(reach, span_start)), 0) as adds",
+    )
     sums = spans.groupBy("doc").agg(F.sum("opens").alias("n_spans"), F.sum("adds").alias("shared_chars"))
     base = documents.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("doc")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("n_chars"))
-    out = base.join(sums, "doc", "left").select(F.col("doc").alias("doc_id"), "n_chars", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"))
+    out = base.join(sums, "doc", "left").select(
+        F.col("doc").alias("doc_id"), "n_chars", F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"),
+    )
     return out.withColumn("shared_fraction", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)))

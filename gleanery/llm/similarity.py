@@ -62,7 +62,10 @@ class Measure:
     """What counts as similar: distinct runs of `run_length` words, Jaccard >= threshold, for records of at least `min_words` words.
 
     A candidate shares at least `overlaps` retained values (h above): several
-    where sets have dozens of values, one where they have few.  With `cross_only` a pair needs a record of role 1 on one side and of role 2 on the other.
+    where sets have dozens of values, one where they have few.  With `cross_only`
+    a pair needs a record of role 1 on one side and of role 2 on the other.  The
+    union sketch misses a pair at the threshold with probability `miss` at most;
+    with 0 it rules out none and every candidate is compared exactly.
     """
 
     run_length: int = 5
@@ -70,6 +73,7 @@ class Measure:
     min_words: int = 1
     cross_only: bool = False
     overlaps: int = 3
+    miss: float = 1e-8
 
     def needed(self, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         """The least overlap of two sets that are similar."""
@@ -79,11 +83,11 @@ class Measure:
         return n - np.ceil(self.threshold * n - 1e-9).astype(np.int64) + self.overlaps
 
     def least_sketch_hits(self) -> int:
-        """Hits in a union sketch of SKETCH values that a similar pair misses with probability below 1e-8."""
+        """Hits in a union sketch of SKETCH values that a similar pair misses with probability `miss` at most."""
         t, tail, hits = self.threshold, 0.0, 0
         while True:
             tail += math.comb(SKETCH, hits) * t**hits * (1 - t) ** (SKETCH - hits)
-            if tail > 1e-8:
+            if tail > self.miss:
                 return hits
             hits += 1
 
@@ -126,7 +130,10 @@ def _members(records: DataFrame, measure: Measure) -> DataFrame:
         some = np.flatnonzero(np.diff(offsets))
         picked = batch.take(pa.array(some))
         columns = [batches.column(picked, c) for c in kept]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(class_keys(values, offsets)[some].view(np.int64)), pa.array(np.diff(offsets)[some].astype(np.int32))], names=[*kept, "cls", "n"])
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(class_keys(values, offsets)[some].view(np.int64)), pa.array(np.diff(offsets)[some].astype(np.int32))],
+            names=[*kept, "cls", "n"],
+        )
 
     return batches.map_portions(records, "part int, record string, owner string, role int, th long, cls long, n int", work)
 
@@ -161,11 +168,20 @@ def _summaries(classes: DataFrame, measure: Measure, bits: int) -> DataFrame:
             slots[slot] += counts.astype(np.uint32)
             n, starts = len(texts), offsets[:-1]
             sketch = _binaries((values >> np.uint64(32)).astype(np.uint32), starts, starts + np.minimum(np.diff(offsets), SKETCH))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batches.column(batch, "cls"), sketch, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(n, np.int32)), batches.column(batch, "cls"), sketch, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                schema=schema,
+            )
         if slots.any():
             some = [(k, zlib.compress(piece.tobytes(), 1)) for k, piece in enumerate(slots.reshape(slices, -1)) if piece.any()]
             n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([k for k, _ in some], pa.int32()), pa.array([v for _, v in some], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+                    pa.array([k for k, _ in some], pa.int32()), pa.array([v for _, v in some], pa.binary()),
+                ],
+                schema=schema,
+            )
 
     return classes.mapInArrow(run, "tag int, cls long, sketch binary, slice int, counts binary")
 
@@ -255,7 +271,10 @@ def _postings(classes: DataFrame, order, measure: Measure) -> DataFrame:
             # in the smaller set of a similar pair the shared values come early; a row is late where they can't any more
             late = position > n - measure.needed(n, n).astype(np.int64) + measure.overlaps - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values.view(np.int64)), pa.array(classes_[owner]), pa.array(n.astype(np.int32)), pa.array(position.astype(np.int32)), pa.array((late.astype(np.int64) << _LATE) | roles[owner])],
+                [
+                    pa.array(values.view(np.int64)), pa.array(classes_[owner]), pa.array(n.astype(np.int32)),
+                    pa.array(position.astype(np.int32)), pa.array((late.astype(np.int64) << _LATE) | roles[owner]),
+                ],
                 names=["key", "cls", "n", "pos", "tag"],
             )
 
@@ -425,7 +444,9 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, measure: Measure) -> DataF
             keep = np.where(union < SKETCH, shared >= measure.threshold * union - 1e-9, hits >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    joined = pairs.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
+    joined = pairs.join(
+        sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a",
+    ).join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -443,9 +464,14 @@ def _exact(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
             overlap = np.bincount(owner[twice], minlength=batch.num_rows)
             union = sides[0][1] + sides[1][1] - overlap
             good = overlap >= measure.threshold * union - 1e-9
-            yield pa.RecordBatch.from_arrays([batches.column(batch, "a"), batches.column(batch, "b"), pa.array(overlap / np.maximum(union, 1))], names=["a", "b", "jaccard"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(
+                [batches.column(batch, "a"), batches.column(batch, "b"), pa.array(overlap / np.maximum(union, 1))],
+                names=["a", "b", "jaccard"],
+            ).filter(pa.array(good))
 
-    joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("values").alias("y")), "b")
+    joined = pairs.join(
+        sets.select(F.col("cls").alias("a"), F.col("values").alias("x")), "a",
+    ).join(sets.select(F.col("cls").alias("b"), F.col("values").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, jaccard double")
 
 
@@ -498,7 +524,10 @@ def record_pairs(matches: Matches, part: int | None = None, other_owner: bool =
     """
     members = matches.members if part is None else matches.members.filter(F.col("part") == part)
     narrow = members.select("part", "record", "owner", "role", "cls")
-    side = lambda s: narrow.select(F.col("cls").alias(f"c{s}"), F.col("part").alias(f"part{s}"), F.col("record").alias(f"r{s}"), F.col("owner").alias(f"o{s}"), F.col("role").alias(f"role{s}"))
+    side = lambda s: narrow.select(
+        F.col("cls").alias(f"c{s}"), F.col("part").alias(f"part{s}"), F.col("record").alias(f"r{s}"), F.col("owner").alias(f"o{s}"),
+        F.col("role").alias(f"role{s}"),
+    )
     several = narrow.groupBy("cls").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     links = matches.links.select("a", "b").unionByName(several)
     joined = links.join(side("1"), F.col("a") == F.col("c1")).join(side("2"), F.col("b") == F.col("c2"))

@@ -52,7 +52,10 @@ def features(texts: list) -> np.ndarray:
     wide = codes >= 0x80
     size = 1 + wide.astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
     upper = (codes >= 65) & (codes <= 90)
-    columns = [per_text(size), per_text(starts), per_text(kinds == 2), per_text(kinds == 3), per_text(kinds == 0), per_text(upper), per_text(starts & (kinds == 2)), per_text(wide)]
+    columns = [
+        per_text(size), per_text(starts), per_text(kinds == 2), per_text(kinds == 3), per_text(kinds == 0), per_text(upper),
+        per_text(starts & (kinds == 2)), per_text(wide),
+    ]
     columns += [per_text((codes >= a) & (codes <= b)) for a, b in SCRIPTS.values()]
     return np.stack(columns, axis=1).astype(float)
 
@@ -170,7 +173,10 @@ def fit(texts: DataFrame, languages: LanguageModel, vocabulary: str = encode.DEF
 
     def work(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
         counts = encode.ByteBpe.load(vocabulary).count(rows)
-        return pa.RecordBatch.from_arrays([batches.column(batch, "h"), pa.array(languages.tell(rows)), pa.array(counts.astype(np.int64)), pa.array(list(features(rows)), pa.list_(pa.float64()))], names=["h", "language", "tokens", "row"])
+        return pa.RecordBatch.from_arrays(
+            [batches.column(batch, "h"), pa.array(languages.tell(rows)), pa.array(counts.astype(np.int64)), pa.array(list(features(rows)), pa.list_(pa.float64()))],
+            names=["h", "language", "tokens", "row"],
+        )
 
     sample = batches.map_portions(chosen.select("h", "text"), "h long, language long, tokens long, row array<double>", work).toPandas()
     return _fit_sample(sample.sort_values("h"), languages)
@@ -254,7 +260,9 @@ def _estimates(rows: DataFrame, model) -> DataFrame:
     def work(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         tokens, language, _ = model.value.predict(texts)
         noise, drift = model.value.noise[language] ** 2 * tokens, model.value.drift[language] * tokens
-        return pa.RecordBatch.from_arrays([*(batches.column(batch, c) for c in kept), *map(pa.array, (tokens, noise, drift))], names=[*kept, "tokens", "noise", "drift"])
+        return pa.RecordBatch.from_arrays(
+            [*(batches.column(batch, c) for c in kept), *map(pa.array, (tokens, noise, drift))], names=[*kept, "tokens", "noise", "drift"],
+        )
 
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
     return batches.map_portions(rows, f"{kinds}, tokens double, noise double, drift double", work)
@@ -273,10 +281,18 @@ def token_budget(docs: DataFrame, chunks: DataFrame, vocabulary: str = encode.DE
     chunk = chunks.filter("chunk_id is not null").select("chunk_id", "doc_id", "corpus", "text")
     model = _model(document, document.select("text").unionByName(chunk.select("text")), vocabulary, sample_rows)
     best = F.max(F.struct("tokens", "noise", "drift")).alias("e")
-    own = _estimates(document, model).groupBy("doc_id").agg(F.first("corpus").alias("corpus"), F.max(labels.language(F.col("lang"))).alias("language"), F.max(labels.domain(F.col("domain"))).alias("domain"), best)
+    own = _estimates(document, model).groupBy("doc_id").agg(
+        F.first("corpus").alias("corpus"), F.max(labels.language(F.col("lang"))).alias("language"),
+        F.max(labels.domain(F.col("domain"))).alias("domain"), best,
+    )
     parts = _estimates(chunk, model).groupBy("chunk_id").agg(F.first("doc_id").alias("doc_id"), F.first("corpus").alias("corpus"), best)
-    placed = parts.join(own.select("doc_id", "language", "domain"), "doc_id", "left").select(F.lit("child").alias("record_kind"), "corpus", F.coalesce("language", F.lit("und")).alias("language"), F.coalesce("domain", F.lit("unknown")).alias("domain"), "e")
+    placed = parts.join(own.select("doc_id", "language", "domain"), "doc_id", "left").select(
+        F.lit("child").alias("record_kind"), "corpus", F.coalesce("language", F.lit("und")).alias("language"),
+        F.coalesce("domain", F.lit("unknown")).alias("domain"), "e",
+    )
     every = placed.unionByName(own.select(F.lit("doc").alias("record_kind"), "corpus", "language", "domain", "e"))
     deviation = F.sqrt(F.sum("e.noise") + F.sum("e.drift") * F.sum("e.drift"))
     error = F.when(F.sum("e.tokens") > 0, F.round(deviation / F.sum("e.tokens"), 6)).otherwise(F.lit(0.0))
-    return every.groupBy("record_kind", "corpus", "language", "domain").agg(F.count("*").alias("n_records"), F.round(F.sum("e.tokens")).cast("long").alias("tokens"), error.alias("error"))
+    return every.groupBy("record_kind", "corpus", "language", "domain").agg(
+        F.count("*").alias("n_records"), F.round(F.sum("e.tokens")).cast("long").alias("tokens"), error.alias("error"),
+    )

@@ -169,6 +169,7 @@ def test_groups_and_edge_cases(spark):
 
 def test_default_measure_is_five_words_and_four_fifths():
     assert Measure() == Measure(5, 0.8, 1, False, 3)
+    assert Measure(miss=0).least_sketch_hits() == 0 < Measure().least_sketch_hits()
 
 
 @pytest.fixture()
@@ -184,8 +185,8 @@ def evalset(spark):
 def test_cross_split_pairs_and_report(spark, evalset):
     got = {tuple(r) for r in cross_split.overlapping_questions(evalset).collect()}
     assert got == {("q1", "q2"), ("q1", "q3"), ("q2", "q8"), ("q3", "q8")}
-    report = {(r["split"], r["corpus"]): (r["n_questions"], r["n_leaked"]) for r in cross_split.overlap_report(evalset).collect()}
-    assert report == {("test", "c"): (2, 1), ("dev", "c"): (3, 1)}
+    report = {(r["split"], r["corpus"]): (r["n_questions"], r["n_exact"], r["n_leaked"]) for r in cross_split.overlap_report(evalset).collect()}
+    assert report == {("test", "c"): (2, 1, 1), ("dev", "c"): (3, 0, 1)}
     assert cross_split.overlapping_questions(evalset.limit(0)).count() == 0
 
 

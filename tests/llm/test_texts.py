@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import boundary_split, encode, leakage, shared_spans, textcodes, token_budget
 
@@ -229,7 +230,7 @@ def test_bisection_keeps_every_rule():
         boundary_split.bisect("x", 0, 0)
 
 
-def test_pieces_and_faults(spark):
+def test_pieces_and_faults(spark, monkeypatch):
     rnd = random.Random(8)
     docs = {f"d{i}": messy(rnd) * 4 for i in range(12)}
     frame = spark.createDataFrame([(k, t, 60, 10, "s") for k, t in docs.items()] + [("n", None, 60, 10, "s"), ("e", "", 60, 10, "s"), ("m", "x" * 100, None, 1, "s")], "doc_id string, text string, max_chars int, overlap_chars int, char_start string")
@@ -252,6 +253,11 @@ def test_pieces_and_faults(spark):
         "inside": (False, False, True, False, True, False), "other": (False, True, False, False, False, False), "lost": (True, False, False, False, False, False),
     }
     assert boundary_split.faulty_chunks(texts.limit(0), spark.createDataFrame([], schema)).count() == 0
+    monkeypatch.setattr(boundary_split, "JUDGED", 2)  # a document comes again for each two of its chunks
+    again = {r["chunk_id"]: tuple(r)[1:] for r in boundary_split.cut_faults(texts, spark.createDataFrame(rows + bad, schema)).collect() if any(tuple(r)[1:])}
+    assert again == got
+    checks = boundary_split.piece_checks(frame.filter("max_chars is not null").withColumn("chunk_set_id", F.lit("s")).drop("char_start")).collect()
+    assert {r["doc_id"] for r in checks} == {r["doc_id"] for r in pieces} and all((r["first_start"], r["last_end"], r["faults"]) == (0, len(docs[r["doc_id"]]), 0) for r in checks)
 
 
 # --- token budgets ---
