@@ -57,7 +57,10 @@ def corpus_build(app: App) -> None:
     failed = []
     for name in names:
         try:
-            rows = app.catalogue.write("documents", name, files.load(app.catalogue.spark, f"{root}/{name}", name, root.rstrip("/").rpartition("/")[0]).orderBy("source_path"))
+            rows = app.catalogue.write(
+                "documents", name,
+                files.load(app.catalogue.spark, f"{root}/{name}", name, root.rstrip("/").rpartition("/")[0]).orderBy("source_path"),
+            )
             print(f"{name}: {rows.count()} documents")
         except Exception as error:  # the other corpora are built all the same
             logging.getLogger("gleanery").error("%s: %s", name, error)
@@ -104,7 +107,9 @@ def chunk_show(app: App) -> None:
 
 
 def chunk_diff(app: App) -> None:
-    side = lambda name, s: app.catalogue.load_chunk_set(name).filter(F.col("doc_id") == app.options.doc_id).select("char_start", "char_end", F.lit(s).alias("set"), preview(F.col("text")).alias("text"))
+    side = lambda name, s: app.catalogue.load_chunk_set(name).filter(F.col("doc_id") == app.options.doc_id).select(
+        "char_start", "char_end", F.lit(s).alias("set"), preview(F.col("text")).alias("text"),
+    )
     app.show(side(app.options.a, "a").unionByName(side(app.options.b, "b")).orderBy("char_start", "char_end", "set"))
 
 
@@ -126,7 +131,10 @@ def _retrieved(app: App, retriever: str, params: dict) -> DataFrame:
         raise LookupError(f"no index {o.index!r}")
     chunks = app.catalogue.load_chunk_set(manifest["chunk_set_id"])
     asked = app.catalogue.spark.createDataFrame([("q", o.query)], "query_id string, query string")
-    hits = retrieval.retrieve(retriever, asked, chunks, VectorStore(app.catalogue, o.index).rows(), o.k or app.settings.defaults.k, params, manifest["embedder"], json.loads(manifest["embedder_params"]))
+    hits = retrieval.retrieve(
+        retriever, asked, chunks, VectorStore(app.catalogue, o.index).rows(), o.k or app.settings.defaults.k, params, manifest["embedder"],
+        json.loads(manifest["embedder_params"]),
+    )
     known = chunks if not getattr(o, "parent_chunk_set", None) else chunks.unionByName(app.catalogue.load_chunk_set(o.parent_chunk_set))
     texts = known.select("chunk_id", preview(F.col("text"), 100).alias("text")).dropDuplicates(["chunk_id"])
     return hits.join(texts, "chunk_id", "left").orderBy("rank").select("retriever", "rank", "score", "chunk_id", "text")
@@ -157,10 +165,17 @@ def evalset_build(app: App) -> None:
     o = app.options
     needles = app.catalogue.spark.read.schema("needle_id string, query string, needles array<string>, difficulty string").json(o.needles).withColumn("corpus", F.lit(o.corpus))
     found = relations.needle_evalset(app.catalogue.read("documents", o.corpus), needles.select("needle_id", "corpus", "query", "needles"))
-    rows = found.join(needles.select("needle_id", F.col("needles").alias("supporting_quotes"), F.coalesce("difficulty", F.lit("lookup")).alias("difficulty")), "needle_id")
+    rows = found.join(
+        needles.select("needle_id", F.col("needles").alias("supporting_quotes"), F.coalesce("difficulty", F.lit("lookup")).alias("difficulty")),
+        "needle_id",
+    )
     identity = ids.query_id(F.col("corpus"), F.col("gold_doc_id"), F.col("gold_char_spans"), F.col("query"))
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("query_id", identity).withColumn("split", ids.split_of(identity)).withColumn("sampling_chunk_ids", none).withColumn("generator_model", F.lit("needles")).withColumn("validated", F.lit(True)).withColumn("answer", F.lit(None).cast("string"))
+    rows = rows.withColumn("query_id", identity).withColumn("split", ids.split_of(identity)).withColumn("sampling_chunk_ids", none).withColumn(
+        "generator_model", F.lit("needles"),
+    ).withColumn("validated", F.lit(True)).withColumn(
+        "answer", F.lit(None).cast("string"),
+    )
     written = app.catalogue.write("evalset", o.corpus, rows.select(*(f.name for f in schema.EVAL_PAIR.fields)))
     print(f"{written.count()} pairs of {needles.count()} needles")
 
@@ -169,7 +184,10 @@ def evalset_validate(app: App) -> None:
     """Every span must lie in its document and hold its quote."""
     pairs, docs = app.catalogue.load_evalset(app.options.corpus), app.catalogue.read("documents", app.options.corpus)
     rows = pairs.join(docs.select(F.col("doc_id").alias("gold_doc_id"), "text"), "gold_doc_id", "left")
-    good = F.forall(F.arrays_zip("gold_char_spans", "supporting_quotes"), lambda z: F.substring(F.col("text"), z["gold_char_spans"][0] + 1, z["gold_char_spans"][1] - z["gold_char_spans"][0]) == z["supporting_quotes"])
+    good = F.forall(
+        F.arrays_zip("gold_char_spans", "supporting_quotes"),
+        lambda z: F.substring(F.col("text"), z["gold_char_spans"][0] + 1, z["gold_char_spans"][1] - z["gold_char_spans"][0]) == z["supporting_quotes"],
+    )
     bad = rows.filter(~F.coalesce(good, F.lit(False))).select("query_id", "query")
     n = bad.count()
     app.show(bad)
@@ -275,7 +293,10 @@ def parser() -> argparse.ArgumentParser:
     command("corpus", "stats", corpus_stats, corpus)
     command("corpus", "show", corpus_show, "doc_id", ("--chars", {"type": int, "default": 500}))
     command("corpus", "import", artifact_import, ("kind", {"choices": ["documents", "chunks", "evalset"]}), "name", "file")
-    command("chunk", "run", chunk_run, "corpus", ("--chunker", {"choices": chunkers.available()}), param, ("--role", {"default": "standalone"}), ("--parent-chunk-set", {}), ("--force", flag))
+    command(
+        "chunk", "run", chunk_run, "corpus", ("--chunker", {"choices": chunkers.available()}), param, ("--role", {"default": "standalone"}),
+        ("--parent-chunk-set", {}), ("--force", flag),
+    )
     command("chunk", "stats", chunk_stats, "chunk_set")
     command("chunk", "show", chunk_show, "chunk_set", "doc_id")
     command("chunk", "diff", chunk_diff, "a", "b", "doc_id")
@@ -293,7 +314,11 @@ def parser() -> argparse.ArgumentParser:
     command("experiment", "compare", experiment_compare, ("run_ids", {"nargs": "+"}))
     command("experiment", "failures", experiment_failures, "run_id", ("--config-idx", {"type": int, "default": 0}), ("--n", {"type": int, "default": 20}))
     command("agent", "route", agent_route, "query", "corpus", k, ("--max-steps", {"type": int, "default": 5}), ("--explain", flag))
-    command("agent", "optimize", agent_optimize, "corpus", ("--max-iterations", {"type": int, "default": 3}), k, ("--max-steps-per-iteration", {"type": int, "default": 5}), ("--max-tokens", number), ("--max-wall-clock", {"type": float}), ("--budget-usd", {"type": float}))
+    command(
+        "agent", "optimize", agent_optimize, "corpus", ("--max-iterations", {"type": int, "default": 3}), k,
+        ("--max-steps-per-iteration", {"type": int, "default": 5}), ("--max-tokens", number), ("--max-wall-clock", {"type": float}),
+        ("--budget-usd", {"type": float}),
+    )
     command("agent", "trace", agent_trace, "run_id")
     return top
 

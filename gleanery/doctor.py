@@ -33,7 +33,10 @@ def run(artifacts: str = ".", fixtures: str | None = None) -> list[Check]:
     out += [Check(m, present(m), "installed" if present(m) else "missing", True) for m in ("pyspark", "pyarrow", "pandas", "numpy", "regex")]
     java = shutil.which("java") or os.environ.get("JAVA_HOME")
     out.append(Check("java", bool(java), str(java or "not found"), True))
-    for module, use in (("tiktoken", "byte-level BPE encodings"), ("ahocorasick", "needle hosts"), ("yaml", "YAML configurations"), ("sentence_transformers", "model embedders")):
+    for module, use in (
+        ("tiktoken", "byte-level BPE encodings"), ("ahocorasick", "needle hosts"), ("yaml", "YAML configurations"),
+        ("sentence_transformers", "model embedders"),
+    ):
         out.append(Check(module, present(module), "installed" if present(module) else "missing", False, use))
     free = shutil.disk_usage(artifacts if Path(artifacts).exists() else ".").free / 1e9
     out.append(Check("disk", free > 1, f"{free:.1f} GB free", True))

@@ -8,7 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Spellings in the data and what they mean.
-SPLITS = {"train": "train", "training": "train", "trn": "train", "dev": "dev", "val": "dev", "valid": "dev", "validation": "dev", "development": "dev", "test": "test", "tst": "test", "testing": "test"}
+SPLITS = {
+    "train": "train", "training": "train", "trn": "train", "dev": "dev", "val": "dev", "valid": "dev", "validation": "dev",
+    "development": "dev", "test": "test", "tst": "test", "testing": "test",
+}
 
 
 def look_up(table: dict[str, str], key: Column) -> Column:

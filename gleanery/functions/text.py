@@ -50,7 +50,13 @@ def count_fences(text: Column) -> Column:
 def headings(text: Column) -> Column:
     """array<struct<level, title>> of the ATX headings outside fences."""
     found = F.regexp_extract_all(mask_fences(text), F.lit(HEADING), F.lit(0))
-    return F.transform(found, lambda h: F.struct(F.length(F.regexp_extract(h, r"^#+", 0)).alias("level"), F.regexp_replace(F.regexp_replace(h, r"^#+[ \t]+", ""), r"(?U)^\s+|\s+$", "").alias("title")))
+    return F.transform(
+        found,
+        lambda h: F.struct(
+            F.length(F.regexp_extract(h, r"^#+", 0)).alias("level"),
+            F.regexp_replace(F.regexp_replace(h, r"^#+[ \t]+", ""), r"(?U)^\s+|\s+$", "").alias("title"),
+        ),
+    )
 
 
 def is_separator_row(line: Column) -> Column:

@@ -58,7 +58,9 @@ def filed(store: DataFrame, centroids: np.ndarray) -> DataFrame:
                 rows = _unit(np.stack(frame["embedding"].to_numpy()).astype(float))
                 yield frame.assign(list=np.argmax(rows @ shared.value.T, axis=1).astype(np.int32))
 
-    return store.select("chunk_id", "embedding").filter("embedding is not null").mapInPandas(run, f"chunk_id {kinds['chunk_id']}, embedding {kinds['embedding']}, list int")
+    return store.select("chunk_id", "embedding").filter("embedding is not null").mapInPandas(
+        run, f"chunk_id {kinds['chunk_id']}, embedding {kinds['embedding']}, list int",
+    )
 
 
 def search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, probes: int, retriever: str = "dense", digits: int = 6) -> DataFrame:
@@ -82,7 +84,7 @@ def search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int,
             names, vectors, lookers = shared.value
             best: list[pd.DataFrame] = []
             for frame in frames:
-                for number, part in frame.groupby("list"):
+                for number, part in frame.sort_values("chunk_id").groupby("list"):
                     who = lookers.get(int(number))
                     if who is None:
                         continue

@@ -65,7 +65,9 @@ def traces(queries: DataFrame, hits: DataFrame, gold: DataFrame, chunks: DataFra
     out = [scored(recall_at(ranks, d)).alias(f"recall_{d}") for d in RECALL_DEPTHS if d <= k]
     top = F.slice("retrieved_chunk_ids", 1, k)
     return rows.select(
-        "query_id", "query", "retrieved_chunk_ids", "retrieved_scores", F.when(~excluded, F.col("gold_chunk_ids")).otherwise(none).alias("gold_chunk_ids"), first.alias("first_hit_rank"), *out,
+        "query_id", "query", "retrieved_chunk_ids", "retrieved_scores", F.when(
+            ~excluded, F.col("gold_chunk_ids"),
+        ).otherwise(none).alias("gold_chunk_ids"), first.alias("first_hit_rank"), *out,
         scored(reciprocal_rank(ranks)).alias("mrr"),
         scored(ndcg_at(ranks, F.size("gold_chunk_ids"), min(10, k))).alias("ndcg_10"),
         scored(F.when(first <= k, F.col("tokens").cast("double"))).alias("chunk_efficiency"),
@@ -77,7 +79,10 @@ def traces(queries: DataFrame, hits: DataFrame, gold: DataFrame, chunks: DataFra
 def summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Means of all metrics over the queries that are not excluded, and how many there were."""
     names = [c for c in rows.columns if c.startswith("recall_") or c in ("mrr", "ndcg_10", "chunk_efficiency", "all_spans_hit")]
-    return rows.groupBy(*(by or [])).agg(F.count("*").alias("queries"), F.sum(F.col("excluded").cast("int")).alias("excluded"), *(F.round(F.avg(c), 6).alias(c) for c in names))
+    return rows.groupBy(*(by or [])).agg(
+        F.count("*").alias("queries"), F.sum(F.col("excluded").cast("int")).alias("excluded"),
+        *(F.round(F.avg(c), 6).alias(c) for c in names),
+    )
 
 
 def latency(rows: DataFrame, by: list[str], column: str = "latency_ms") -> DataFrame:
@@ -109,7 +114,10 @@ def bootstrap(rows: DataFrame, by: list[str], value: str, order: str, resamples:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         values = frame.sort_values(order)[value].dropna().to_numpy(float)
         low, high = bootstrap_interval(values, resamples, alpha, seed)
-        return pd.DataFrame([[*(frame[c].iloc[0] for c in by), float(values.mean()) if len(values) else 0.0, low, high, len(values)]], columns=[*by, "mean", "low", "high", "n"])
+        return pd.DataFrame(
+            [[*(frame[c].iloc[0] for c in by), float(values.mean()) if len(values) else 0.0, low, high, len(values)]],
+            columns=[*by, "mean", "low", "high", "n"],
+        )
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", mean double, low double, high double, n long"
     return rows.select(*by, order, value).groupBy(*by).applyInPandas(run, schema)

@@ -113,7 +113,9 @@ def needle_evalset(docs: DataFrame, needles: DataFrame, once: bool = False) -> D
     the documents for each block of needles of bounded size.
     """
     spark = docs.sparkSession
-    asked = needles.select("needle_id", "corpus", F.array_distinct(F.filter("needles", lambda n: n.isNotNull() & (n != ""))).alias("needles")).filter("size(needles) > 0")
+    asked = needles.select(
+        "needle_id", "corpus", F.array_distinct(F.filter("needles", lambda n: n.isNotNull() & (n != ""))).alias("needles"),
+    ).filter("size(needles) > 0")
     schema = "needle string, doc_id string, corpus string, source_path string, at int, times int"
     found = spark.createDataFrame([], schema)
 

@@ -22,6 +22,8 @@ from gleanery.functions.text import lexical_terms
 
 #: Queries in one block of a search, and chunks scored at once: bounds of a worker's score matrix (32 MB).
 QUERY_BLOCK, CHUNK_BLOCK = 4096, 1024
+#: Queries of a block that ask for a term from which on the term is common.
+COMMON = 24
 
 
 def ranked(scores: DataFrame, k: int, retriever: str, *ties: Column) -> DataFrame:
@@ -65,7 +67,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: floa
     """
     spark = chunks.sparkSession
     # terms are found once; frequencies, lengths and each block of queries read the written lists
-    rows = scratch.materialize(chunks.filter("chunk_id is not null").select("chunk_id", lexical_terms(F.col("text")).alias("terms")), "bm25-terms")
+    terms = chunks.filter("chunk_id is not null").select("chunk_id", lexical_terms(F.col("text")).alias("terms"))
+    rows = scratch.materialize(scratch.spread(terms), "bm25-terms")
     measured = rows.select("chunk_id", F.size("terms").alias("dl"), F.explode_outer(F.array_distinct("terms")).alias("term"))
     frequencies = scratch.materialize(measured.filter("term is not null").groupBy("term").agg(F.count("*").alias("df")), "bm25-df")
     totals = rows.agg(F.count("*").alias("n"), F.avg(F.greatest(F.size("terms"), F.lit(0)).cast("double")).alias("avgdl")).first()
@@ -91,8 +94,16 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: floa
         def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, vocabulary, factor, by_term = shared.value
             known = pa.array(vocabulary, pa.string())
-            best: list[pd.DataFrame] = []
+            # terms that many queries ask for go through one matrix product, the others through their own few places
+            common = np.flatnonzero(np.array([len(who) >= COMMON for who, _ in by_term], bool))
+            column = np.full(len(vocabulary), -1)
+            column[common] = np.arange(len(common))
+            asked_common = np.zeros((len(names), len(common)))
+            for j, t in enumerate(common.tolist()):
+                asked_common[by_term[t][0], j] = by_term[t][1]
+            best = Best(k)
             for whole in stream:
+                whole = whole.take(pc.sort_indices(whole.column(0)))
                 for at in range(0, whole.num_rows, CHUNK_BLOCK):
                     part = whole.slice(at, CHUNK_BLOCK)
                     lists_ = part.column(1)
@@ -102,17 +113,22 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: floa
                     pairs, tf = np.unique(term[term >= 0] * part.num_rows + owner, return_counts=True)
                     term, owner = pairs // part.num_rows, pairs % part.num_rows
                     weight = factor[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[owner] / mean))
-                    scores = np.zeros((len(names), part.num_rows))
+                    many = column[term] >= 0
+                    weights = np.zeros((len(common), part.num_rows))
+                    weights[column[term[many]], owner[many]] = weight[many]
+                    scores = asked_common @ weights
+                    term, owner, weight = term[~many], owner[~many], weight[~many]
                     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else []
                     for x, y in zip(first, [*first[1:], len(term)]):
                         who, often = by_term[term[x]]
                         scores[np.ix_(who, owner[x:y])] += np.outer(often, weight[x:y])
-                    best.append(_block_best(np.round(scores, 6), part.column(0).to_numpy(zero_copy_only=False), k))
-                    if len(best) > 8:
-                        best = [_best(best, k)]
-            if best:
-                out = _best(best, k)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": [names[i] for i in out["q"]], "chunk_id": out["chunk_id"].to_numpy(), "score": out["score"].to_numpy()}), preserve_index=False)
+                    best.add(np.round(scores, 6), part.column(0).to_numpy(zero_copy_only=False))
+            if best.parts:
+                out = best.rows()
+                yield pa.RecordBatch.from_pandas(
+                    pd.DataFrame({"query_id": [names[i] for i in out["q"]], "chunk_id": out["chunk_id"].to_numpy(), "score": out["score"].to_numpy()}),
+                    preserve_index=False,
+                )
 
         return rows.mapInArrow(run, found.schema)
 
@@ -161,9 +177,9 @@ def dense(queries: DataFrame, store: DataFrame, k: int, retriever: str = "dense"
         def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, matrix = shared.value
             matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-            best: list[pd.DataFrame] = []
+            best = Best(k)
             for frame in frames:
-                frame = frame.dropna()
+                frame = frame.dropna().sort_values("chunk_id")
                 if frame.empty:
                     continue
                 rows = np.stack(frame["embedding"].to_numpy()).astype(float)
@@ -172,11 +188,9 @@ def dense(queries: DataFrame, store: DataFrame, k: int, retriever: str = "dense"
                 ids = frame["chunk_id"].to_numpy()
                 for at in range(0, len(rows), CHUNK_BLOCK):
                     scores = np.round(matrix @ rows[at : at + CHUNK_BLOCK].T, digits) + 0.0
-                    best.append(_block_best(scores, ids[at : at + CHUNK_BLOCK], k))
-                    if len(best) > 8:
-                        best = [_best(best, k)]
-            if best:
-                out = _best(best, k)
+                    best.add(scores, ids[at : at + CHUNK_BLOCK])
+            if best.parts:
+                out = best.rows()
                 yield pd.DataFrame({"query_id": [names[i] for i in out["q"]], "chunk_id": out["chunk_id"].to_numpy(), "score": out["score"].to_numpy()})
 
         part = store.select("chunk_id", "embedding").mapInPandas(run, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
@@ -195,13 +209,11 @@ def dense(queries: DataFrame, store: DataFrame, k: int, retriever: str = "dense"
 
 
 def _block_best(scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best columns of each row of a score matrix, ties by id."""
-    order = np.argsort(ids, kind="stable")
-    scores, ids = scores[:, order], ids[order]
+    """The k best columns of each row of a score matrix, ties by id; the ids are in order."""
     if scores.shape[1] > k:  # what is above the k-th best score, and of what equals it as many as are left, by id
-        least = np.partition(scores, -k, axis=1)[:, -k][:, None]
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
         pick, level = scores > least, scores == least
-        level &= np.cumsum(level, axis=1, dtype=np.int32) <= k - pick.sum(axis=1, dtype=np.int32)[:, None]
+        level &= np.cumsum(level, axis=1, dtype=np.int16 if scores.shape[1] < 1 << 15 else np.int32) <= k - pick.sum(axis=1)[:, None]
         columns = np.nonzero(pick | level)[1].reshape(len(scores), k)
         best = np.argsort(-np.take_along_axis(scores, columns, 1), axis=1, kind="stable")
         top = np.take_along_axis(columns, best, 1)
@@ -210,6 +222,44 @@ def _block_best(scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"q": np.repeat(np.arange(len(scores)), top.shape[1]), "chunk_id": ids[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
 
 
+class Best:
+    """The k best of each row over score matrices that come one after another.
+
+    Once a row has k entries, only scores above its last entry, or equal to it
+    with a lesser id, are looked at further.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.pending = k, [], 0
+        self.least: np.ndarray | None = None
+        self.last: np.ndarray | None = None
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of all rows (queries) against columns whose ids are in order."""
+        if self.least is None:
+            part = _block_best(scores, ids, self.k)
+        else:
+            lesser = np.searchsorted(ids, self.last)
+            mask = scores == self.least[:, None]
+            mask &= np.arange(len(ids)) < lesser[:, None]
+            mask |= scores > self.least[:, None]
+            q, c = np.nonzero(mask)
+            part = pd.DataFrame({"q": q, "chunk_id": ids[c], "score": scores[q, c]})
+        self.parts.append(part)
+        self.pending += len(part)
+        if self.least is None or self.pending > 4 * self.k * len(scores):
+            out = self.rows()
+            sizes = np.bincount(out["q"], minlength=len(scores))
+            if sizes.min() == self.k:
+                ends = out.iloc[np.cumsum(sizes) - 1]
+                self.least, self.last = ends["score"].to_numpy(), ends["chunk_id"].to_numpy()
+
+    def rows(self) -> pd.DataFrame:
+        """q, chunk_id, score of the best so far, in order."""
+        self.parts, self.pending = [_best(self.parts, self.k)] if self.parts else [], 0
+        return self.parts[0] if self.parts else pd.DataFrame({"q": [], "chunk_id": [], "score": []})
+
+
 def _best(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
     every = pd.concat(parts).sort_values(["q", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
     return every.groupby("q", sort=False).head(k)
@@ -241,13 +291,21 @@ def to_parents(children: DataFrame, chunks: DataFrame, k: int, retriever: str =
     """
     failed = lambda text, *names: F.raise_error(F.concat(F.lit(text), *names)).cast("string")
     link = chunks.select("chunk_id", "parent_id", F.lit(True).alias("known")).distinct()
-    hits = children.join(link, "chunk_id", "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id")).otherwise(failed("hit of an unknown chunk: ", "chunk_id")))
+    hits = children.select("query_id", "chunk_id", "rank", "score").join(link, "chunk_id", "left").withColumn(
+        "parent_id", F.when(F.col("known"), F.col("parent_id")).otherwise(failed("hit of an unknown chunk: ", "chunk_id")),
+    )
     if parents is not None:
         listed = parents.select(F.col("chunk_id").alias("parent_id"), F.lit(True).alias("listed")).distinct()
         hits = hits.join(listed, "parent_id", "left")
-        hits = hits.withColumn("parent_id", F.when(F.col("parent_id").isNull() | F.col("listed"), F.col("parent_id")).otherwise(failed("parent outside the chunk set of parents: ", "parent_id")))
+        hits = hits.withColumn(
+            "parent_id",
+            F.when(F.col("parent_id").isNull() | F.col("listed"), F.col("parent_id")).otherwise(failed("parent outside the chunk set of parents: ", "parent_id")),
+        )
     hits = hits.withColumn("some", F.max("parent_id").over(Window.partitionBy("query_id")))
-    hits = hits.withColumn("parent_id", F.when(F.col("some").isNotNull(), F.col("parent_id")).otherwise(failed("no hit has a parent; are these chunks children? query ", "query_id"))).filter("parent_id is not null")
+    hits = hits.withColumn(
+        "parent_id",
+        F.when(F.col("some").isNotNull(), F.col("parent_id")).otherwise(failed("no hit has a parent; are these chunks children? query ", "query_id")),
+    ).filter("parent_id is not null")
     best = hits.groupBy("query_id", "parent_id").agg(F.min(F.struct("rank", "score")).alias("b"), F.countDistinct("chunk_id").alias("n_children"))
     w = Window.partitionBy("query_id").orderBy("b.rank", "parent_id")
     top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -297,7 +355,10 @@ RETRIEVERS: dict[str, dict] = {
 }
 
 
-def retrieve(name: str, queries: DataFrame, chunks: DataFrame, store: DataFrame, k: int, params: dict | None = None, embedder: str = "hash", embedder_params: dict | None = None) -> DataFrame:
+def retrieve(
+    name: str, queries: DataFrame, chunks: DataFrame, store: DataFrame, k: int, params: dict | None = None, embedder: str = "hash",
+    embedder_params: dict | None = None,
+) -> DataFrame:
     """Run a retriever by name over queries (query_id, query); composed ones build their bases with their own parameters."""
     from gleanery.settings import merged
 

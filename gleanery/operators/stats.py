@@ -22,7 +22,10 @@ def corpus_stats(docs: DataFrame, key: str | None = None) -> DataFrame:
     With a `key`, rows of one key and equal counts are one document.
     """
     text = F.col("text")
-    rows = docs.select("corpus", *([key] if key else []), textual.portable_token_count(text).alias("tokens"), F.size(textual.headings(text)).alias("h"), textual.count_fences(text).alias("c"), textual.count_tables(text).alias("t"))
+    rows = docs.select(
+        "corpus", *([key] if key else []), textual.portable_token_count(text).alias("tokens"), F.size(textual.headings(text)).alias("h"),
+        textual.count_fences(text).alias("c"), textual.count_tables(text).alias("t"),
+    )
     rows = rows.distinct() if key else rows
     sums = rows.groupBy("corpus").agg(
         F.count("*").alias("docs"), F.sum("tokens").alias("tokens"), F.min("tokens").alias("min_tokens"), *percentiles("tokens"), F.max("tokens").alias("max_tokens"),
@@ -93,13 +96,13 @@ def cut_sentences(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """
     found = docs.filter("text is not null").select("doc_id", sentences.edges("text").alias("edges"))
     between = found.select("doc_id", F.explode("edges").alias("edge"))
-    sizes = found.select(F.col("doc_id").alias("of"), F.element_at("edges", -1).alias("n"))
-    rows = chunks.join(sizes, chunks["doc_id"] == F.col("of"), "left").drop("of")
+    sizes = found.select(F.col("doc_id").alias("sentence_doc"), F.element_at("edges", -1).alias("sentence_chars"))
+    rows = chunks.join(sizes, chunks["doc_id"] == F.col("sentence_doc"), "left").drop("sentence_doc")
     for side in ("start", "end"):
-        own = between.select(F.col("doc_id").alias("of"), F.col("edge").alias(f"at_{side}"))
-        rows = rows.join(own, (rows["doc_id"] == own["of"]) & (rows[f"char_{side}"] == own[f"at_{side}"]), "left").drop("of")
-    inside = lambda side: (F.col(f"char_{side}") > 0) & (F.col(f"char_{side}") < F.col("n")) & F.col(f"at_{side}").isNull()
-    return rows.withColumn("cut", F.coalesce(inside("start") | inside("end"), F.lit(False))).drop("n", "at_start", "at_end")
+        own = between.select(F.col("doc_id").alias("sentence_doc"), F.col("edge").alias(f"sentence_{side}"))
+        rows = rows.join(own, (rows["doc_id"] == own["sentence_doc"]) & (rows[f"char_{side}"] == own[f"sentence_{side}"]), "left").drop("sentence_doc")
+    inside = lambda side: (F.col(f"char_{side}") > 0) & (F.col(f"char_{side}") < F.col("sentence_chars")) & F.col(f"sentence_{side}").isNull()
+    return rows.withColumn("cut", F.coalesce(inside("start") | inside("end"), F.lit(False))).drop("sentence_chars", "sentence_start", "sentence_end")
 
 
 def chunk_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -121,6 +124,9 @@ def chunk_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
         places = regions(docs, kind).join(sets, "doc_id")
         total = places.groupBy("chunk_set_id").agg(F.count("*").alias(f"{kind}s"))
         edges = chunks.select("chunk_set_id", "doc_id", "char_start", "char_end")
-        split = split_regions(edges.withColumn("doc_id", F.concat_ws("\0", "chunk_set_id", "doc_id")), places.withColumn("doc_id", F.concat_ws("\0", "chunk_set_id", "doc_id"))).groupBy("chunk_set_id").agg(F.count("*").alias(f"split_{kind}s"))
+        split = split_regions(
+            edges.withColumn("doc_id", F.concat_ws("\0", "chunk_set_id", "doc_id")),
+            places.withColumn("doc_id", F.concat_ws("\0", "chunk_set_id", "doc_id")),
+        ).groupBy("chunk_set_id").agg(F.count("*").alias(f"split_{kind}s"))
         out = out.join(total, "chunk_set_id", "left").join(split, "chunk_set_id", "left")
     return out.join(seconds, "chunk_set_id", "left").fillna(0, ["fences", "split_fences", "tables", "split_tables"])

@@ -226,7 +226,10 @@ def mock_router(decision: Decision, candidates: list[dict]) -> Model:
     return model
 
 
-def route(catalogue: Catalogue, query: str, corpus: str, k: int = 5, model: Model | None = None, model_name: str = "mock", budget: Budget | None = None, exclude_index: str | None = None) -> Decision:
+def route(
+    catalogue: Catalogue, query: str, corpus: str, k: int = 5, model: Model | None = None, model_name: str = "mock",
+    budget: Budget | None = None, exclude_index: str | None = None,
+) -> Decision:
     """Let a model pick an index and a retriever for a query; its last retrieval counts, and none is an error.
 
     Its tools take another corpus, query or k than the given ones where the
@@ -245,7 +248,10 @@ def route(catalogue: Catalogue, query: str, corpus: str, k: int = 5, model: Mode
             raise ToolError(f"unknown retriever {name!r}")
         chunks = catalogue.load_chunk_set(manifest["chunk_set_id"])
         asked = catalogue.spark.createDataFrame([("q", arguments.get("query") or query)], "query_id string, query string")
-        hits = retrieval.retrieve(name, asked, chunks, VectorStore(catalogue, manifest["index_id"]).rows(), int(arguments.get("k") or k), arguments.get("params"), manifest["embedder"], json.loads(manifest["embedder_params"]))
+        hits = retrieval.retrieve(
+            name, asked, chunks, VectorStore(catalogue, manifest["index_id"]).rows(), int(arguments.get("k") or k), arguments.get("params"),
+            manifest["embedder"], json.loads(manifest["embedder_params"]),
+        )
         texts = chunks.select("chunk_id", F.substring("text", 1, 160).alias("preview")).dropDuplicates(["chunk_id"])
         decision.hits = [r.asDict() for r in hits.join(texts, "chunk_id").orderBy("rank").collect()]
         decision.index_id, decision.retriever = manifest["index_id"], name
@@ -279,9 +285,19 @@ def route(catalogue: Catalogue, query: str, corpus: str, k: int = 5, model: Mode
         Tool("list_retrievers", "retrievers and their parameters", {}, lambda a: retrieval.RETRIEVERS),
         Tool("get_corpus_stats", "documents, tokens, headings, code, tables and scripts of a corpus", of_corpus, corpus_stats),
         Tool("inspect_chunk", "the text and place of one chunk", {"required": ["chunk_id"], "properties": {"chunk_id": text}}, inspect),
-        Tool("retrieve", "run a retriever on an index", {"required": ["index_id", "retriever"], "properties": {"index_id": text, "retriever": text, "query": text, "k": {"type": "integer"}, "params": {"type": "object"}}}, retrieve),
+        Tool(
+            "retrieve", "run a retriever on an index",
+            {
+                "required": ["index_id", "retriever"],
+                "properties": {"index_id": text, "retriever": text, "query": text, "k": {"type": "integer"}, "params": {"type": "object"}},
+            },
+            retrieve,
+        ),
     ]
-    decision.outcome = converse(f"Choose an index and a retriever for the query; k = {k}.", query, tools, model or mock_router(decision, candidates), model_name, budget)
+    decision.outcome = converse(
+        f"Choose an index and a retriever for the query; k = {k}.", query, tools, model or mock_router(decision, candidates), model_name,
+        budget,
+    )
     if not decision.retriever:
         raise RuntimeError("the router never retrieved anything")
     decision.reason = decision.outcome.text
@@ -348,7 +364,10 @@ def mock_optimizer(iteration: int) -> Model:
     return model
 
 
-def optimize(catalogue: Catalogue, corpus: str, k: int = 10, iterations: int = 3, model_for: Callable[[int], Model] = mock_optimizer, model_name: str = "mock", budget: Budget | None = None, metric: str = "recall_5", trace: str | None = None, name: str = "optimize") -> list[Entry]:
+def optimize(
+    catalogue: Catalogue, corpus: str, k: int = 10, iterations: int = 3, model_for: Callable[[int], Model] = mock_optimizer,
+    model_name: str = "mock", budget: Budget | None = None, metric: str = "recall_5", trace: str | None = None, name: str = "optimize",
+) -> list[Entry]:
     """Iterate on the dev split, then run the best configuration once on test; a used-up budget gives what there is.
 
     The trace is written again after each entry.  Limits hold over all iterations together, steps for each one.
@@ -386,12 +405,25 @@ def optimize(catalogue: Catalogue, corpus: str, k: int = 10, iterations: int = 3
             return [r.asDict() for r in stats.chunk_stats(catalogue.load_chunk_set(arguments["chunk_set_id"]), catalogue.read("documents", corpus)).collect()]
 
         text = {"type": "string"}
-        names = {"hypothesis": text, "chunker": text, "embedder": text, "retriever": text, "chunker_params": {"type": "object"}, "embedder_params": {"type": "object"}, "retriever_params": {"type": "object"}}
+        names = {
+            "hypothesis": text, "chunker": text, "embedder": text, "retriever": text, "chunker_params": {"type": "object"},
+            "embedder_params": {"type": "object"}, "retriever_params": {"type": "object"},
+        }
         tools = [
-            Tool("run_experiment", "evaluate one configuration on dev", {"required": ["hypothesis", "chunker", "embedder", "retriever"], "properties": names}, run_experiment),
-            Tool("get_failures", "worst queries of a run", {"required": ["run_id"], "properties": {"run_id": text, "n": {"type": "integer"}}}, lambda a: [r.asDict() for r in experiment.failures(catalogue, a["run_id"], 0, int(a.get("n", 10))).select("query_id", "query", "first_hit_rank").collect()]),
+            Tool(
+                "run_experiment", "evaluate one configuration on dev",
+                {"required": ["hypothesis", "chunker", "embedder", "retriever"], "properties": names}, run_experiment,
+            ),
+            Tool(
+                "get_failures", "worst queries of a run",
+                {"required": ["run_id"], "properties": {"run_id": text, "n": {"type": "integer"}}},
+                lambda a: [r.asDict() for r in experiment.failures(catalogue, a["run_id"], 0, int(a.get("n", 10))).select("query_id", "query", "first_hit_rank").collect()],
+            ),
             Tool("get_chunk_stats", "statistics of a chunk set", {"required": ["chunk_set_id"], "properties": {"chunk_set_id": text}}, chunk_stats),
-            Tool("compare_runs", "a metric in two runs", {"required": ["run_ids"], "properties": {"run_ids": {"type": "array"}}}, lambda a: [r.asDict() for r in experiment.compare(catalogue, a["run_ids"], metric).collect()]),
+            Tool(
+                "compare_runs", "a metric in two runs", {"required": ["run_ids"], "properties": {"run_ids": {"type": "array"}}},
+                lambda a: [r.asDict() for r in experiment.compare(catalogue, a["run_ids"], metric).collect()],
+            ),
         ]
         history = json.dumps([{"config": e.config, "hypothesis": e.hypothesis, metric: e.metrics.get(metric), "mutation": e.mutation} for e in entries])
         menu = f"Chunkers: {chunkers.available()}; retrievers: {sorted(retrieval.RETRIEVERS)}. End with DIAGNOSIS: and MUTATION:."

@@ -34,7 +34,10 @@ def evaluate(catalogue: Catalogue, cell: Cell) -> DataFrame:
     """A row per eval pair of the cell (see metrics.traces), with the cell's ids."""
     pairs = catalogue.load_evalset(cell.corpus, cell.eval_split)
     chunks = catalogue.load_chunk_set(cell.chunk_set_id)
-    hits = retrieval.retrieve(cell.retriever, pairs.select("query_id", "query"), chunks, VectorStore(catalogue, cell.index_id).rows(), cell.k, cell.retriever_params, cell.embedder, cell.embedder_params)
+    hits = retrieval.retrieve(
+        cell.retriever, pairs.select("query_id", "query"), chunks, VectorStore(catalogue, cell.index_id).rows(), cell.k,
+        cell.retriever_params, cell.embedder, cell.embedder_params,
+    )
     rows = metrics.traces(pairs, hits, relations.resolve_gold(pairs, chunks), chunks, cell.k)
     return rows.withColumn("cell_id", F.lit(cell.cell_id)).withColumn("corpus", F.lit(cell.corpus))
 

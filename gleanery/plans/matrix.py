@@ -49,7 +49,9 @@ class Exclusion:
         return cls(value.get("corpus"), value.get("chunker"), value.get("retriever"), embedder.get("name"), embedder.get("params"))
 
     def holds(self, corpus: str, chunker: Component, embedder: Component, retriever: Component) -> bool:
-        wanted = (self.corpus, corpus), (self.chunker, chunker.name), (self.retriever, retriever.name), (self.embedder, embedder.name), (self.embedder_params, embedder.params)
+        wanted = (self.corpus, corpus), (self.chunker, chunker.name), (self.retriever, retriever.name), (self.embedder, embedder.name), (
+            self.embedder_params, embedder.params,
+        )
         return all(rule is None or rule == value for rule, value in wanted)
 
 
@@ -74,7 +76,10 @@ class Experiment:
         if data.get("eval_split") not in (None, "train", "dev", "test"):
             raise ValueError("eval_split is train, dev or test")
         lists = [tuple(map(Component.of, data["matrix"][part])) for part in ("chunker", "embedder", "retriever")]
-        return cls(data["name"], tuple(data["corpora"]), *lists, tuple(map(Exclusion.of, data.get("exclude") or ())), data.get("seed", 42), data.get("k", 10), data.get("eval_split"))
+        return cls(
+            data["name"], tuple(data["corpora"]), *lists, tuple(map(Exclusion.of, data.get("exclude") or ())), data.get("seed", 42),
+            data.get("k", 10), data.get("eval_split"),
+        )
 
     @classmethod
     def load(cls, path: str) -> "Experiment":
@@ -117,7 +122,10 @@ def expand(experiment: Experiment) -> list[Cell]:
 
 def as_frame(spark: SparkSession, cells: list[Cell]) -> DataFrame:
     rows = [(n, c.corpus, c.chunker, canonical_json(c.chunker_params), c.embedder, canonical_json(c.embedder_params), c.retriever, canonical_json(c.retriever_params), c.k, c.chunk_set_id, c.index_id, c.cell_id, c.eval_split) for n, c in enumerate(cells)]
-    return spark.createDataFrame(rows, "position int, corpus string, chunker string, chunker_params string, embedder string, embedder_params string, retriever string, retriever_params string, k int, chunk_set_id string, index_id string, cell_id string, eval_split string")
+    return spark.createDataFrame(
+        rows,
+        "position int, corpus string, chunker string, chunker_params string, embedder string, embedder_params string, retriever string, retriever_params string, k int, chunk_set_id string, index_id string, cell_id string, eval_split string",
+    )
 
 
 def expand_frame(corpora: DataFrame, chunkers_: DataFrame, embedders_: DataFrame, retrievers_: DataFrame, exclude: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery import ids
+from gleanery import ids, scratch
 from gleanery.functions import labels, sentences, text as textual, vectors
 from gleanery.functions.tokens import PIECE, TOKEN
 from gleanery.operators import ann, chunkers, metrics, relations, retrieval, stats
@@ -125,7 +125,10 @@ SELECT corpus, count(*) AS docs, sum(tokens)::BIGINT AS tokens, min(tokens)::BIG
  sum(h)::BIGINT AS headings, sum(c)::BIGINT AS code_blocks, sum(t)::BIGINT AS tables, round(CASE WHEN sum(tokens) > 0 THEN sum(h) * 1000.0::DOUBLE / sum(tokens) ELSE 0 END, 6) AS headings_per_1k FROM r GROUP BY corpus""")
 def corpus_stats(spark, folder):
     rows = stats.corpus_stats(_docs(spark, folder).filter("text is not null"), key="doc_id")
-    return rows.select("corpus", "docs", *(F.col(c).cast("long").alias(c) for c in ("tokens", "min_tokens")), "p50_tokens", "p95_tokens", *(F.col(c).cast("long").alias(c) for c in ("max_tokens", "headings", "code_blocks", "tables")), "headings_per_1k")
+    return rows.select(
+        "corpus", "docs", *(F.col(c).cast("long").alias(c) for c in ("tokens", "min_tokens")), "p50_tokens", "p95_tokens",
+        *(F.col(c).cast("long").alias(c) for c in ("max_tokens", "headings", "code_blocks", "tables")), "headings_per_1k",
+    )
 
 
 @_register(f"WITH {_DOCS_SQL} SELECT corpus, label, count(*) AS docs FROM (SELECT corpus, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in textual.SCRIPTS) + " ELSE 'en' END AS label FROM docs WHERE text IS NOT NULL) GROUP BY ALL")
@@ -267,7 +270,9 @@ packs AS (SELECT doc_id, g, i, o[i].a AS a, o[i].b AS b FROM (SELECT *, unnest(r
 
 
 _RECURSIVE_OVER, _TABLE_OVER = {"chunk_tokens": 128, "overlap_tokens": 16}, {"fallback_chunk_tokens": 128}
-_RECURSIVE_SQL = f"WITH RECURSIVE {_TEXTS_SQL}, {_recursive_sql('SELECT doc_id, 0 AS g, 0::BIGINT AS a, length(text) AS b FROM texts', 128, 16)} " + _chunk_rows_sql("recursive", _RECURSIVE_OVER, "SELECT doc_id, i - 1 AS n, a, b, NULL::VARCHAR AS embed FROM packs")
+_RECURSIVE_SQL = f"WITH RECURSIVE {_TEXTS_SQL}, {_recursive_sql('SELECT doc_id, 0 AS g, 0::BIGINT AS a, length(text) AS b FROM texts', 128, 16)} " + _chunk_rows_sql(
+    "recursive", _RECURSIVE_OVER, "SELECT doc_id, i - 1 AS n, a, b, NULL::VARCHAR AS embed FROM packs",
+)
 _GAPS = f"""SELECT doc_id, g, a, b FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS g, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a, s AS b
  FROM (SELECT doc_id, a AS s, b FROM tables UNION ALL SELECT doc_id, length(text), length(text) + 1 FROM texts)) JOIN texts USING (doc_id) WHERE b > a AND regexp_matches(substring(text, a::BIGINT + 1, (b - a)::BIGINT), '[^{_SPACES}]')"""
 _PROMPT = "'" + chunkers.summary_prompt("@", 150).replace("'", "''").replace("\n", "' || chr(10) || '").replace("@", "' || t || '") + "'"
@@ -278,7 +283,10 @@ _TABLE_SQL = f"WITH RECURSIVE {_TEXTS_SQL}, {_REGIONS_SQL}, {_recursive_sql(_GAP
 def _chunker_query(name: str, over: dict, sql: str | None) -> None:
     def query(spark, folder):
         rows = chunkers.chunk(_docs(spark, folder), name, over)
-        return rows.select("chunk_id", "doc_id", "ordinal", "char_start", "char_end", "token_count", F.sha1("text").alias("digest"), F.sha1("embed_text").alias("embed_digest")).distinct()
+        return rows.select(
+            "chunk_id", "doc_id", "ordinal", "char_start", "char_end", "token_count", F.sha1("text").alias("digest"),
+            F.sha1("embed_text").alias("embed_digest"),
+        ).distinct()
 
     query.__name__ = f"{name}_chunks"
     _register(sql)(query)
@@ -312,7 +320,12 @@ for _name, _over in (("markdown", {"max_tokens": 256, "min_tokens": 32}), ("sema
  round(avg(CASE WHEN token_count < 32 THEN 1.0::DOUBLE WHEN token_count IS NOT NULL THEN 0.0::DOUBLE END), 6) AS orphan_rate, count(DISTINCT doc_id) AS docs FROM chunks GROUP BY chunk_set_id""")
 def delivered_chunk_sizes(spark, folder):
     rows = _chunks(spark, folder, "chunk_id", "ordinal", "chunk_set_id", "doc_id", "token_count").groupBy("chunk_set_id")
-    return rows.agg(F.count("*").alias("chunks"), F.min("token_count").alias("min_tokens"), *stats.percentiles("token_count"), F.max("token_count").alias("max_tokens"), F.round(F.avg((F.col("token_count") < stats.ORPHAN_TOKENS).cast("double")), 6).alias("orphan_rate"), F.countDistinct("doc_id").alias("docs"))
+    return rows.agg(
+        F.count("*").alias("chunks"), F.min("token_count").alias("min_tokens"), *stats.percentiles("token_count"),
+        F.max("token_count").alias("max_tokens"),
+        F.round(F.avg((F.col("token_count") < stats.ORPHAN_TOKENS).cast("double")), 6).alias("orphan_rate"),
+        F.countDistinct("doc_id").alias("docs"),
+    )
 
 
 @_register(f"""WITH {_TEXTS_SQL}, {_SENTENCES_SQL}, {_REGIONS_SQL},
@@ -328,7 +341,9 @@ g AS (SELECT chunk_set_id, count(*) AS chunks, min(token_count) AS min_tokens, q
 SELECT g.*, coalesce(fences, 0)::BIGINT AS fences, coalesce(split_fences, 0)::BIGINT AS split_fences, coalesce(tables, 0)::BIGINT AS tables, coalesce(split_tables, 0)::BIGINT AS split_tables, NULL::DOUBLE AS build_seconds
 FROM g LEFT JOIN f USING (chunk_set_id) LEFT JOIN t USING (chunk_set_id)""")
 def delivered_chunk_stats(spark, folder):
-    rows = _t(spark, folder, "chunks_child").select("chunk_set_id", "doc_id", "chunk_id", "ordinal", "char_start", "char_end", "token_count", F.size("heading_path").alias("depth")).distinct()
+    rows = _t(spark, folder, "chunks_child").select(
+        "chunk_set_id", "doc_id", "chunk_id", "ordinal", "char_start", "char_end", "token_count", F.size("heading_path").alias("depth"),
+    ).distinct()
     return stats.chunk_stats(rows, _docs(spark, folder).filter("text is not null").dropDuplicates(["doc_id"]))
 
 
@@ -356,7 +371,10 @@ j AS (SELECT c.chunk_id, c.doc_id, c.ordinal, p.chunk_id AS pid, row_number() OV
  FROM chunks c JOIN parents p ON p.doc_id = c.doc_id AND p.char_start <= (c.char_start + c.char_end) / 2.0 AND (c.char_start + c.char_end) / 2.0 < p.char_end)
 SELECT c.chunk_id, c.doc_id, c.ordinal, j.pid AS parent_id FROM (SELECT DISTINCT chunk_id, doc_id, ordinal FROM chunks) c LEFT JOIN j ON j.chunk_id = c.chunk_id AND j.ordinal = c.ordinal AND j.r = 1""")
 def parent_assignment(spark, folder):
-    rows = relations.assign_parents(_chunks(spark, folder, "chunk_id", "doc_id", "ordinal", "char_start", "char_end"), _chunks(spark, folder, "chunk_id", "doc_id", "char_start", "char_end", table="chunks_parent"))
+    rows = relations.assign_parents(
+        _chunks(spark, folder, "chunk_id", "doc_id", "ordinal", "char_start", "char_end"),
+        _chunks(spark, folder, "chunk_id", "doc_id", "char_start", "char_end", table="chunks_parent"),
+    )
     return rows.select("chunk_id", "doc_id", "ordinal", "parent_id")
 
 
@@ -375,7 +393,9 @@ def gold_resolution(spark, folder):
 h AS (SELECT e.query_id, d.doc_id, row_number() OVER (PARTITION BY e.query_id, e.corpus ORDER BY d.source_path, d.doc_id) AS r FROM e JOIN docs d ON d.corpus = e.corpus AND len(list_filter(e.q, lambda x: NOT contains(d.text, x))) = 0 WHERE len(e.q) > 0)
 SELECT query_id AS needle_id, doc_id AS gold_doc_id FROM h WHERE r = 1""")
 def needle_hosts(spark, folder):
-    needles = _t(spark, folder, "evalset").filter("query_id is not null and query is not null").select(F.col("query_id").alias("needle_id"), "corpus", "query", F.col("supporting_quotes").alias("needles")).distinct()
+    needles = _t(spark, folder, "evalset").filter("query_id is not null and query is not null").select(
+        F.col("query_id").alias("needle_id"), "corpus", "query", F.col("supporting_quotes").alias("needles"),
+    ).distinct()
     return relations.needle_evalset(_docs(spark, folder), needles).select("needle_id", "gold_doc_id")
 
 
@@ -428,7 +448,9 @@ done AS (SELECT query_id, kept FROM fold QUALIFY row_number() OVER (PARTITION BY
 each AS (SELECT query_id, kept, unnest(range(1, least(len(kept), 10) + 1)) AS r FROM done)
 SELECT query_id, kept[r].chunk_id AS chunk_id, r::INT AS rank, kept[r].score AS score FROM each""")
 def window_dedup_topk(spark, folder):
-    return retrieval.without_overlaps(_bm25(spark, folder, 30), _chunks(spark, folder, "chunk_id", "doc_id", "char_start", "char_end"), 10).select("query_id", "chunk_id", "rank", "score")
+    return retrieval.without_overlaps(
+        _bm25(spark, folder, 30), _chunks(spark, folder, "chunk_id", "doc_id", "char_start", "char_end"), 10,
+    ).select("query_id", "chunk_id", "rank", "score")
 
 
 def _vectors(spark, folder):
@@ -489,8 +511,8 @@ def ann_recall(spark, folder):
 
 @_register()
 def hash_embed_topk(spark, folder):
-    chunks = _t(spark, folder, "chunks_child").select("chunk_id", "embed_text").distinct()
-    store = chunks.select("chunk_id", vectors.embedding(F.col("embed_text"), "hash").alias("embedding"))
+    chunks = scratch.spread(_t(spark, folder, "chunks_child").select("chunk_id", "embed_text"), "chunk_id").distinct()
+    store = scratch.materialize(chunks.select("chunk_id", vectors.embedding(F.col("embed_text"), "hash").alias("embedding")), "hash-index")
     asked = retrieval.embed_queries(_pairs(spark, folder).select("query_id", "query").distinct())
     return retrieval.dense(asked, store, 10).select("query_id", "chunk_id", "rank", "score")
 
@@ -523,7 +545,11 @@ def _scored_traces(spark, folder):
     rows = rows.withColumn("ranks", metrics.hit_ranks(F.col("retrieved_chunk_ids"), F.col("gold_chunk_ids")))
     ranks = F.col("ranks")
     recalls = [metrics.recall_at(ranks, d).alias(f"recall_{d}") for d in (1, 5)]
-    return rows.select("trace_id", "run_id", "query_id", "latency_ms", "excluded", F.array_min(ranks).alias("first_hit_rank"), *recalls, metrics.reciprocal_rank(ranks).alias("mrr"), F.round(metrics.ndcg_at(ranks, F.size(F.array_distinct("gold_chunk_ids")), 10), 6).alias("ndcg_10")).distinct()  # after scoring: no lists are shuffled
+    return rows.select(
+        "trace_id", "run_id", "query_id", "latency_ms", "excluded", F.array_min(ranks).alias("first_hit_rank"), *recalls,
+        metrics.reciprocal_rank(ranks).alias("mrr"),
+        F.round(metrics.ndcg_at(ranks, F.size(F.array_distinct("gold_chunk_ids")), 10), 6).alias("ndcg_10"),
+    ).distinct()  # after scoring: no lists are shuffled
 
 
 @_register(f"WITH {_TRACES_SQL} SELECT trace_id, first AS first_hit_rank, (coalesce(first, 99) <= 1)::INT::DOUBLE AS recall_1, (coalesce(first, 99) <= 5)::INT::DOUBLE AS recall_5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, ndcg_10 FROM ms")
@@ -567,7 +593,10 @@ def bootstrap_checks(spark, folder):
     rows = _scored_traces(spark, folder).filter("not excluded")
     wide = rows.groupBy("run_id").agg((2 * 1.96 * F.stddev_pop("mrr") / F.sqrt(F.count("*"))).alias("width"))
     found = metrics.bootstrap(rows, ["run_id"], "mrr", "trace_id").join(wide, "run_id")
-    return found.select("run_id", "n", F.round("mean", 6).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("holds_mean"), (F.abs((F.col("high") - F.col("low")) / F.col("width") - 1) < 0.2).alias("normal_width"))
+    return found.select(
+        "run_id", "n", F.round("mean", 6).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("holds_mean"),
+        (F.abs((F.col("high") - F.col("low")) / F.col("width") - 1) < 0.2).alias("normal_width"),
+    )
 
 
 # --- plans ---
@@ -581,4 +610,7 @@ def matrix_expansion(spark, folder):
     names = ("corpus", "chunker", "embedder", "retriever")
     rule = lambda *values: F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(names, values)))
     exclude = one.select(F.inline(F.array(rule(None, None, "b", "bm25"), rule(None, None, "c", "bm25"))))
-    return matrix.expand_frame(column("corpus", ["api_docs", "contracts"]), column("chunker", ["fixed", "markdown"]), column("embedder", "abc"), column("retriever", ["dense", "bm25", "hybrid"]), exclude)
+    return matrix.expand_frame(
+        column("corpus", ["api_docs", "contracts"]), column("chunker", ["fixed", "markdown"]), column("embedder", "abc"),
+        column("retriever", ["dense", "bm25", "hybrid"]), exclude,
+    )

@@ -45,6 +45,15 @@ def clear(spark: SparkSession) -> None:
         pass
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The frame in as many partitions as the session's shuffles have, however small it is: for stages whose rows are few but dear.
+
+    Adaptive execution puts small partitions together by their bytes; a number
+    that is named it leaves alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once and go on from the written table."""
     spark = df.sparkSession

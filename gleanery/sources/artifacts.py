@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gleanery import ids, schema
 from gleanery.functions import vectors
 from gleanery.operators import chunkers, relations
+from gleanery.scratch import spread
 from gleanery.settings import canonical_json
 
 log = logging.getLogger(__name__)
@@ -115,7 +116,10 @@ class Catalogue:
         chunkers.answered(new, p["model"], caller).write.mode("append").parquet(path)
         return self.spark.read.parquet(path).join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("answer").alias("answer"))
 
-    def build_chunk_set(self, corpus: str, chunker: str, over: dict | None = None, role: str = "standalone", parent_set: str | None = None, force: bool = False, caller: Callable[[str, str], str] | None = None) -> tuple[str, DataFrame]:
+    def build_chunk_set(
+        self, corpus: str, chunker: str, over: dict | None = None, role: str = "standalone", parent_set: str | None = None,
+        force: bool = False, caller: Callable[[str, str], str] | None = None,
+    ) -> tuple[str, DataFrame]:
         """Chunk a corpus once for each set of parameters; children need the chunk set of their parents.
 
         Tables are summarized by `caller` (prompt, model) where mock_llm is off.
@@ -228,7 +232,7 @@ class VectorStore:
     def _put(self, rows: DataFrame) -> None:
         """Write the next version; all but the last two older ones go."""
         found = self._versions()
-        rows.write.mode("overwrite").parquet(f"{self.root}/vectors-{(found[-1] if found else 0) + 1:06}")
+        spread(rows, "chunk_id").write.mode("overwrite").parquet(f"{self.root}/vectors-{(found[-1] if found else 0) + 1:06}")
         for old in found[:-1]:
             fs, where = self.catalogue._fs(f"{self.root}/vectors-{old:06}")
             fs.delete(where, True)

@@ -54,7 +54,9 @@ def load(spark: SparkSession, folder: str, corpus: str, base: str = "", warn: bo
         for row in unknown_files(spark, folder, corpus, base).limit(100).collect():
             log.warning("skipped a file of unknown kind: %s", row["source_path"])
     rows = _listing(spark, folder, corpus, base).filter((F.lower("file") != SKIPPED) & F.col("ending").isin(list(ENDINGS)))
-    rows = rows.withColumn("text", textual.normalize(F.decode("content", "UTF-8"))).withColumn("content_type", F.when(F.col("ending") == "txt", "text").otherwise("markdown"))
+    rows = rows.withColumn("text", textual.normalize(F.decode("content", "UTF-8"))).withColumn(
+        "content_type", F.when(F.col("ending") == "txt", "text").otherwise("markdown"),
+    )
     rows = rows.withColumn("h", textual.headings(F.col("text")))
     top = F.filter("h", lambda h: (h["level"] == 1) & (h["title"] != ""))
     title = F.when((F.col("content_type") == "markdown") & (F.size(top) > 0), F.get(top, F.lit(0))["title"])
@@ -62,7 +64,9 @@ def load(spark: SparkSession, folder: str, corpus: str, base: str = "", warn: bo
     chars = F.create_map(F.lit("char_count"), F.length("text").cast("string"))
     sections = F.create_map(F.lit("section_count"), F.size("h").cast("string"))
     return rows.select(
-        ids.doc_id(F.col("corpus"), F.col("source_path")).alias("doc_id"), "corpus", "source_path", F.coalesce(title, textual.humanized(stem)).alias("title"), "text", "content_type",
+        ids.doc_id(
+            F.col("corpus"), F.col("source_path"),
+        ).alias("doc_id"), "corpus", "source_path", F.coalesce(title, textual.humanized(stem)).alias("title"), "text", "content_type",
         F.when(F.col("content_type") == "markdown", F.map_concat(chars, sections)).otherwise(chars).alias("meta"),
     )
 

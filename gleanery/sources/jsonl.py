@@ -32,7 +32,10 @@ def first_invalid(spark: SparkSession, path: str, schema: T.StructType) -> tuple
     """Number and text of the first line of a file that doesn't parse, for error messages; None if all do."""
     bad = T.StructField("_bad", T.StringType())
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line")).filter(F.trim("line") != "")
-    typed = lines.select("n", "line", F.from_json("line", T.StructType([*_nullable(schema).fields, bad]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    typed = lines.select(
+        "n", "line",
+        F.from_json("line", T.StructType([*_nullable(schema).fields, bad]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"),
+    )
     missing = F.lit(False)
     for field in schema.fields:
         if not field.nullable:

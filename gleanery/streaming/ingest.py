@@ -46,4 +46,6 @@ def ingest(docs: DataFrame, folder: str, checkpoint: str, chunker: str, over: di
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of a stream of events (ts, event_type, value) in tumbling windows; rows later than `late` are dropped."""
     stamped = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return stamped.groupBy(F.window("at", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+    return stamped.groupBy(F.window("at", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
+        F.col("window.start").alias("window_start"), "event_type", "n", "total",
+    )

@@ -306,10 +306,16 @@ def test_best_columns_with_ties():
     rnd = np.random.default_rng(3)
     for _ in range(40):
         scores, k = rnd.integers(0, 4, (7, int(rnd.integers(1, 30)))).astype(float), int(rnd.integers(1, 9))
-        ids = rnd.permutation(scores.shape[1])
-        got = retrieval._block_best(scores, ids, k)
+        ids = np.array([f"{i:02}" for i in rnd.permutation(scores.shape[1])], object)
         want = [(q, i, s) for q in range(7) for s, i in [(-x, i) for x, i in sorted(zip(-scores[q], ids))[:k]]]
-        assert list(got.itertuples(index=False, name=None)) == want
+        order = np.argsort(ids)
+        assert list(retrieval._block_best(scores[:, order], ids[order], k).itertuples(index=False, name=None)) == want
+        best = retrieval.Best(k)
+        for part in np.array_split(np.arange(len(ids)), 6):  # ids are in order within each part only
+            if len(part):
+                part = part[np.argsort(ids[part])]
+                best.add(scores[:, part], ids[part])
+        assert list(best.rows().itertuples(index=False, name=None)) == want
 
 
 def test_sentence_cuts_are_joined_by_equal_places(spark):
