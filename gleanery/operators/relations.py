@@ -71,11 +71,15 @@ def covered_spans(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "island").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end")).drop("island")
 
 
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("n_signs", "covered_signs")]))
 def _signs(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
     rows = []
     for text, a, b in zip(texts, starts, ends):
-        signs = np.array([not c.isspace() for c in text or ""], bool)
+        codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+        signs = ~np.isin(codes, _SPACES)
         before = np.r_[0, np.cumsum(signs)]
         at = [np.clip(np.asarray(x if x is not None else [], np.int64), 0, len(signs)) for x in (a, b)]
         rows.append((int(before[-1]), int((before[at[1]] - before[at[0]]).sum())))
