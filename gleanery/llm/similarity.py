@@ -53,6 +53,8 @@ BLOCK = 1024
 CROWDED, LONG_LIST, COUNT_ROUNDS, STOCK_VALUES = 64, 128, 4, 4_000_000
 #: Values of pairs that are compared at once.
 COMPARED = 2_000_000
+#: Pairs of lists that a worker holds at most, besides those of one step over an Arrow batch, and rows of a batch of them.
+PAIRS_HELD, PAIRS_SENT = 1_000_000, 100_000
 #: Bits of a posting's tag above its role and its block: rows of another block, rows late in their set.
 _OTHER, _LATE = 40, 41
 
@@ -284,8 +286,12 @@ def _postings(classes: DataFrame, order, measure: Measure) -> DataFrame:
 _LISTED = "key long, a long, b long, x int, y int, tag long"
 
 
-def _list_pairs(block: np.ndarray, measure: Measure) -> pa.RecordBatch | None:
-    """Of whole lists: pairs of classes (a, b) with x, the retained values they share here, and y, how many they must share."""
+def _list_pairs(block: np.ndarray, measure: Measure) -> Iterator[pa.RecordBatch]:
+    """Of whole lists: pairs of classes (a, b) with x, the retained values they share here, and y, how many they must share.
+
+    Lists have as many pairs as the square of their rows, so no more than
+    PAIRS_HELD are held at once; a pair comes in several rows then, whose x add up.
+    """
     lists = np.cumsum(np.r_[False, block[0][1:] != block[0][:-1]])
     block = block[:, np.argsort(lists * 2 + (block[4] >> _LATE), kind="stable")]  # early rows come first in a list
     key, cls, n, pos, tag = (block[c] for c in range(5))
@@ -294,7 +300,7 @@ def _list_pairs(block: np.ndarray, measure: Measure) -> pa.RecordBatch | None:
     end = np.repeat(first + lengths, lengths)
     role, list_block, cross, late = tag & 3, (tag >> 2) & ((1 << 38) - 1), (tag >> _OTHER & 1).astype(bool), (tag >> _LATE).astype(bool)
     # two late rows are no candidate
-    index, step, out = np.flatnonzero(~late), 1, []
+    index, step, out, held = np.flatnonzero(~late), 1, [], 0
     while True:
         index = index[index + step < end[index]]
         if not len(index):
@@ -310,15 +316,36 @@ def _list_pairs(block: np.ndarray, measure: Measure) -> pa.RecordBatch | None:
             good &= (role[x] | role[y]) == 3
         if good.any():
             x, y = x[good], y[good]
-            out.append(np.stack([np.minimum(needed[good], measure.overlaps).astype(np.int64), np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
+            least = np.minimum(needed[good], measure.overlaps).astype(np.int64)
+            out.append(np.stack([np.ones(len(x), np.int64), least, np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
+            held += len(x)
+        if held > PAIRS_HELD:
+            out = [_added_up(out)]
+            held = out[0].shape[1]
+            if held > PAIRS_HELD // 2:  # few of them are the same
+                yield from _sent(out[0])
+                out, held = [], 0
         step += 1
-    if not out:
-        return None
-    found = np.concatenate(out, axis=1)
-    found = found[:, np.lexsort(found)]
-    first = np.flatnonzero(np.r_[True, (found[1:, 1:] != found[1:, :-1]).any(axis=0)])
-    shared = np.diff(np.r_[first, found.shape[1]])
-    return _listed(np.zeros(len(first), np.int64), found[1][first], found[2][first], shared, found[0][first], np.full(len(first), -1))
+    if out:
+        yield from _sent(_added_up(out))
+
+
+def _added_up(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of x, y, a, b, one for each pair; empties the list, so that the parts don't lie beside their sum."""
+    found = np.concatenate(parts, axis=1)
+    parts.clear()
+    found = found[:, np.lexsort(found[2:])]  # y follows from the sizes of a and b
+    first = np.flatnonzero(np.r_[True, (found[2:, 1:] != found[2:, :-1]).any(axis=0)])
+    shared = np.add.reduceat(found[0], first)
+    found = found[:, first]
+    found[0] = shared
+    return found
+
+
+def _sent(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, found.shape[1], PAIRS_SENT):
+        shared, least, a, b = found[:, i : i + PAIRS_SENT]
+        yield _listed(np.zeros(len(a), np.int64), a, b, shared, least, np.full(len(a), -1))
 
 
 def _listed(*columns: np.ndarray) -> pa.RecordBatch:
@@ -361,8 +388,8 @@ def _lists(postings: DataFrame, measure: Measure, keys: list[str], whole: bool)
             if long.any():
                 yield long_rows(block[:, long])
                 block = block[:, ~long]
-        if block.shape[1] > 1 and (out := _list_pairs(block, measure)) is not None:
-            yield out
+        if block.shape[1] > 1:
+            yield from _list_pairs(block, measure)
 
     return postings.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _LISTED)
 

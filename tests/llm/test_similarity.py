@@ -1,6 +1,9 @@
+import collections
 import itertools
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +154,29 @@ def test_long_lists_copy_late_rows_only_to_early_ones(spark, monkeypatch):
     assert len(met) == 45 + 300
 
 
+def test_a_worker_holds_few_pairs_of_dense_lists(monkeypatch):
+    """All classes of a list are similar, so its pairs are the square of its rows; two of the lists have the same classes."""
+    cls = np.r_[np.arange(400), np.arange(400), np.arange(1000, 1800)]
+    block = np.stack([np.repeat(np.arange(4), 400), cls, *(np.full(1600, v) for v in (100, 1, 3))])
+    monkeypatch.setattr(similarity, "PAIRS_HELD", 20_000, raising=False)
+    monkeypatch.setattr(similarity, "PAIRS_SENT", 1_000, raising=False)
+    lists = lambda: similarity._list_pairs(block, near_duplicates.PROJECT_MEASURE)
+    next(lists())  # what is imported late doesn't count
+    tracemalloc.start()
+    largest = max(batch.num_rows for batch in lists())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert largest == 1_000 and peak < 8_000_000  # 319,200 pairs
+    shared = collections.Counter()
+    for batch in lists():
+        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+            assert y == 3
+            shared[a, b] += x
+    want = {(a, b): 2 for a, b in itertools.combinations(range(400), 2)}
+    want |= {(a, b): 1 for k in (1000, 1400) for a, b in itertools.combinations(range(k, k + 400), 2)}
+    assert shared == want
+
+
 def test_groups_and_edge_cases(spark):
     long = " ".join(f"v{i}" for i in range(4000))
     near = long.replace("v17 ", "changed ")
